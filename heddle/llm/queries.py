@@ -1,7 +1,9 @@
 """Registered queries of the training-data operators, and their SQL where there is one."""
 
+from heddle.llm.mixing import op5_low_discrepancy_mix
+from heddle.llm.quality_rules import op7_ngram_ratio
 from heddle.llm.sharding import op10_vector_bin_packing
 from heddle.llm.token_planes import op9_token_planes
 
-QUERIES = {q.__name__: q for q in (op9_token_planes, op10_vector_bin_packing)}
+QUERIES = {q.__name__: q for q in (op5_low_discrepancy_mix, op7_ngram_ratio, op9_token_planes, op10_vector_bin_packing)}
 ORACLES: dict[str, str] = {}
