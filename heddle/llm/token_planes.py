@@ -8,8 +8,8 @@ from the start of its partition, doc_ids and doc_lens are its documents, payload
 
 Scale. The text is shuffled once; ids never are. Global starts need one number for each written partition, which is
 all that is broadcast. Segments are flushed at SEGMENT_IDS ids, so memory holds one segment or one document.
-The tokenizer is called once for each distinct word that a worker meets (words are cut at ASCII white space, which
-this kind of tokenizer drops and never joins across); the cache is cleared at CACHE_WORDS words.
+The tokenizer is called once for each distinct word that a worker process meets (words are cut at ASCII white space,
+which this kind of tokenizer drops and never joins across); the caches are cleared at CACHE_WORDS and CACHE_PIECES.
 
 Defined cases: a null or blank text gives the end id alone. Null ids come first. Rows that repeat are all kept.
 An empty table gives an empty file set and no rows. Further columns of the input are ignored.
@@ -17,6 +17,8 @@ An empty table gives an empty file set and no rows. Further columns of the input
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import materialize, read
 
-BLOCK_IDS, SEGMENT_IDS, SEGMENT_DOCS, CACHE_WORDS = 16384, 1 << 18, 4096, 400_000
+BLOCK_IDS, SEGMENT_IDS, SEGMENT_DOCS, CACHE_WORDS, CACHE_PIECES = 16384, 1 << 18, 4096, 1_000_000, 500_000
 SEGMENT_SCHEMA = "pid int, seg int, local_start long, n_ids long, kind string, doc_ids array<long>, doc_lens binary, payload binary, ends array<int>, widths binary"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -89,25 +91,74 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words of these characters alone are cut here as the tokenizer's own rules cut them: no control characters,
+#: combining marks, white space or letters whose lower case has another length.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
+
+
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit bytes, for tokenizers that drop white space and never join across it."""
+    """Ids of a text as little-endian 32-bit bytes, for tokenizers that drop white space and never join across it.
+
+    The first use looks into the tokenizer's settings. If they are lower case, NFC and a regular-expression split before
+    a byte-level alphabet, plain words are cut by that expression here and each distinct piece goes to the tokenizer's
+    model once; all other words go to the tokenizer whole. Either way a word's ids are those of the library."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        import regex
+
+        self.tokenizer = _tokenizer(path)
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters, self.cut = _byte_letters(), None
+        rules = json.loads(self.tokenizer.to_str())
+        steps, cuts = (rules["normalizer"] or {}).get("normalizers", []), (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and not cuts[1]["add_prefix_space"]:
+            self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+            self.special = [x["content"] for x in rules["added_tokens"]]
+
+    def piece(self, x: str) -> bytes:
+        found = self.pieces.get(x)
+        if found is None:
+            plain = "".join([self.letters[b] for b in x.encode()])
+            found = self.pieces[x] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], "<u4").tobytes()
+        return found
+
+    def learn(self, new: list[bytes]) -> None:
+        odd = []
+        for w in new:
+            text = w.decode()
+            if self.cut and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+                self.words[w] = b"".join([self.piece(x) for x in self.cut(text.lower())])
+            else:
+                odd.append(w)
+        for k in range(0, len(odd), 10_000):
+            part = odd[k : k + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         cut = [(x or "").encode().split() for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in cut for w in ws if w not in known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known = self.words
+        self.learn(list({w for ws in cut for w in ws if w not in known}))
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for each process, so that tasks share what is known."""
+    return WordEncoder(path)
+
+
 def write_ids(docs: DataFrame, encoder: Callable[[], Callable[[list], list[bytes]]], end_id: int | None = None, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes docs in ascending id order and writes the segment table; returns the table as read back.
     encoder() is called once in each task and gives a function from texts to little-endian 32-bit id bytes."""
@@ -179,5 +230,5 @@ def op9_token_planes(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    written = write_ids(read(spark, sf_dir, "documents"), lambda: WordEncoder(path), end_id=1)
+    written = write_ids(read(spark, sf_dir, "documents"), lambda: word_encoder(path), end_id=1)
     return read_ids(written, digest, DOC_SCHEMA)
