@@ -3,6 +3,7 @@
 from heddle.llm.mixing import op5_low_discrepancy_mix
 from heddle.llm.near_documents import OP6_SQL, op6_odd_sketch_minhash
 from heddle.llm.near_vectors import OP4_SQL, op4_pivot_permutation
+from heddle.llm.pieces import op2_sampled_pieces
 from heddle.llm.ppm import op1_ppm_score
 from heddle.llm.quality_rules import op7_ngram_ratio
 from heddle.llm.sharding import op10_vector_bin_packing
@@ -10,5 +11,5 @@ from heddle.llm.substrings import OP8_SQL, op8_relative_lempel_ziv
 from heddle.llm.token_planes import op9_token_planes
 from heddle.llm.toxicity import op3_ftrl_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_ppm_score, op3_ftrl_toxicity, op4_pivot_permutation, op5_low_discrepancy_mix, op6_odd_sketch_minhash, op7_ngram_ratio, op8_relative_lempel_ziv, op9_token_planes, op10_vector_bin_packing)}
+QUERIES = {q.__name__: q for q in (op1_ppm_score, op2_sampled_pieces, op3_ftrl_toxicity, op4_pivot_permutation, op5_low_discrepancy_mix, op6_odd_sketch_minhash, op7_ngram_ratio, op8_relative_lempel_ziv, op9_token_planes, op10_vector_bin_packing)}
 ORACLES: dict[str, str] = {"op4_pivot_permutation": OP4_SQL, "op6_odd_sketch_minhash": OP6_SQL, "op8_relative_lempel_ziv": OP8_SQL}
