@@ -307,7 +307,8 @@ def decode(ids: np.ndarray | list[int], path: str) -> str:
 
 
 def encode_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED, sample: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with piece_ids (array of int) and lossless (whether decoding gives the text back) appended."""
+    """docs with piece_ids (array of int) and lossless (whether decoding gives the text back) appended; columns of these names are replaced."""
+    docs = docs.drop("piece_ids", "lossless", "_key")
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -207,7 +207,8 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDO
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """docs with n_words, n_removed, kept (the words that stay, joined by one space; null if none goes) appended."""
+    """docs with n_words, n_removed, kept (the words that stay, joined by one space) appended; columns of these names are replaced."""
+    docs = docs.drop("n_words", "n_removed", "kept", "k1", "k2", "spans")
     rows = keyed(docs, id_col, text_col)
     spans = materialize(duplicate_spans(rows, text_col, window, k))
     out = join_bounded(rows, spans, ["k1", "k2"], "left", spans.count(), BROADCAST_ROWS).drop("k1", "k2")

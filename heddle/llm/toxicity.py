@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, passes: int
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -> DataFrame:
-    """docs with score appended."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """docs with score appended; a column of that name is replaced."""
+    docs, held = docs.drop("score"), docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
