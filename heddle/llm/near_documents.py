@@ -5,13 +5,12 @@ BANDS * ROWS MinHash samples: bands of them are bucket keys, and all of them tog
 bitmap of SKETCH_BITS parities, whose exclusive-or has few bits set when two sets are alike. Pairs of a bucket are
 taken only if their sizes and sketches allow the similarity, and are linked only if their full sets confirm it.
 
-Not all pairs of a bucket are looked at, yet no component is lost. In each round every bucket that still spans two
-components names a leader, and its members of other components are compared with the leader alone; linked ones join.
-After ROUNDS rounds the pairs that still lie in different components of one bucket are compared, with members of the
-bucket's largest component on one side at most.
+Not all pairs of a bucket are looked at, yet no component is lost. Every bucket names LEADERS leaders, and its members are
+compared with these alone; linked ones join. Then the pairs that still lie in different components of one bucket are
+compared, with members of the bucket's largest component on one side at most.
 
 Scale. Texts are read once for sets and once for the members of shared buckets; bucket rows are numbers. A group of very
-many near copies costs one comparison for each member and round. Joins that meet a hot leader or hot bucket are plain
+many near copies costs LEADERS comparisons for each member. Joins that meet a hot leader or hot bucket are plain
 joins, which adaptive execution can split.
 
 With 32 bands of 6, a pair of similarity 0.8 meets in some bucket with probability 0.99994, and the sketch bound lies four
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import NO_ID, join_bounded, materialize, read
 from heddle.llm.components import components
 
-SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS, ROUNDS = 4, 80, 32, 6, 512, 4
+SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS, LEADERS = 4, 80, 32, 6, 512, 3
 CACHE_WORDS, BROADCAST_ROWS = 400_000, 100_000
 
 _known: dict[bytes, int] = {}
@@ -123,7 +122,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 def likely(percent: int) -> Column:
     """Whether sizes (na, nb) and sketches (sa, sb) allow the similarity."""
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    # written out word by word, as compiled code inside the join; a lambda would be interpreted for each pair
+    bits = sum(F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_BITS // 64))
     return sizes & (bits <= most_bits(percent))
 
 
@@ -162,32 +162,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = materialize(join_bounded(rows.select("k1", "k2", "text"), keys, ["k1", "k2"], "inner", n_nodes, BROADCAST_ROWS).dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("node"), "text"))
     side = lambda k: info.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k))
 
-    def linked(pairs: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def linked(pairs: DataFrame) -> DataFrame:
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["a", "b"], "left_anti")
-        able = materialize(new.join(side("a"), "a").join(side("b"), "b").where(likely(percent)).select("a", "b"))
-        return able, materialize(confirm(able, texts, shingle, percent))
-
-    empty = docs.sparkSession.createDataFrame([], "node long, component long")
-    edges, seen, parts = None, None, empty
-    turn = 0
-    while turn <= ROUNDS:
-        labelled = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("leader"), F.col("part").alias("of"))).alias("head")).where("low < high")
-        if turn < ROUNDS:
-            pairs = labelled.join(split.select("bucket", "head.leader", "head.of"), "bucket").where("part <> of").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            pairs = leftover(labelled.join(split.select("bucket"), "bucket", "left_semi"), info, percent)
-        able, new = linked(pairs, seen)
-        turn += 1
-        if able.isEmpty():  # no leader has a likely partner left: on to the last comparison
-            turn = ROUNDS if turn < ROUNDS else turn
-            continue
-        seen = able if seen is None else materialize(seen.unionByName(able))
-        if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            parts = materialize(components(edges))
+        return materialize(confirm(new.join(side("a"), "a").join(side("b"), "b").where(likely(percent)).select("a", "b"), texts, shingle, percent))
+
+    # every member of a bucket against its leaders, a few nodes that come first in orders of their own
+    order = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node"))["node"]
+    heads = members.groupBy("bucket").agg(F.array_distinct(F.array(*(order(k) for k in range(LEADERS)))).alias("leaders"))
+    pairs = members.join(heads, "bucket").select(F.explode("leaders").alias("a"), F.col("node").alias("b")).where("a <> b")
+    parts = materialize(components(linked(pairs)))
+    # what is still apart in a bucket, against all of it; links found now are between components
+    labelled = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+    late = linked(leftover(labelled.join(split, "bucket", "left_semi"), info, percent))
+    if not late.isEmpty():
+        known = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+        between = late.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        every = parts.unionByName(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node")))
+        parts = materialize(every.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
     found = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # a class may hold an id that is also, by another text, in another class: its smallest component counts
