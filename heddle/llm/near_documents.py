@@ -35,7 +35,7 @@ from heddle.llm.common import NO_ID, join_bounded, materialize, read
 from heddle.llm.components import components
 
 SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS, LEADERS = 4, 80, 32, 6, 512, 3
-CACHE_WORDS, BROADCAST_ROWS = 400_000, 100_000
+CACHE_WORDS, CACHE_SHINGLES, BROADCAST_ROWS = 400_000, 4_000_000, 100_000
 
 _known: dict[bytes, int] = {}
 _random = np.random.default_rng(20)
@@ -131,13 +131,28 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     """pairs (a, b) whose full sets reach the similarity. texts: node, text."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
-            linked, last, held = [], None, None
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                held = shingle_set(ta, shingle) if a != last else held
-                last, other = a, shingle_set(tb, shingle)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                linked.append(100 * both >= percent * (len(held) + len(other) - both))
+            ids = {k: batch.column(k).to_pylist() for k in "ab"}
+            texts_of = {k: batch.column("t" + k) for k in "ab"}
+            linked = []
+            for i in range(batch.num_rows):
+                pair = []
+                for k in "ab":
+                    node = ids[k][i]
+                    held = sets.get(node)
+                    if held is None:  # a document of many pairs is cut once
+                        if size > CACHE_SHINGLES:
+                            sets.clear()
+                            size = 0
+                        held = sets[node] = shingle_set(texts_of[k][i].as_py(), shingle)
+                        size += len(held)
+                    pair.append(held)
+                x, y = pair if len(pair[0]) <= len(pair[1]) else pair[::-1]
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     own = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias("t" + k))
