@@ -60,7 +60,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").ravel()
 
 
-def pack(ids: np.ndarray, kind: str = "byte", level: int = 3) -> tuple[bytes, list[int], bytes]:
+def pack(ids: np.ndarray, kind: str = "byte", level: int = 1) -> tuple[bytes, list[int], bytes]:
     """Compressed planes of all blocks, the end of each plane, and the number of planes of each block."""
     press, out, ends, widths, at = zstandard.ZstdCompressor(level=level), [], [], [], 0
     for i in range(0, len(ids), BLOCK_IDS):
@@ -143,14 +143,19 @@ class WordEncoder:
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(x or "").encode().split() for x in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        known = self.words
-        self.learn(list({w for ws in cut for w in ws if w not in known}))
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        look, out = self.words.get, []
+        for x in texts:
+            ws = (x or "").encode().split()
+            ids = list(map(look, ws))
+            if None in ids:
+                self.learn(list({w for w, i in zip(ws, ids, strict=True) if i is None}))
+                ids = list(map(look, ws))
+            out.append(b"".join(ids))
+        return out
 
 
 @cache
