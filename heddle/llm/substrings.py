@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import NO_ID, join_bounded, materialize, read
 
 WINDOW, K = 35, 8
-CACHE_WORDS, PIECE_WORDS, BROADCAST_ROWS = 400_000, 300_000, 100_000
+CACHE_WORDS, PIECE_WORDS, BROADCAST_ROWS, BROADCAST_ITEMS = 400_000, 300_000, 100_000, 4_000_000
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 BASE2, INVERSE2 = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 
@@ -175,6 +175,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def held_rows(table: DataFrame, items: str) -> int:
+    """Rows of a table with an array column, or more than can be broadcast if the arrays hold more than BROADCAST_ITEMS items in all."""
+    rows, held = table.agg(F.count("*"), F.coalesce(F.sum(F.size(items)), F.lit(0))).first()
+    return rows if held <= BROADCAST_ITEMS else max(rows, BROADCAST_ROWS + 1)
+
+
 def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with k1, k2. For each key that has some: k1, k2 and spans, an array of (start, stop) in words, disjoint and in order."""
     occurrences = materialize(anchors(docs, text_col, window, k))
@@ -190,7 +196,7 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDO
     alike = again.where("NOT mixed").select("k1", "k2", F.col("first").alias("at"), (F.col("last") - F.col("first") + 1).alias("n"), F.col("ref.k1").alias("ref1"), F.col("ref.k2").alias("ref2"), F.col("ref.first").alias("ref_at"))
 
     mixed = materialize(again.where("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("mixed")))
-    texts = join_bounded(docs.select("k1", "k2", text_col), mixed, ["k1", "k2"], "inner", mixed.count(), BROADCAST_ROWS)
+    texts = join_bounded(docs.select("k1", "k2", text_col), mixed, ["k1", "k2"], "inner", held_rows(mixed, "mixed"), BROADCAST_ROWS)
     windows = materialize(windows_of(texts, text_col, window))
     place = F.struct("k1", "k2", "at")
     index = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("z")).where("n > 1")
@@ -211,7 +217,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     docs = docs.drop("n_words", "n_removed", "kept", "k1", "k2", "spans")
     rows = keyed(docs, id_col, text_col)
     spans = materialize(duplicate_spans(rows, text_col, window, k))
-    out = join_bounded(rows, spans, ["k1", "k2"], "left", spans.count(), BROADCAST_ROWS).drop("k1", "k2")
+    out = join_bounded(rows, spans, ["k1", "k2"], "left", held_rows(spans, "spans"), BROADCAST_ROWS).drop("k1", "k2")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
