@@ -31,14 +31,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_ID, held_out, materialize, read
+from heddle.llm.common import NO_ID, held_out, join_bounded, materialize, read
 
 ORDER, MAX_GRAMS, HOT_WORDS, LONG_WORD = 5, 3 << 19, 1 << 17, 64
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
-PIECE_BYTES, COUNT_BYTES = 1 << 20, 1 << 22
+PIECE_BYTES, COUNT_BYTES, BROADCAST_ROWS = 1 << 20, 1 << 22, 100_000
 END_TOKEN = b" end"  # words hold no spaces, so this is none
 
 
@@ -171,21 +171,7 @@ class Trie:
         """As cost, but grams of the longest order are read off a hash table."""
         if self.table_keys is None:
             return self.cost(grams)
-        size = len(self.table_keys)
-        slot = slots(grams, size)
-        found = self.table_keys[slot]
-        out = self.table_values[slot]
-        open_ = np.flatnonzero(found != grams)
-        missing = [open_[found[open_] == -1]]
-        open_ = open_[found[open_] != -1]
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & (size - 1)
-            found_now = self.table_keys[slot[open_]]
-            hit = found_now == grams[open_]
-            out[open_[hit]] = self.table_values[slot[open_[hit]]]
-            missing.append(open_[found_now == -1])
-            open_ = open_[~hit & (found_now != -1)]
-        lost = np.concatenate(missing)
+        out, lost = look_up(self.table_keys, self.table_values, grams)
         if len(lost):
             rare, back = np.unique(grams[lost], return_inverse=True)
             out[lost] = self.cost(rare)[back]
@@ -211,40 +197,98 @@ def open_table(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, held
 
 
-def levels_of(counts: DataFrame, order: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Grams and counts of all orders, each order bounded by `most` rows on the driver."""
-    out, least = [], None
+def look_up(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of grams in an open table, and the places of those that it does not hold."""
+    size = len(keys)
+    slot = slots(grams, size)
+    found = keys[slot]
+    out = values[slot]
+    open_ = np.flatnonzero(found != grams)
+    missing = [open_[found[open_] == -1]]
+    open_ = open_[found[open_] != -1]
+    while len(open_):
+        slot[open_] = (slot[open_] + 1) & (size - 1)
+        found_now = keys[slot[open_]]
+        hit = found_now == grams[open_]
+        out[open_[hit]] = values[slot[open_[hit]]]
+        missing.append(open_[found_now == -1])
+        open_ = open_[~hit & (found_now != -1)]
+    return out, np.concatenate(missing)
+
+
+def low_bits(k: int, c: str = "gram") -> Column:
+    """The last k symbols."""
+    return F.col(c).bitwiseAND((1 << (BITS * k)) - 1)
+
+
+def levels_of(counts: DataFrame, order: int) -> list[tuple[DataFrame, int]]:
+    """gram and n of every order, whole, and the number of grams."""
+    out = []
     for k in range(order, -1, -1):
-        level = counts.groupBy(F.col("gram").bitwiseAND((1 << (BITS * (k + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")) if k < order else counts
+        level = counts.groupBy(low_bits(k + 1).alias("gram")).agg(F.sum("n").alias("n")) if k < order else counts
         level = materialize(level)
-        held = level.count()
-        floor = 1
-        if held > most:  # the smallest count that leaves `most` rows at the most
-            many = level.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()
-            total, floor = 0, (1 << 16) + 1
-            for r in many:
-                total += r["count"]
-                if total > most:
-                    break
-                floor = r["n"]
-        floor = floor if least is None else min(floor, least)
-        least = floor
-        rows = level.where(F.col("n") >= floor).toArrow()
-        grams, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-        by = np.argsort(grams)
-        out.append((grams[by], n[by]))
+        out.append((level, level.count()))
     return out[::-1]
 
 
-def hot_words(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
-    """The most frequent words, `most` at the most, and the count that they all reach."""
-    many = words.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).collect()
-    total, floor = 0, (1 << 20) + 1
+def as_arrays(level: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = level.toArrow()
+    grams, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+    by = np.argsort(grams)
+    return grams[by], n[by]
+
+
+def seen_costs(level: DataFrame) -> DataFrame:
+    """gram, n and cost of each gram of the longest order."""
+    totals = level.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"))
+    return level.withColumn("context", F.shiftright("gram", BITS)).join(totals, "context").select("gram", "n", (F.log10(F.col("n") - 0.5) - F.log10("total")).alias("cost"))
+
+
+def unseen_costs(asked: DataFrame, levels: list[tuple[DataFrame, int]]) -> DataFrame:
+    """gram and cost of grams of the longest order (asked, distinct), by all levels: Trie.cost as joins."""
+    out = asked.select("gram", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("x_n"), F.lit(None).cast("long").alias("x_kinds"))
+    stats = [level.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")) for level, _ in levels]
+    for k in range(len(levels) - 1, -1, -1):
+        level, held = levels[k]
+        contexts = stats[k]
+        if k:  # the shorter context, without this context's symbols
+            low, n_low = levels[k - 1]
+            lower = low.select(F.col("gram").alias("low"), F.col("n").alias("low_n"))
+            gone = join_bounded(level.select(F.shiftright("gram", BITS).alias("context"), low_bits(k).alias("low")), lower, ["low"], "inner", n_low, BROADCAST_ROWS)
+            gone = gone.groupBy("context").agg(F.sum("low_n").alias("gone_n"), F.count("*").alias("kinds")).withColumn("below", low_bits(k - 1, "context"))
+            below = stats[k - 1].select(F.col("context").alias("below"), F.col("total").alias("below_n"), F.col("kinds").alias("below_kinds"))
+            gone = join_bounded(gone, below, ["below"], "inner", n_low, BROADCAST_ROWS)
+            left = gone.select("context", (F.col("below_n") - F.col("gone_n")).alias("left_n"), (F.col("below_kinds") - F.col("kinds")).alias("left_kinds"))
+            contexts = contexts.join(left, "context")
+        else:
+            contexts = contexts.withColumns({"left_n": F.lit(None).cast("long"), "left_kinds": F.lit(None).cast("long")})
+        contexts = materialize(contexts)
+        out = join_bounded(out.withColumn("own", low_bits(k + 1)), level.select(F.col("gram").alias("own"), "n"), ["own"], "left", held, BROADCAST_ROWS)
+        out = join_bounded(out.withColumn("context", F.shiftright("own", BITS)), contexts, ["context"], "left", held, BROADCAST_ROWS)
+        hit = F.log10(F.col("n") - 0.5) - F.log10(F.coalesce("x_n", "total"))
+        cut = F.when(F.col("x_kinds") > 0, F.log10(F.col("x_kinds") / F.greatest(2 * F.col("x_n"), F.lit(1)))).otherwise(0.0)
+        escape = F.when(F.col("total").isNull(), 0.0).when(F.col("x_n").isNotNull(), cut).otherwise(F.log10(F.col("kinds") / (2 * F.col("total"))))
+        step = F.when(F.col("done"), 0.0).when(F.col("n").isNotNull(), hit).otherwise(escape)
+        out = out.select("gram", (F.col("cost") + step).alias("cost"), (F.col("done") | F.col("n").isNotNull()).alias("done"), F.col("left_n").alias("x_n"), F.col("left_kinds").alias("x_kinds"))
+    rest = SYMBOLS - levels[0][1]
+    return out.select("gram", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(-math.log10(rest) if rest > 0 else -math.inf)).alias("cost"))
+
+
+def least_count(level: DataFrame, most: int, top: int) -> int:
+    """The smallest count that leaves `most` rows at the most; counts of `top` and more are one."""
+    many = level.groupBy(F.least("n", F.lit(top)).alias("n")).count().orderBy(F.desc("n")).collect()
+    total, floor = 0, top + 1
     for r in many:
         total += r["count"]
         if total > most:
             break
         floor = r["n"]
+    return floor
+
+
+def hot_words(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
+    """The most frequent words, `most` at the most, and the count that they all reach."""
+    floor = least_count(words, most, 1 << 20)
     rows = words.where(F.col("n") >= floor).toArrow()
     return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True)), floor
 
@@ -254,22 +298,55 @@ def _trie(levels) -> Trie:
     return Trie(levels.value)
 
 
+@lru_cache(maxsize=1)
+def _table(costs) -> tuple[np.ndarray, np.ndarray]:
+    return open_table(*costs.value)
+
+
+def rare_grams(gram: np.ndarray, n: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text, gram and number of each text's distinct grams at the places `lost`; n: symbols of each text."""
+    of, own = np.searchsorted(np.cumsum(n), lost, "right"), gram[lost]
+    by = np.lexsort((own, of))
+    of, own = of[by], own[by]
+    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (own[1:] != own[:-1]))[: len(of)])
+    return of[first], own[first], np.diff(np.append(first, len(of)))
+
+
 def score_texts(docs: DataFrame, counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, most_hot: int = HOT_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
     context = docs.sparkSession.sparkContext
     words = materialize(counts.where("word IS NOT NULL").select("word", "n"))
-    levels = levels_of(counts.where("word IS NULL").select("gram", "n"), order, max_grams)
+    levels = levels_of(counts.where("word IS NULL").select("gram", "n"), order)
+    whole = all(held <= max_grams for _, held in levels)
     n_all, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     table, floor = hot_words(words, most_hot)
-    held_levels, held_hot = context.broadcast(levels), context.broadcast(table)
+    held_hot = context.broadcast(table)
+    if whole:
+        held_levels = context.broadcast([as_arrays(level) for level, _ in levels])
+    else:
+        seen = materialize(seen_costs(levels[-1][0]))
+        often = seen.where(F.col("n") >= least_count(seen, max_grams, 1 << 16)).select("gram", F.col("cost").alias("n"))
+        held_costs = context.broadcast(as_arrays(often))
+
+    names = ["k1", "k2", "word", "m", "tokens", "known", "total", "score", "copies", "gram"]
+    kinds_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot = _trie(held_levels), held_hot.value
+        hot = held_hot.value
         for batch in batches:
             k1, k2, texts = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text").to_pylist()
             for first, held in pieces(texts):
                 gram, n = symbols_of(held, order)
-                score = np.add.reduceat(trie.score(gram), np.concatenate([[0], np.cumsum(n)[:-1]]))
+                if whole:
+                    cost = _trie(held_levels).score(gram)
+                else:
+                    cost, lost = look_up(*_table(held_costs), gram)
+                    cost[lost] = 0.0
+                    of, own_gram, m = rare_grams(gram, n, lost)
+                    a, b = (np.array(k[first : first + len(held)], np.int64)[of] for k in (k1, k2))
+                    none = [pa.nulls(len(of), t) for t in kinds_]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none[2], pa.array(m, pa.int64()), *none[4:9], pa.array(own_gram)], names)
+                score = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(n)[:-1]]))
                 out: list[tuple] = []
                 for i, x in enumerate(held):
                     own = Counter(x.split())
@@ -283,19 +360,27 @@ def score_texts(docs: DataFrame, counts: DataFrame, order: int = ORDER, max_gram
                             key = word_key(w) if w != END_TOKEN else w
                             c = hot.get(key)
                         if c is None:
-                            out.append((a, b, key, m, None, None, None, None, None))
+                            out.append((a, b, key, m, None, None, None, None, None, None))
                         else:
                             known += m
                             total += m * math.log10(c + 0.5)
                     # the row of the document itself, under a key that no word has
-                    out.append((a, b, b" %d %d" % (a, b), None, tokens, known, total, float(score[i]), 1))
-                kinds_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], ["k1", "k2", "word", "m", "tokens", "known", "total", "score", "copies"])
+                    out.append((a, b, b" %d %d" % (a, b), None, tokens, known, total, float(score[i]), 1, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], names)
 
-    schema = "k1 long, k2 long, word binary, m long, tokens long, known long, total double, score double, copies long"
+    schema = "k1 long, k2 long, word binary, m long, tokens long, known long, total double, score double, copies long, gram long"
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k2"), "text").mapInArrow(apply, schema)
     rare = words.where(F.col("n") < floor)
-    met = rows.join(rare, "word", "left")
+    if whole:
+        met = rows.join(rare, "word", "left")
+    else:
+        rows = materialize(rows)
+        lost = rows.where("gram IS NOT NULL")
+        unseen = unseen_costs(materialize(lost.select("gram").distinct().join(seen, "gram", "left_anti")), levels)
+        costs = seen.select("gram", "cost").unionByName(unseen)
+        met = rows.where("gram IS NULL").join(rare, "word", "left").drop("gram")
+        priced = lost.join(costs, "gram").withColumns({"score": F.col("m") * F.col("cost"), "m": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
+        met = met.unionByName(priced.drop("gram", "cost"))
     cost = F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))
     sums = met.groupBy("k1", "k2").agg(
         F.sum("copies").alias("copies"),

@@ -117,6 +117,15 @@ def test_ppm_bounds_change_only_the_score(spark, odd):
     assert np.allclose(sorted(tight.base_score), sorted(wide.base_score)) and np.isfinite(tight.score).all()
 
 
+def test_ppm_keeps_every_gram(spark):
+    train = ["abracadabra", "abra cad", "the end", "", base_text(3, 30)]
+    tests = ["abra", "cadabra zebra", "", None, "QUITE", "ünï", base_text(3, 20) + " abra", "abra"]
+    docs = docs_of(spark, tests, [0, 1, 2, 3, 4, 5, None, 0]).select("doc_id", "text")
+    for most in (0, 5, 60):
+        got = ppm.score_texts(docs, ppm.count(docs_of(spark, train), order=3), order=3, max_grams=most).toPandas()
+        assert np.allclose(sorted(got.score), sorted(brute_ppm(train, t or "", 3) for t in tests))
+
+
 def test_ppm_empty(spark, none, odd):
     assert ppm.score_texts(none.select("doc_id", "text"), ppm.count(none)).count() == 0
     assert ppm.score_texts(odd.select("doc_id", "text"), ppm.count(none)).count() == 11
