@@ -37,17 +37,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_documents.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    gone = materialize(found.where("NOT kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct())
-    rows = packed(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = join_bounded(rows, gone, ["_id"], "left_anti", gone.count(), BROADCAST_ROWS)
-    # rows that share an id are copies of one document; only those are dealt by key
-    twice = materialize(docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id")).count().where("count > 1").select("_id"))
-    n = twice.count()
-    if n:
-        again = join_bounded(rows, twice, ["_id"], "left_semi", n, BROADCAST_ROWS).withColumn("_any", F.when(F.size(words(F.col("text"))) == 0, F.monotonically_increasing_id()))
-        rows = join_bounded(rows, twice, ["_id"], "left_anti", n, BROADCAST_ROWS).unionByName(again.dropDuplicates(["_id", "_any"]).drop("_any"))
-    return unpacked(rows, docs)
+    """One row of each component, that of the smallest id; rows are told apart by a key of their own, as ids may be null or repeat."""
+    rows = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_key")))
+    found = near_documents.near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), SHINGLE, PERCENT)
+    found = materialize(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_part")))
+    ids = rows.select("_key", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
+    first = found.join(ids, "_key").groupBy("_part").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key"))
+    gone = materialize(found.join(first, "_key", "left_anti").select("_key"))
+    return unpacked(join_bounded(rows, gone, ["_key"], "left_anti", gone.count(), BROADCAST_ROWS), docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -402,5 +402,16 @@ def test_pipeline_on_odd_rows(spark, odd, none, sf_dir):
         assert docs.count() >= 0
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    a, b, c = base_text(1, 200), base_text(2, 200), base_text(3, 200)
+    rows = [(None, a), (None, b), (None, b + " x"), (7, c), (7, a + " y"), (7, base_text(4, 200)), (8, c), (8, c), (9, ""), (9, ""), (None, None)]
+    got = cp.keep_one_of_near_copies(spark, docs_of(spark, [t for _, t in rows], [i for i, _ in rows]), sf_dir).toPandas()
+    kept = Counter((None if pd.isna(i) else int(i), t or "") for i, t in zip(got.doc_id, got.text, strict=True))
+    low = kept.pop((None, b), 0) + kept.pop((None, b + " x"), 0)
+    assert low == 1 and kept == Counter({(None, a): 1, (7, c): 1, (7, base_text(4, 200)): 1, (9, ""): 2, (None, ""): 1})
+
+
 def test_digest_of_removed_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
