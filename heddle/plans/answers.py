@@ -14,9 +14,10 @@ P = """p AS (SELECT doc_id, source AS task, substr(text, 1, 300) AS predicted,
   [CASE WHEN doc_id % 3 = 0 THEN substr(text, 5, 12) ELSE 'no' || doc_id END, substr(text, 30, 8)] AS answers, n_chars, lang FROM documents)"""
 
 
-def predictions(t: Tables) -> DataFrame:
+def predictions(t: Tables, whole: bool = False) -> DataFrame:
+    """The rows of P; whole: of the whole texts."""
     first = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 5, 12)).otherwise(F.concat(F.lit("no"), F.col("doc_id").cast("string")))
-    return t.documents.select("doc_id", F.col("source").alias("task"), F.substring("text", 1, 300).alias("predicted"), F.array(first, F.substring("text", 30, 8)).alias("answers"), "n_chars", "lang")
+    return t.documents.select("doc_id", F.col("source").alias("task"), (F.col("text") if whole else F.substring("text", 1, 300)).alias("predicted"), F.array(first, F.substring("text", 30, 8)).alias("answers"), "n_chars", "lang")
 
 
 def over_text(name: str, sql: str, f, source: str = "text") -> None:
@@ -61,7 +62,7 @@ over_text("truncate_context", "substr(s, 1, 128)", lambda s: F.substring(s, 1, 1
 over_text("needle_chars", "substr(s, 1, length(s) // 3) || '<needle>' || substr(s, length(s) // 3 + 1)", lambda s: tx.insert_at(s, F.lit("<needle>"), F.floor(F.length(s) / 3).cast("int")), HEAD)
 over_text("slice_by_index", "substr(s, length(s) // 4 + 1, length(s) // 2 - length(s) // 4)", lambda s: F.substring(s, F.floor(F.length(s) / 4).cast("int") + 1, (F.floor(F.length(s) / 2) - F.floor(F.length(s) / 4)).cast("int")), HEAD)
 over_text("retrieval_words", "array_to_string(list_filter(string_split_regex(translate(s, '\n:\"''.,?!{}', repeat(' ', 10)), '\\s+'), lambda x: x <> ''), ' ')", lambda s: F.array_join(tx.tokens(tx.spaced(s, "\n:\"'.,?!{}")), " "), HEAD)
-query("norm_answer_nfd")(lambda t: t.documents.select("doc_id", tx.normalize_answer(an.decomposed(F.substring("text", 1, 400))).alias("out")))
+query("norm_answer_nfd")(lambda t: t.documents.select("doc_id", tx.normalize_answer(an.decomposed(F.col("text"))).alias("out")))
 
 query(
     "ruler_split",
@@ -238,8 +239,8 @@ query("loft_em_multi", f"WITH {MULTI} SELECT doc_id, list_sort(list_distinct(g))
 )
 query("loft_multi_subspan")(lambda t: multi(t).select("doc_id", an.all_aligned("g", "p").alias("score")))
 query("loft_extract")(lambda t: t.documents.select("doc_id", an.listed(F.concat(F.lit("Final Answer: ['it's "), F.col("lang"), F.lit("', 'b']"))).alias("items")))
-query("rouge_l")(lambda t: predictions(t).select("doc_id", F.round(an.rouge_l("predicted", F.get("answers", F.lit(0))), 6).alias("score")))
-query("code_sim")(lambda t: predictions(t).select("doc_id", F.round(an.similarity(tx.first_code_line(F.col("predicted")), F.get("answers", F.lit(0))), 6).alias("score")))
+query("rouge_l")(lambda t: predictions(t, whole=True).select("doc_id", F.round(an.rouge_l("predicted", F.get("answers", F.lit(0))), 6).alias("score")))
+query("code_sim")(lambda t: predictions(t, whole=True).select("doc_id", F.round(an.similarity(tx.first_code_line(F.col("predicted")), F.get("answers", F.lit(0))), 6).alias("score")))
 query(
     "rouge_n_recall",
     """WITH w AS (SELECT doc_id, list_filter(string_split_regex(substr(text, 1, 300), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(substr(text, 100, 150), '\\s+'), lambda x: x <> '') AS g FROM documents),

@@ -103,3 +103,27 @@ def test_errors(spark):
         etl.layered({"a": {"extends": "b"}, "b": {"extends": "a"}}, "a")
     with pytest.raises(Exception):
         etl.expand_pairs(spark.createDataFrame([(1, ["a"], ["x", "y"])], "id int, questions array<string>, answers array<string>")).collect()
+
+
+def test_queries_without_sql_read_whole_texts(spark, sf_dir, tmp_path):
+    import difflib
+    import unicodedata
+
+    from heddle.plans import QUERIES
+
+    lead = " ".join(f"w{i}" for i in range(200))  # over 400 characters
+    texts = {3: lead + " Ünique tail", 4: "`skip` " + lead + "\nreturn 1", 6: "short one"}
+    rows = [(i, x, "en", "s", len(x)) for i, x in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    first = {i: x[4:16] if i % 3 == 0 else f"no{i}" for i, x in texts.items()}
+    got = {name: {r["doc_id"]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("norm_answer_nfd", "rouge_l", "code_sim")}
+    assert got["norm_answer_nfd"][3].endswith(unicodedata.normalize("NFD", "ünique tail"))
+    for i, x in texts.items():
+        p, g = x.split(), first[i].split()
+        common = [[0] * (len(g) + 1) for _ in range(len(p) + 1)]
+        for a, w in enumerate(p, 1):
+            for b, v in enumerate(g, 1):
+                common[a][b] = common[a - 1][b - 1] + 1 if w == v else max(common[a - 1][b], common[a][b - 1])
+        assert got["rouge_l"][i] == pytest.approx(2 * common[-1][-1] / (len(p) + len(g)), abs=1e-6)
+        line = next(y for y in x.split("\n") if "`" not in y)
+        assert got["code_sim"][i] == pytest.approx(difflib.SequenceMatcher(None, line, first[i], autojunk=False).ratio(), abs=1e-6)
