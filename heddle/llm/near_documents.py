@@ -17,8 +17,8 @@ With 32 bands of 6, a pair of similarity 0.8 meets in some bucket with probabili
 deviations beyond 0.8.
 
 Defined cases: null, blank texts have the empty set and link with nothing. Texts shorter than a shingle are one shingle.
-Rows that share an id are one document; if their texts differ, links are confirmed on one of them. A null id counts as
-the smallest of all. An empty table gives no rows. Further columns are ignored.
+Links are between texts: rows that share an id, or have none, are linked by their own texts alone. A component is named by its
+smallest id, and a null id counts as the smallest of all. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,16 +165,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = rows.withColumn("k1", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("k2", F.coalesce(F.xxhash64("text"), F.lit(0)))
     signed = materialize(signatures(rows, shingle))
     classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("k1", "k2")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.select("digest", F.col("rep.k1").alias("node"), F.col("rep.k2").alias("k2"), "n", "bands", "sketch"))
+    # a class is a node by a number of its own, as ids may be null or repeat
+    classes = materialize(classes.select("digest", F.monotonically_increasing_id().alias("node"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n", "bands", "sketch"))
 
     bands = classes.select("node", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = materialize(bands.join(shared, "bucket").distinct())
     nodes = materialize(members.select("node").distinct())
     n_nodes = nodes.count()
-    info = materialize(join_bounded(classes.select("node", "k2", "n", "sketch"), nodes, ["node"], "left_semi", n_nodes, BROADCAST_ROWS).dropDuplicates(["node"]))
-    keys = info.select(F.col("node").alias("k1"), "k2")
-    texts = materialize(join_bounded(rows.select("k1", "k2", "text"), keys, ["k1", "k2"], "inner", n_nodes, BROADCAST_ROWS).dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("node"), "text"))
+    info = materialize(join_bounded(classes.select("node", "k1", "k2", "n", "sketch"), nodes, ["node"], "left_semi", n_nodes, BROADCAST_ROWS))
+    keys = info.select("node", "k1", "k2")
+    texts = materialize(join_bounded(rows.select("k1", "k2", "text"), keys, ["k1", "k2"], "inner", n_nodes, BROADCAST_ROWS).dropDuplicates(["node"]).select("node", "text"))
     side = lambda k: info.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -197,8 +198,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         every = parts.unionByName(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node")))
         parts = materialize(every.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
-    found = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    # a class may hold an id that is also, by another text, in another class: its smallest component counts
+    # numbers back to ids: a component has the smallest id of its classes
+    named = materialize(classes.select("node", "k1").join(parts, "node").groupBy("component").agg(F.min("k1").alias("low")))
+    owned = join_bounded(parts, named, ["component"], "inner", named.count(), BROADCAST_ROWS).select("node", "low")
+    found = classes.select("digest", "node", "k1").join(owned, "node", "left").select("digest", F.coalesce("low", "k1").alias("component"))
     out = signed.join(found, "digest", "left").select("k1", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k1")).alias("component"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("k1").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("k1") == F.col("component")).alias("kept"))

@@ -267,6 +267,14 @@ def test_near_documents_against_brute_force(spark, odd, none):
     assert near_documents.near_duplicates(odd).count() == 11 and near_documents.near_duplicates(none).count() == 0
 
 
+def test_near_documents_with_shared_ids(spark):
+    a, b, c = (base_text(s, 120) for s in (1, 2, 3))
+    rows = [(None, a), (None, b), (5, c), (5, a + " x"), (6, b + " x"), (7, c + " x"), (8, c + " y")]
+    got = near_documents.near_duplicates(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).toPandas()
+    found = {(None if pd.isna(i) else int(i), None if pd.isna(c) else int(c)) for i, c in zip(got.doc_id, got.component_id, strict=True)}
+    assert len(got) == 7 and found == {(None, None), (5, 5), (5, None), (6, None), (7, 5), (8, 5)}
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------------
 
 
