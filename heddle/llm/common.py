@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,118 @@ def join_bounded(large: DataFrame, small: DataFrame, on: list[str], how: str, ro
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's decimal text leaves the remainder; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
+
+
+_caches: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Says that `owner` now runs in this worker process; what other operators keep there for later tasks is given back.
+    clear: empties the owner's own caches, once another operator begins."""
+    global _owner
+    if owner != _owner:
+        for name, empty in _caches.items():
+            if name != owner:
+                empty()
+        _owner = owner
+    if clear:
+        _caches[owner] = clear
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spreads each 64-bit number over all its bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Powers kept for later, in all 32 MB for a base.
+KEPT_POWERS = 1 << 21
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse: n and n + 1 of them."""
+
+    def __init__(self, base: int):
+        self.bases = np.uint64(base), np.uint64(pow(base, -1, 2**64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = self.up, self.down
+        if n >= len(up):
+            up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(1 << n.bit_length(), x, np.uint64))) for x in self.bases)
+            if n < KEPT_POWERS:
+                self.up, self.down = up, down
+        return up[:n], down[: n + 1]
+
+
+class Rolling:
+    """Hashes of any range of an array of numbers, from prefix sums modulo 2**64."""
+
+    def __init__(self, h: np.ndarray, powers: Powers):
+        up, self.down = powers(len(h))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
+
+#: Bytes hashed at once. Powers are kept for some more, however long a text is.
+RANGE_BYTES = 1 << 19
+_SPACE = np.isin(np.arange(256), list(b" " + SPACES.encode()))
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FOLDED = _BYTE[np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])]
+_powers = Powers(0xD6E8FEB86659FD93)
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column laid end to end, and the place where each text begins (and the last one ends). A null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.zeros(0, np.uint8)), at - at[0]
+
+
+def hash_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of each text, end to end, and the number of words of each text. lower: A-Z count as a-z.
+    Bytes are looked at all together, so nothing is kept for later and no word is looked up."""
+    data, at = utf8(column)
+    values, n = (_FOLDED if lower else _BYTE), len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    gap = np.ones(n + 1, bool)
+    gap[:n] = _SPACE[data]
+    out, begun, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < n:
+        b = min(a + RANGE_BYTES, n)
+        while b < n and not (gap[b] or edge[b]):  # a word lies in one range
+            more = np.flatnonzero(gap[b : b + 65536] | edge[b : b + 65536])
+            b += int(more[0]) if len(more) else 65536
+        b = min(b, n)
+        word = ~gap[a:b]
+        first, last = word.copy(), word.copy()
+        first[1:] &= gap[a : b - 1] | edge[a + 1 : b]
+        last[:-1] &= gap[a + 1 : b] | edge[a + 1 : b]
+        starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _powers(b - a)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data[a:b]] * up, dtype=np.uint64)])
+        out.append(mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        begun.append(starts + a)
+        a = b
+    begun = np.concatenate(begun)
+    return np.concatenate(out), np.diff(np.searchsorted(begun, at))
+
+
+def text_slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about most_bytes of text, so that a worker holds one part's arrays at a time."""
+    at = utf8(batch.column(text_col))[1]
+    k = 0
+    while k < batch.num_rows:
+        stop = max(k + 1, min(k + most_rows, int(np.searchsorted(at, at[k] + most_bytes))))
+        yield batch.slice(k, stop - k)
+        k = stop

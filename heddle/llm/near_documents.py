@@ -6,12 +6,13 @@ bitmap of SKETCH_BITS parities, whose exclusive-or has few bits set when two set
 taken only if their sizes and sketches allow the similarity, and are linked only if their full sets confirm it.
 
 Not all pairs of a bucket are looked at, yet no component is lost. Every bucket names LEADERS leaders, and its members are
-compared with these alone; linked ones join. Then the pairs that still lie in different components of one bucket are
-compared, with members of the bucket's largest component on one side at most.
+compared with these alone; linked ones join. Then what still lies in different components of one bucket is compared: pair
+by pair in buckets of PAIR_BUCKET members at most, and in tiles of two blocks of members in larger ones, where sketches
+are compared as a matrix and full sets as a product of matrices. A tile holds each text once and gives no pairs.
 
 Scale. Texts are read once for sets and once for the members of shared buckets; bucket rows are numbers. A group of very
-many near copies costs LEADERS comparisons for each member. Joins that meet a hot leader or hot bucket are plain
-joins, which adaptive execution can split.
+many near copies costs LEADERS comparisons for each member, and its tiles only what is still apart. Joins that meet a hot
+leader or hot bucket are plain joins, which adaptive execution can split; a hot bucket is dealt to as many tiles as it needs.
 
 With 32 bands of 6, a pair of similarity 0.8 meets in some bucket with probability 0.99994, and the sketch bound lies four
 deviations beyond 0.8.
@@ -31,60 +32,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_ID, join_bounded, materialize, read
+from heddle.llm.common import NO_ID, claim, hash_words, join_bounded, materialize, mix64, read, text_slices
 from heddle.llm.components import components
 
 SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS, LEADERS = 4, 80, 32, 6, 512, 3
-CACHE_WORDS, CACHE_SHINGLES, BROADCAST_ROWS = 400_000, 4_000_000, 100_000
+PAIR_BUCKET, TILE, SHARED_COLUMNS, BROADCAST_ROWS = 64, 512, 8192, 100_000
 
-_known: dict[bytes, int] = {}
 _random = np.random.default_rng(20)
-_ODD = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Distinct hashes of the text's shingles of `size` words, A-Z lower-cased, in order."""
-    ws = (text or "").encode().lower().split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    for w in ws:
-        if w not in _known:
-            _known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_known[w] for w in ws], np.uint64)
-    n = min(size, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for j in range(n):
-        total = _mix(total + h[j : len(h) - n + 1 + j])
-    return np.unique(total)
+_ODD = _random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """Of each text, the distinct hashes of its shingles of `size` words, A-Z lower-cased, in order; a shorter text is one shingle."""
+    h, counts = hash_words(column, lower=True)
+    ends = np.cumsum(counts)
+    whole = np.full(max(len(h) - size + 1, 0), size, np.uint64)
+    for j in range(size):
+        whole = mix64(whole + h[j : len(h) - size + 1 + j]) if len(whole) else whole
+    out = []
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(whole[a : b - size + 1]))
+        else:
+            short = np.full(min(b - a, 1), b - a, np.uint64)
+            for j in range(a, b):
+                short = mix64(short + h[j : j + 1])
+            out.append(short)
+    return out
 
 
 def min_hash(held: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(held), 1024):
-        out = np.minimum(out, (_ODD[:, None] * held[None, k : k + 1024] + _ADD[:, None]).min(axis=1))
-    return out >> np.uint64(16)
+    """BANDS * ROWS samples of a set of hashes: the smallest of each of as many permutations of their upper halves."""
+    upper, out = (held >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for k in range(0, len(upper), 512):
+        out = np.minimum(out, (_ODD[:, None] * upper[None, k : k + 512] + _ADD[:, None]).min(axis=1))
+    return out.astype(np.uint64)
 
 
 def bands_of(sample: np.ndarray) -> np.ndarray:
     rows = sample.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(ROWS):
-        out = _mix(out + rows[:, j])
+        out = mix64(out + rows[:, j])
     return out
 
 
 def odd_sketch(sample: np.ndarray) -> np.ndarray:
     """SKETCH_BITS parities as 64-bit words: each sample, with its number, flips one bit."""
-    bit = _mix(sample + np.arange(len(sample), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(SKETCH_BITS)
+    bit = mix64(sample + np.arange(len(sample), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(SKETCH_BITS)
     parity = (np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(parity).view("<i8")
 
@@ -102,18 +98,17 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """docs: k1, k2, text. k1, k2, n (set size), digest (of the set), bands, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_documents")
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in text_slices(batch, "text"):
                 n, digest, bands, sketch = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    held = shingle_set(text, shingle)
+                for held in shingle_sets(part.column("text"), shingle):
                     sample = min_hash(held)
                     n.append(len(held))
                     digest.append(xxhash.xxh3_128_digest(held.tobytes()))
                     bands.append(bands_of(sample).view(np.int64) if len(held) else None)
                     sketch.append(odd_sketch(sample) if len(held) else None)
-                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)], ["k1", "k2", "n", "digest", "bands", "sketch"])
 
     return docs.select("k1", "k2", "text").mapInArrow(sign, "k1 long, k2 long, n long, digest binary, bands array<long>, sketch array<long>")
@@ -127,38 +122,106 @@ def likely(percent: int) -> Column:
     return sizes & (bits <= most_bits(percent))
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """pairs (a, b) whose full sets reach the similarity. texts: node, text."""
+    """pairs (a, b) whose full sets reach the similarity. texts: node, text. A leader's text is cut once for each slice that names it."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        size = 0
+        claim("near_documents")
         for batch in batches:
-            ids = {k: batch.column(k).to_pylist() for k in "ab"}
-            texts_of = {k: batch.column("t" + k) for k in "ab"}
-            linked = []
-            for i in range(batch.num_rows):
-                pair = []
-                for k in "ab":
-                    node = ids[k][i]
-                    held = sets.get(node)
-                    if held is None:  # a document of many pairs is cut once
-                        if size > CACHE_SHINGLES:
-                            sets.clear()
-                            size = 0
-                        held = sets[node] = shingle_set(texts_of[k][i].as_py(), shingle)
-                        size += len(held)
-                    pair.append(held)
-                x, y = pair if len(pair[0]) <= len(pair[1]) else pair[::-1]
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            for part in text_slices(batch, "tb"):
+                leaders, first, of = np.unique(part.column("a").to_numpy(), return_index=True, return_inverse=True)
+                held = shingle_sets(part.column("ta").take(pa.array(first)), shingle)
+                linked = [reaches(held[i], own, percent) for i, own in zip(of.tolist(), shingle_sets(part.column("tb"), shingle), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     own = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias("t" + k))
     return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
+def possible(rows: pa.Table, bucket: int, crossed: bool, percent: int) -> np.ndarray:
+    """Which members of a tile (part, n, sketch, bands, upper) sizes and sketches allow to be linked across parts; crossed: only lower with
+    upper ones. A pair that shares several buckets is looked at in that of its first shared band."""
+    part, n, side = (rows.column(c).to_numpy() for c in ("part", "n", "upper"))
+    sketch, bands = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("sketch", "bands"))
+    out = np.triu(np.ones((len(n), len(n)), bool), 1) & (part[:, None] != part[None, :])
+    if crossed:
+        out &= side[:, None] != side[None, :]
+    out &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    bits = np.zeros(out.shape, np.int32)
+    for k in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[:, None, k].view(np.uint64) ^ sketch[None, :, k].view(np.uint64))
+    out &= bits <= most_bits(percent)
+    for k in range(int(np.argmax(bands[0] == bucket))):
+        out &= bands[:, None, k] != bands[None, :, k]
+    return out
+
+
+def linked_in(sets: list[np.ndarray], asked: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of `asked` whose full sets reach the similarity, by products of the matrices of what several sets hold."""
+    sizes = np.array([len(x) for x in sets])
+    values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    kinds, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    of, column = of[held[column] > 1], number[column[held[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, SHARED_COLUMNS):
+        a, b = np.searchsorted(column, [k, k + SHARED_COLUMNS])
+        matrix = np.zeros((len(sets), SHARED_COLUMNS), np.float32)
+        matrix[of[a:b], column[a:b] - k] = 1
+        common += matrix @ matrix.T
+    return np.nonzero(asked & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)))
+
+
+def tile_links(labelled: DataFrame, sizes: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between parts of one bucket, for buckets too large for pairs: a bucket is cut into blocks of some TILE members, and
+    two blocks meet in a tile. Members that no other member can be linked with leave a tile before texts are read; each text is
+    in a tile once, whatever its pairs. Of what is linked in a tile, a node is given with the smallest that it hangs on."""
+    dealt = labelled.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("held") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")})
+    dealt = dealt.withColumn("upper", F.col("own") == F.col("hi")).select("bucket", "lo", "hi", "upper", "node", "part")
+
+    def sift(key: tuple, rows: pa.Table) -> pa.Table:
+        claim("near_documents")
+        bucket, lo, hi = (k.as_py() for k in key)
+        asked = possible(rows, bucket, lo != hi, percent)
+        some = np.flatnonzero(asked.any(axis=0) | asked.any(axis=1))
+        left = rows.take(pa.array(some))
+        partners = [np.packbits(x).tobytes() for x in asked[np.ix_(some, some)]]
+        return pa.table({"bucket": left.column("bucket"), "lo": left.column("lo"), "hi": left.column("hi"), "node": left.column("node"), "place": pa.array(np.arange(len(some), dtype=np.int32)), "partners": pa.array(partners, pa.binary())})
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        claim("near_documents")
+        rows = rows.sort_by("place")
+        nodes, n = rows.column("node").to_numpy(), rows.num_rows
+        asked = np.array([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x in rows.column("partners").to_pylist()], bool)
+        i, j = linked_in(shingle_sets(rows.column("text"), shingle), asked, percent)
+        low = nodes.copy()
+        while len(i):
+            before = low.copy()
+            least = np.minimum(low[i], low[j])
+            np.minimum.at(low, i, least)
+            np.minimum.at(low, j, least)
+            if (low == before).all():
+                break
+        return pa.table({"a": low[low != nodes], "b": nodes[low != nodes]})
+
+    tile = ["bucket", "lo", "hi"]
+    full = dealt.join(info.select("node", "n", "sketch", "bands"), "node")
+    sifted = materialize(full.groupBy(*tile).applyInArrow(sift, "bucket long, lo int, hi int, node long, place int, partners binary"))
+    return sifted.join(texts, "node").groupBy(*tile).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -173,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = materialize(bands.join(shared, "bucket").distinct())
     nodes = materialize(members.select("node").distinct())
     n_nodes = nodes.count()
-    info = materialize(join_bounded(classes.select("node", "k1", "k2", "n", "sketch"), nodes, ["node"], "left_semi", n_nodes, BROADCAST_ROWS))
+    info = materialize(join_bounded(classes.select("node", "k1", "k2", "n", "sketch", "bands"), nodes, ["node"], "left_semi", n_nodes, BROADCAST_ROWS))
     keys = info.select("node", "k1", "k2")
     texts = materialize(join_bounded(rows.select("k1", "k2", "text"), keys, ["k1", "k2"], "inner", n_nodes, BROADCAST_ROWS).dropDuplicates(["node"]).select("node", "text"))
     side = lambda k: info.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k))
@@ -189,8 +252,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     parts = materialize(components(linked(pairs)))
     # what is still apart in a bucket, against all of it; links found now are between components
     labelled = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    late = linked(leftover(labelled.join(split, "bucket", "left_semi"), info, percent))
+    split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("held")).where("low < high").select("bucket", "held")
+    split, labelled = materialize(split), materialize(labelled)
+    few, many = split.where(F.col("held") <= PAIR_BUCKET), split.where(F.col("held") > PAIR_BUCKET)
+    late = linked(leftover(labelled.join(few, "bucket", "left_semi"), info, percent))
+    if not many.isEmpty():
+        late = materialize(late.unionByName(tile_links(labelled, many, info, texts, shingle, percent)))
     if not late.isEmpty():
         known = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
         between = late.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
@@ -208,7 +275,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def leftover(labelled: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different parts that their sketches allow: members outside the bucket's largest part against all members."""
+    """Pairs of one bucket of PAIR_BUCKET members at most, in different parts, that their sketches allow: members outside the bucket's largest part
+    against all members."""
     sizes = labelled.groupBy("bucket", "part").agg(F.count("*").alias("held"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("held", "part")).alias("top")).select("bucket", F.col("top.part").alias("top"))
     full = labelled.join(info.select("node", "n", "sketch"), "node")

@@ -267,6 +267,24 @@ def test_near_documents_against_brute_force(spark, odd, none):
     assert near_documents.near_duplicates(odd).count() == 11 and near_documents.near_duplicates(none).count() == 0
 
 
+def test_near_documents_in_tiles(spark, monkeypatch):
+    """A large group just around the similarity: buckets beyond PAIR_BUCKET go through tiles of several blocks."""
+    rng = np.random.default_rng(5)
+    base, texts = base_text(9, 120).split(), []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(1, 6))):
+            own[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(own))
+    want, _ = brute_components(texts, 4, 80)
+    for most, tile in ((4, 8), (1, 512), (64, 512)):
+        monkeypatch.setattr(near_documents, "PAIR_BUCKET", most)
+        monkeypatch.setattr(near_documents, "TILE", tile)
+        got = near_documents.near_duplicates(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+        assert got.component_id.tolist() == want
+    assert 1 < len(set(want)) < 60
+
+
 def test_near_documents_with_shared_ids(spark):
     a, b, c = (base_text(s, 120) for s in (1, 2, 3))
     rows = [(None, a), (None, b), (5, c), (5, a + " x"), (6, b + " x"), (7, c + " x"), (8, c + " y")]
