@@ -35,9 +35,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where the setting is absent, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where the setting is absent on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="heddle-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,9 +54,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes the tables that materialize() has written. Results that still read them must have been written before."""
+def release(keep: DataFrame | None = None) -> None:
+    """Deletes the tables that materialize() has written, but for the one that `keep` reads. Other results that still read them must have been written before."""
+    kept = keep.inputFiles()[0].rsplit("/", 1)[0] if keep is not None and keep.inputFiles() else ""
     for path, spark in list(_tables.items()):
+        if kept.endswith(path.rsplit("/", 1)[1]):
+            continue
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -151,15 +156,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.zeros(0, np.uint8)), at - at[0]
 
 
-def hash_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of each text, end to end, and the number of words of each text. lower: A-Z count as a-z.
+#: For cuts at all ASCII characters but letters, digits and the underscore.
+NO_LETTER = np.array([b < 128 and not (chr(b).isalnum() or b == 95) for b in range(256)])
+
+
+def hash_words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of each text, end to end, and the number of words of each text. lower: A-Z count as a-z; gaps: bytes between words.
     Bytes are looked at all together, so nothing is kept for later and no word is looked up."""
     data, at = utf8(column)
     values, n = (_FOLDED if lower else _BYTE), len(data)
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     gap = np.ones(n + 1, bool)
-    gap[:n] = _SPACE[data]
+    gap[:n] = gaps[data]
     out, begun, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while a < n:
         b = min(a + RANGE_BYTES, n)
@@ -181,9 +190,9 @@ def hash_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return np.concatenate(out), np.diff(np.searchsorted(begun, at))
 
 
-def text_slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about most_bytes of text, so that a worker holds one part's arrays at a time."""
-    at = utf8(batch.column(text_col))[1]
+def text_slices(batch: pa.RecordBatch, text: str | pa.Array, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about most_bytes of text (a column's name, or the column), so that a worker holds one part's arrays at a time."""
+    at = utf8(batch.column(text) if isinstance(text, str) else text)[1]
     k = 0
     while k < batch.num_rows:
         stop = max(k + 1, min(k + most_rows, int(np.searchsorted(at, at[k] + most_bytes))))

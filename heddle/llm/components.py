@@ -18,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
 ROWS_A_TASK = 200_000
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """edges: long columns a, b. Returns node, component (its smallest reachable node) for every node that has an edge to another."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
@@ -33,5 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

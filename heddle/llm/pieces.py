@@ -17,6 +17,7 @@ process. Units are kept in a table that is cleared at MOST_ARCS arcs.
 
 Defined cases: a null text encodes to null, an empty one to no pieces. A null key counts as the text ''. Repeated rows get
 equal pieces. An empty table gives no rows.
+Further columns pass through encode_pieces(), whatever their names, and are ignored by the query.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heddle.llm.common import read
+from heddle.llm.common import claim, read, text_slices
 
-MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 6_000_000, 200_000, 48
+MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 3_000_000, 100_000, 48
 ZIPF_SHIFT, ALPHA, SEED = 10.0, 1.0, 0
 #: Units: spaces with the letters or the other characters that follow, or a line feed. A piece that would cross their edges
 #: is left out when the vocabulary is read; vocabularies split by script and white space, as is usual, have none.
@@ -300,6 +302,11 @@ def encoder(path: str, alpha: float = ALPHA) -> Encoder:
     return Encoder(path, alpha)
 
 
+def forget() -> None:
+    encoder.cache_clear()
+    _vocabulary.cache_clear()
+
+
 def decode(ids: np.ndarray | list[int], path: str) -> str:
     held = _vocabulary(path).bytes
     out = b"".join([held[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
@@ -308,26 +315,26 @@ def decode(ids: np.ndarray | list[int], path: str) -> str:
 
 def encode_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED, sample: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with piece_ids (array of int) and lossless (whether decoding gives the text back) appended; columns of these names are replaced."""
-    docs = docs.drop("piece_ids", "lossless", "_key")
-    names = docs.columns
+    docs = docs.drop("piece_ids", "lossless")
+    place = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces", forget)
         encode = encoder(path, alpha)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = part.column(text_col).to_pylist()
-                ids = encode(texts, part.column("_key").to_pylist(), seed, sample)
+            for part in text_slices(batch, batch.column("row").field(place), most_rows=512):
+                texts = part.column("row").field(place).to_pylist()
+                ids = encode(texts, part.column("key").to_pylist(), seed, sample)
                 same = [None if t is None else decode(x, path) == t for t, x in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*names, "piece_ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["row", "piece_ids", "lossless"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return keyed.mapInArrow(apply, f"{fields}, piece_ids array<int>, lossless boolean")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
+    schema = T.StructType([keyed.schema["row"]]).add("piece_ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
+    return keyed.mapInArrow(apply, schema).select("row.*", "piece_ids", "lossless")
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids_col: str = "piece_ids") -> DataFrame:
-    """encoded with text (of piece_ids) appended."""
+    """encoded with decoded (the text of piece_ids) appended."""
     names = encoded.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

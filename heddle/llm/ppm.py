@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_ID, held_out, join_bounded, materialize, read
+from heddle.llm.common import NO_ID, claim, held_out, join_bounded, materialize, read
 
 ORDER, MAX_GRAMS, HOT_WORDS, LONG_WORD = 5, 3 << 19, 1 << 17, 64
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
@@ -332,6 +332,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, order: int = ORDER, max_gram
     kinds_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ppm", lambda: (_trie.cache_clear(), _table.cache_clear()))
         hot = held_hot.value
         for batch in batches:
             k1, k2, texts = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text").to_pylist()

@@ -3,98 +3,50 @@
 A window is WINDOW consecutive words of one document; a word goes if a window that covers it has the same word sequence
 as a window that starts anywhere else, in the same document too. Windows are judged on the input.
 
-Reference blocks. Of each window the rarest-looking k-gram (the smallest hash among its K-grams) is its anchor. Equal
-windows have equal anchors, so only windows under an anchor that occurs twice can recur. The windows of one anchor
-occurrence are neighbours and form a reference block. Blocks of an anchor that are all alike recur whole and need no
-further look; where an anchor heads different blocks, every window of every such block is indexed under (anchor, window
-hash), 128 bits in all, with its first and last place.
-
-Parsing. Each document is factored greedily against that index: a factor starts at the first window that is held
-elsewhere and grows while the next window continues the same reference text; where the copy breaks off, the window at
-the boundary is looked up again, so that a passage pieced together from several references is followed across its seams.
-Factors are at least WINDOW words long by construction and are the duplicate spans.
-
-Scale. Anchors are 2 / (WINDOW - K + 2) of all positions, some 7 %: (hash, hash, key, place) rows of numbers are what is
-shuffled. Counting uses map-side aggregation; counts return to the occurrences by an ordinary join, which adaptive
-execution can split when one passage is very common. Texts are joined with spans only for documents that have some,
-and shuffled only where those are too many to broadcast.
+Reference blocks. Of each window the rarest-looking k-gram (the smallest hash among its K-grams) is its anchor. The windows
+of one anchor occurrence are neighbours; the words that they cover are a block. Equal windows have equal anchors at equal
+places, so a window can recur only in blocks of the same anchor. Every block whose anchor occurs twice is a reference
+block: indexed under its anchor, once for all its copies, with the hashes of its words (62 at most).
+
+Parsing. Each block is matched against every other reference block of its anchor: both are laid on the anchor, and the
+match grows word by word to both sides until the words differ. What is at least WINDOW words long is a candidate factor.
+A block with copies is a factor as a whole. A document is then parsed greedily: a factor begins at the first window that
+some reference covers and takes the reference that reaches furthest; where the copy breaks off, the windows across that
+boundary are looked up again, so that a passage pieced together from several references is followed across its seams.
+The factors, at least WINDOW words long each, are the duplicate spans.
+
+Scale. Anchors are 2 / (WINDOW - K + 2) of all positions, some 7 %: narrow rows of numbers are what is shuffled, and
+counted with map-side aggregation; counts return to the occurrences by an ordinary join, which adaptive execution can
+split. An anchor with more than PAIR_BLOCKS different blocks (a common phrase in ever new surroundings) is not matched block
+against block: its blocks' windows are indexed by hash, and a window that several blocks hold is a factor of its own, which
+the parse joins with its neighbours. Texts are joined with spans only for documents that have some, and shuffled only where
+those are too many to broadcast.
 
 Defined cases: a null, blank or short (under WINDOW words) text has no windows and keeps all its words. A row that
 repeats loses every window, as each copy occurs elsewhere. Null ids are a key of their own. An empty table gives no
-rows. Further columns pass through remove(), and are ignored by the query.
+rows. Further columns pass through remove(), whatever their names, and are ignored by the query.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heddle.llm.common import NO_ID, join_bounded, materialize, read
+from heddle.llm.common import NO_ID, Powers, Rolling, claim, hash_words, join_bounded, materialize, read, text_slices
 
-WINDOW, K = 35, 8
-CACHE_WORDS, PIECE_WORDS, BROADCAST_ROWS, BROADCAST_ITEMS = 400_000, 300_000, 100_000, 4_000_000
-BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-BASE2, INVERSE2 = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+WINDOW, K, PAIR_BLOCKS = 35, 8, 32
+BROADCAST_ROWS, BROADCAST_ITEMS, PAIRS_AT_ONCE = 100_000, 500_000, 20_000
+GRAMS, BLOCKS = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
 
-_known: dict[bytes, int] = {}
 
-
-def word_hashes(ws: list[bytes]) -> list[int]:
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    for w in ws:
-        if w not in _known:
-            _known[w] = xxhash.xxh3_64_intdigest(w)
-    return [_known[w] for w in ws]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Rolling:
-    """Hashes of any word range of an array of word hashes, from prefix sums modulo 2**64."""
-
-    def __init__(self, h: np.ndarray, base: np.uint64, inverse: np.uint64):
-        n = len(h)
-        power = np.full(n, base, np.uint64)
-        self.back = np.full(n + 1, inverse, np.uint64)
-        if n:
-            power[0] = 1
-        self.back[0] = 1
-        power, self.back = np.multiply.accumulate(power), np.multiply.accumulate(self.back)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
-
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
-
-
-def blocks_of(h: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one document's word hashes: anchor hashes, block hashes, first window and last window of each block."""
-    n = len(h)
-    if n < window:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    grams = Rolling(h, BASE, INVERSE)
-    at = np.arange(n - k + 1)
-    g = grams(at, at + k)
-    # a window's anchor is the last place of its smallest hash, so each place heads a run of neighbouring windows
-    tied = slide_argmin(g, at, window - k + 1)
-    edges = np.flatnonzero(np.diff(tied)) + 1
-    first, last = np.concatenate([[0], edges]), np.concatenate([edges, [len(tied)]]) - 1
-    return g[tied[first]], Rolling(h, BASE2, INVERSE2)(first, last + window), first, last
-
-
-def slide_argmin(g: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+def slide_argmin(g: np.ndarray, width: int) -> np.ndarray:
     """Place of the smallest value in each run of `width` neighbours, the last of equal ones."""
-    have, value, place = 1, g, order
+    have, value, place = 1, g, np.arange(len(g))
     while have < width:
         step = min(have, width - have)
         a, b, pa_, pb = value[: len(value) - step], value[step:], place[: len(place) - step], place[step:]
@@ -104,75 +56,162 @@ def slide_argmin(g: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+def blocks_of(h: np.ndarray, counts: np.ndarray, window: int = WINDOW, k: int = K) -> dict[str, np.ndarray]:
+    """Of the word hashes of texts laid end to end (counts: words of each): the blocks of all texts, in order. of: text, first: its first
+    window (in words of the text), n: windows, lead: words from there to the anchor, anchor and block: hashes, at: place in h."""
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    of = np.repeat(np.arange(len(counts)), counts)
+    starts = np.arange(max(len(h) - window + 1, 0))
+    starts = starts[starts + window <= ends[of[: len(starts)]]]  # windows lie in one text
+    if not len(starts):
+        return {c: np.zeros(0, np.int64) for c in ("of", "first", "n", "lead", "anchor", "block", "at")}
+    at = np.arange(len(h) - k + 1)
+    g = Rolling(h, GRAMS)(at, at + k)
+    tied = slide_argmin(g, window - k + 1)[starts]
+    new = np.append(True, (np.diff(tied) != 0) | (np.diff(of[starts]) != 0))
+    heads = np.flatnonzero(new)
+    first, n, anchor = starts[heads], np.diff(np.append(heads, len(starts))), tied[heads]
+    block = Rolling(h, BLOCKS)(first, first + n - 1 + window)
+    owner = of[first]
+    return {"of": owner, "first": first - begins[owner], "n": n, "lead": anchor - first, "anchor": g[anchor].view(np.int64), "block": block.view(np.int64), "at": first}
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the content key (k1, k2): rows with equal keys have equal id and text, and so equal spans."""
-    return docs.withColumn("k1", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("k2", F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)))
+    """The content key (k1, k2), text and the whole row: rows with equal keys have equal id and text, and so equal spans."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("k2"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
 
 
-def anchors(docs: DataFrame, text_col: str, window: int, k: int) -> DataFrame:
-    """A row for each reference block: anchor, block (hashes), k1, k2, first, last (windows, counted in words)."""
+def anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """A row for each block of each document: anchor, block (hashes), k1, k2, first (window), n (windows), lead."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for batch in batches:
-            keys1, keys2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            out, held = [], 0
-            for i, text in enumerate(batch.column(text_col).to_pylist()):
-                ws = (text or "").encode().split()
-                if len(ws) >= window:
-                    a, b, first, last = blocks_of(np.array(word_hashes(ws), np.uint64), window, k)
-                    out.append((a, b, np.full(len(a), keys1[i]), np.full(len(a), keys2[i]), first, last))
-                    held += len(a)
-                if out and (held >= PIECE_WORDS or i == batch.num_rows - 1):
-                    yield rows_of(out)
-                    out, held = [], 0
-            if out:
-                yield rows_of(out)
-
-    def rows_of(out: list) -> pa.RecordBatch:
-        a, b, k1, k2, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["anchor", "block", "k1", "k2", "first", "last"])
-
-    return docs.select("k1", "k2", text_col).mapInArrow(find, "anchor long, block long, k1 long, k2 long, first int, last int")
-
-
-def windows_of(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    """docs: k1, k2, text and mixed, an array of (anchor, first, last). A row for each window of these blocks."""
+            for part in text_slices(batch, "text"):
+                b = blocks_of(*hash_words(part.column("text")), window, k)
+                owner = pa.array(b["of"])
+                small = lambda c: pa.array(b[c].astype(np.int32))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(b["anchor"]), pa.array(b["block"]), part.column("k1").take(owner), part.column("k2").take(owner), small("first"), small("n"), small("lead")], ["anchor", "block", "k1", "k2", "first", "n", "lead"])
+
+    return docs.select("k1", "k2", "text").mapInArrow(find, "anchor long, block long, k1 long, k2 long, first int, n int, lead int")
+
+
+def reference_blocks(docs: DataFrame, window: int) -> DataFrame:
+    """docs: text and wanted, an array of (anchor, block, copies, first, n, lead). A row for each: what is wanted without first, and body, the hashes of
+    the words that the block covers."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                h, counts = hash_words(part.column("text"))
+                begins = np.cumsum(counts) - counts
+                lists = part.column("wanted")
+                wanted, of = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                at, n = begins[of] + wanted.field("first").to_numpy(), wanted.field("n").to_numpy()
+                body = [h[a : a + m + window - 1].tobytes() for a, m in zip(at.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([wanted.field(c) for c in ("anchor", "block", "copies", "n", "lead")] + [pa.array(body, pa.binary())], ["anchor", "block", "copies", "n", "lead", "body"])
+
+    return docs.select("text", "wanted").mapInArrow(find, "anchor long, block long, copies long, n int, lead int, body binary")
+
+
+def matches(anchor: np.ndarray, n: np.ndarray, lead: np.ndarray, body: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of blocks in the order of their anchors, each against every other of its anchor: block, first window and number of windows
+    that reference holds too, and the reference. Of a block's factors those within another one are left out."""
+    left, width = window - k, 2 * window - k
+    # blocks as rows of word hashes, with their anchors in one column; low and high: the columns that a block covers
+    low = left - lead
+    high = low + n - 1 + window
+    table = np.zeros((len(n), width), np.uint64)
+    sizes = high - low
+    row = np.repeat(np.arange(len(n)), sizes)
+    table[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[row]] = np.frombuffer(b"".join(body), np.uint64)
+    edges = np.flatnonzero(np.append(True, np.diff(anchor) != 0))
+    held = np.diff(np.append(edges, len(anchor)))
+    each = np.repeat(held, held)
+    a = np.repeat(np.arange(len(n)), each)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(edges, held), each)
+    a, b = a[a != b], b[a != b]
+    found = [np.zeros((4, 0), np.int64)]
+    columns = np.arange(width)
+    for i in range(0, len(a), PAIRS_AT_ONCE):
+        x, y = a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]
+        same = (table[x] == table[y]) & (columns >= np.maximum(low[x], low[y])[:, None]) & (columns < np.minimum(high[x], high[y])[:, None])
+        back = np.cumprod(same[:, :left][:, ::-1], axis=1, dtype=np.int8).sum(axis=1)
+        ahead = np.cumprod(same[:, left:], axis=1, dtype=np.int8).sum(axis=1)
+        start = np.maximum(left - back, np.maximum(low[x], low[y]))
+        stop = np.minimum(left + ahead - window, np.minimum(low[x] + n[x], low[y] + n[y]) - 1)
+        long = start <= stop
+        found.append(np.stack([x[long], start[long] - low[x][long], (stop - start)[long] + 1, y[long]]))
+    x, at, run, y = np.concatenate(found, axis=1)
+    # the longest from each start, if it reaches further than those that start before it
+    order = np.lexsort((-run, at, x))
+    x, at, run, y = x[order], at[order], run[order], y[order]
+    reach = x * (2 * window) + at + run
+    further = np.append(True, reach[1:] > np.maximum.accumulate(reach)[:-1])[: len(x)]
+    return x[further], at[further], run[further], y[further]
+
+
+def block_factors(blocks: DataFrame, window: int, k: int) -> DataFrame:
+    """anchor, block, at, n, reference (a block of the same anchor): factors of reference blocks, matched block against block."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
+        rest = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = pa.Table.from_batches([batch.slice(i, 4096)])
+                part = part if rest is None else pa.concat_tables([rest, part])
+                anchor = part.column("anchor").to_numpy()
+                cut = int(np.flatnonzero(anchor == anchor[-1])[0])  # the last anchor may go on; it has PAIR_BLOCKS blocks at most
+                rest = part.slice(cut)
+                if cut:
+                    yield factors_of(part.slice(0, cut))
+        if rest is not None:
+            yield factors_of(rest)
+
+    def factors_of(part: pa.Table) -> pa.RecordBatch:
+        anchor, block, n, lead = (part.column(c).to_numpy() for c in ("anchor", "block", "n", "lead"))
+        x, at, run, y = matches(anchor, n.astype(np.int64), lead.astype(np.int64), part.column("body").to_pylist(), window, k)
+        return pa.RecordBatch.from_arrays([pa.array(anchor[x]), pa.array(block[x]), pa.array(at.astype(np.int32)), pa.array(run.astype(np.int32)), pa.array(block[y])], ["anchor", "block", "at", "n", "reference"])
+
+    return blocks.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "block", "n", "lead", "body").mapInArrow(match, "anchor long, block long, at int, n int, reference long")
+
+
+def window_factors(blocks: DataFrame, window: int) -> DataFrame:
+    """As block_factors, for anchors of any number of blocks: each window that several blocks hold is a factor."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for batch in batches:
-            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
-            for key, text, mixed in zip(keys, batch.column(text_col).to_pylist(), batch.column("mixed").to_pylist(), strict=True):
-                h = np.array(word_hashes((text or "").encode().split()), np.uint64)
-                first, last = np.array([x["first"] for x in mixed]), np.array([x["last"] for x in mixed])
-                runs = last - first + 1
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-                hashes = Rolling(h, BASE2, INVERSE2)(at, at + window)
-                anchor = np.repeat(np.array([x["anchor"] for x in mixed], np.int64), runs)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), key[0], np.int64)), pa.array(np.full(len(at), key[1], np.int64)), pa.array(at.astype(np.int32))], ["anchor", "hash", "k1", "k2", "at"])
-
-    return docs.select("k1", "k2", text_col, "mixed").mapInArrow(find, "anchor long, hash long, k1 long, k2 long, at int")
-
-
-def factors(held: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int]]:
-    """Greedy parse of one document. held: (at, n, ref1, ref2, ref_at) of runs of n windows from `at` on that are held elsewhere,
-    copies of the reference text (ref1, ref2) from ref_at on. Returns (start, length) of the factors, in words."""
-    out: list[list] = []
-    for at, n, ref1, ref2, ref_at in sorted(held):
-        if out and at <= out[-1][1] and (ref1, ref2, ref_at - at) == out[-1][2]:
-            out[-1][1] = max(out[-1][1], at + n)  # the copy goes on
-        else:  # a boundary: another reference takes over here
-            out.append([at, at + n, (ref1, ref2, ref_at - at)])
-    return [(a, b - a + window - 1) for a, b, _ in out]
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, length in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + length)
-        else:
-            out.append([start, start + length])
-    return [(a, b) for a, b in out]
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                n = part.column("n").to_numpy().astype(np.int64)
+                h = np.frombuffer(b"".join(part.column("body").to_pylist()), np.uint64)
+                of = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(np.cumsum(n + window - 1) - n - window + 1, n) + at
+                hashes = Rolling(h, GRAMS)(start, start + window)
+                yield pa.RecordBatch.from_arrays([part.column("anchor").take(pa.array(of)), part.column("block").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], ["anchor", "block", "at", "hash"])
+
+    windows = materialize(blocks.select("anchor", "block", "n", "body").mapInArrow(cut, "anchor long, block long, at int, hash long"))
+    held = windows.groupBy("anchor", "hash").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
+    return windows.join(held, ["anchor", "hash"]).select("anchor", "block", "at", F.lit(1).alias("n"), F.when(F.col("block") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("reference"))
+
+
+def parse(at: np.ndarray, n: np.ndarray, reach_of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parse of documents (reach_of: their numbers, ascending) whose windows at .. at + n - 1 some reference holds, ordered by (document, at, longest
+    first). A factor is taken if it reaches further than all before it, and looked for from the first window that they leave
+    open. Returns document, first word and end of each span: factors that meet or overlap are one."""
+    step = np.int64(1) << np.int64(40)
+    end = reach_of * step + at + n + window - 1
+    reach = np.maximum.accumulate(end)
+    taken = np.append(True, end[1:] > reach[:-1])[: len(at)]
+    of, at, end = reach_of[taken], at[taken], end[taken] - reach_of[taken] * step
+    new = np.append(True, (of[1:] != of[:-1]) | (at[1:] > end[:-1]))[: len(of)]
+    heads = np.flatnonzero(new)
+    return of[heads], at[heads], end[np.append(heads[1:], len(of)) - 1] if len(heads) else end[:0]
 
 
 def held_rows(table: DataFrame, items: str) -> int:
@@ -181,62 +220,74 @@ def held_rows(table: DataFrame, items: str) -> int:
     return rows if held <= BROADCAST_ITEMS else max(rows, BROADCAST_ROWS + 1)
 
 
-def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """docs with k1, k2. For each key that has some: k1, k2 and spans, an array of (start, stop) in words, disjoint and in order."""
-    occurrences = materialize(anchors(docs, text_col, window, k))
-    places = F.struct("k1", "k2", "first")
-    heads = occurrences.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"), F.min(places).alias("a"), F.max(places).alias("z")).where("n > 1")
-    again = materialize(
-        occurrences.join(heads, "anchor").select(
-            "anchor", "k1", "k2", "first", "last", (F.col("low") < F.col("high")).alias("mixed"),
-            # an alike block is a copy of its first occurrence; that one is a copy of the last
-            F.when(places == F.col("a"), F.col("z")).otherwise(F.col("a")).alias("ref"),
-        )
-    )
-    alike = again.where("NOT mixed").select("k1", "k2", F.col("first").alias("at"), (F.col("last") - F.col("first") + 1).alias("n"), F.col("ref.k1").alias("ref1"), F.col("ref.k2").alias("ref2"), F.col("ref.first").alias("ref_at"))
-
-    mixed = materialize(again.where("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("mixed")))
-    texts = join_bounded(docs.select("k1", "k2", text_col), mixed, ["k1", "k2"], "inner", held_rows(mixed, "mixed"), BROADCAST_ROWS)
-    windows = materialize(windows_of(texts, text_col, window))
-    place = F.struct("k1", "k2", "at")
-    index = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("z")).where("n > 1")
-    ref = F.when(place == F.col("a"), F.col("z")).otherwise(F.col("a"))
-    single = windows.join(index, ["anchor", "hash"]).select("k1", "k2", "at", F.lit(1).alias("n"), ref["k1"].alias("ref1"), ref["k2"].alias("ref2"), ref["at"].alias("ref_at"))
-
-    def parse(key: tuple, rows: pa.Table) -> pa.Table:
-        runs = zip(*(rows.column(c).to_pylist() for c in ("at", "n", "ref1", "ref2", "ref_at")), strict=True)
-        spans = [{"start": a, "stop": b} for a, b in merged(factors(list(runs), window))]
-        return pa.table({"k1": [key[0].as_py()], "k2": [key[1].as_py()], "spans": [spans]}, schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]))
-
-    held = alike.unionByName(single)
-    return held.groupBy("k1", "k2").applyInArrow(parse, "k1 long, k2 long, spans array<struct<start:int,stop:int>>")
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """docs: k1, k2, text. For each key that has some: k1, k2 and spans, an array of (start, stop) in words, disjoint and in order."""
+    occurrences = materialize(anchors(docs, window, k))
+    heads = occurrences.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("block").alias("low"), F.max("block").alias("high")).where("copies > 1")
+    again = materialize(occurrences.join(heads, "anchor").select("anchor", "block", "k1", "k2", "first", "n", "lead", (F.col("low") < F.col("high")).alias("mixed")))
+    # blocks of an anchor that are all alike are copies of each other
+    alike = again.where("NOT mixed").select("k1", "k2", F.col("first").alias("at"), "n")
+
+    kinds = again.where("mixed").groupBy("anchor", "block").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "first", "n", "lead")).alias("one"))
+    wanted = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("anchor", "block", "copies", F.col("one.first").alias("first"), F.col("one.n").alias("n"), F.col("one.lead").alias("lead"))).alias("wanted"))
+    wanted = materialize(wanted)
+    # rows that repeat share a key: either of them gives the blocks
+    sources = join_bounded(docs.select("k1", "k2", "text"), wanted, ["k1", "k2"], "inner", held_rows(wanted, "wanted"), BROADCAST_ROWS)
+    blocks = materialize(reference_blocks(sources, window).dropDuplicates(["anchor", "block"]))
+    many = blocks.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > PAIR_BLOCKS)
+    many = materialize(many.select("anchor"))
+    n_many = many.count()
+    found = block_factors(join_bounded(blocks, many, ["anchor"], "left_anti", n_many, BROADCAST_ROWS), window, k)
+    if n_many:
+        found = found.unionByName(window_factors(join_bounded(blocks, many, ["anchor"], "left_semi", n_many, BROADCAST_ROWS), window))
+    # a block with copies is a factor as a whole
+    whole = blocks.where("copies > 1").select("anchor", "block", F.lit(0).alias("at"), "n", F.col("block").alias("reference"))
+    factors = materialize(found.unionByName(whole))
+    placed = again.where("mixed").select("anchor", "block", "k1", "k2", "first").join(factors, ["anchor", "block"]).select("k1", "k2", (F.col("first") + F.col("at")).alias("at"), "n")
+    held = alike.unionByName(placed).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", (-F.col("n")).alias("n")))).alias("held"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        for batch in batches:
+            lists = batch.column("held")
+            flat, of = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            at, n = flat.field("at").to_numpy().astype(np.int64), -flat.field("n").to_numpy().astype(np.int64)
+            of, start, stop = parse(at, n, of.astype(np.int64), window)
+            ends = np.searchsorted(of, np.arange(len(lists) + 1)).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["start", "stop"])).cast(kind)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), spans], ["k1", "k2", "spans"])
+
+    return held.mapInArrow(find, "k1 long, k2 long, spans array<struct<start:int,stop:int>>")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with n_words, n_removed, kept (the words that stay, joined by one space) appended; columns of these names are replaced."""
-    docs = docs.drop("n_words", "n_removed", "kept", "k1", "k2", "spans")
+    docs = docs.drop("n_words", "n_removed", "kept")
+    place = docs.columns.index(text_col)
     rows = keyed(docs, id_col, text_col)
-    spans = materialize(duplicate_spans(rows, text_col, window, k))
-    out = join_bounded(rows, spans, ["k1", "k2"], "left", held_rows(spans, "spans"), BROADCAST_ROWS).drop("k1", "k2")
-    names = docs.columns
+    spans = materialize(duplicate_spans(rows, window, k))
+    out = join_bounded(rows.drop("text"), spans, ["k1", "k2"], "left", held_rows(spans, "spans"), BROADCAST_ROWS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, found in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                ws = (text or "").encode().split()
-                at, stay = 0, []
-                for x in found or ():
-                    stay += ws[at : x["start"]]
-                    at = x["stop"]
-                stay += ws[at:]
-                n_words.append(len(ws))
-                n_removed.append(len(ws) - len(stay))
-                kept.append(b" ".join(stay).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.select(*names, "spans").mapInArrow(cut, f"{fields}, n_words long, n_removed long, kept string")
+            for part in text_slices(batch, batch.column("row").field(place)):
+                n_words, n_removed, kept = [], [], []
+                for text, found in zip(part.column("row").field(place).to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    ws = (text or "").encode().split()
+                    at, stay = 0, []
+                    for x in found or ():
+                        stay += ws[at : x["start"]]
+                        at = x["stop"]
+                    stay += ws[at:]
+                    n_words.append(len(ws))
+                    n_removed.append(len(ws) - len(stay))
+                    kept.append(b" ".join(stay).decode())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
+
+    schema = T.StructType([rows.schema["row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return out.select("row", "spans").mapInArrow(cut, schema).select("row.*", "n_words", "n_removed", "kept")
 
 
 def op8_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

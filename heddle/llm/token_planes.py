@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialize, read
+from heddle.llm.common import claim, materialize, read
 
 BLOCK_IDS, SEGMENT_IDS, SEGMENT_DOCS, CACHE_WORDS, CACHE_PIECES = 16384, 1 << 18, 4096, 1_000_000, 500_000
 SEGMENT_SCHEMA = "pid int, seg int, local_start long, n_ids long, kind string, doc_ids array<long>, doc_lens binary, payload binary, ends array<int>, widths binary"
@@ -161,9 +161,15 @@ class WordEncoder:
 @cache
 def word_encoder(path: str) -> WordEncoder:
     """One for each process, so that tasks share what is known."""
+    claim("token_planes", forget)
     return WordEncoder(path)
 
 
+def forget() -> None:
+    word_encoder.cache_clear()
+    _tokenizer.cache_clear()
+
+
 def write_ids(docs: DataFrame, encoder: Callable[[], Callable[[list], list[bytes]]], end_id: int | None = None, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes docs in ascending id order and writes the segment table; returns the table as read back.
     encoder() is called once in each task and gives a function from texts to little-endian 32-bit id bytes."""

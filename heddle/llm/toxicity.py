@@ -1,12 +1,12 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams (operator 3).
 
-Features of a text: its distinct words, their stems (the first STEM characters), neighbouring pairs of words and pairs
-that skip one word, lower-cased, hashed into DIMS cells with value 1. FTRL-proximal keeps z and n for each cell: per-coordinate rates, and L1 that leaves most weights at
-exactly 0, so the model is a short list of (cell, weight).
+Features of a text: its distinct words, neighbouring pairs of words and pairs that skip one word, A-Z lower-cased, hashed into
+DIMS cells with value 1. Words are cut at all ASCII characters but letters, digits and the underscore. FTRL-proximal keeps z and n for each
+cell: per-coordinate rates, and L1 that leaves most weights at exactly 0, so the model is a short list of (cell, weight).
 
-Scale. Scoring reads each text where it lies and shuffles nothing; the model that is broadcast has MODEL_CELLS cells at
-most. Learning is sequential by nature, so it sees a bounded number of labelled rows: all of them, or those whose id
-hashes below a threshold chosen so that TRAIN_ROWS are expected. They are learned in one task in the order of that hash.
+Scale. Scoring reads each text where it lies and shuffles nothing; the model that is broadcast has DIMS cells at most (12 MB), whatever the
+input. Learning is sequential by nature, so it sees a bounded number of labelled rows: all of them, or those whose id hashes below a
+threshold chosen so that TRAIN_ROWS are expected. They are learned in one task in the order of that hash.
 
 Defined cases: a null or blank text scores as the bias alone. Null labels and null ids teach nothing; several labels of
 one id count as toxic if any is. Without a single labelled row every score is 0. Rows that repeat are scored alike.
@@ -15,49 +15,32 @@ An empty table gives no rows. Further columns are ignored; lang, source and doc_
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import held_out, read
+from heddle.llm.common import NO_LETTER, claim, hash_words, held_out, mix64, read, text_slices
 
-DIMS, TRAIN_ROWS, MODEL_CELLS, CACHE_WORDS, PIECE_WORDS, STEM = 1 << 20, 16_000, 200_000, 500_000, 200_000, 4
-ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 4.0, 0.1, 5
+DIMS, TRAIN_ROWS, SKIPS = 1 << 20, 16_000, 1
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 8.0, 0.1, 5
 THRESHOLD = 0.3
 HALF = 2**63
 
-_word = re.compile(r"\w+").findall
-_known: dict[str, tuple[int, int]] = {}
 
-
-def word_hashes(text: str | None) -> list[tuple[int, int]]:
-    """Hashes of each word and of its stem."""
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    found = _word((text or "").lower())
-    for w in found:
-        if w not in _known:
-            _known[w] = xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(w[:STEM], seed=1)
-    return [_known[w] for w in found]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) & np.uint64(DIMS - 1)
-
-
-def cells(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of words, pairs and skip-pairs of several texts laid end to end, and the text that owns each."""
-    hashes, stems = hashes[:, 0], hashes[:, 1]
-    h1, h2 = hashes * np.uint64(0xD6E8FEB86659FD93), hashes * np.uint64(0xA0761D6478BD642F) + np.uint64(1)
-    pair, skip = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
-    grams = [_mix(hashes), _mix(stems), _mix(h1[:-1] + h2[1:])[pair], _mix((h1[:-2] ^ np.uint64(0x51)) + h2[2:])[skip]]
-    return np.concatenate(grams).astype(np.int64), np.concatenate([owner, owner, owner[1:][pair], owner[2:][skip]])
+def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the words, pairs and skip-pairs of texts, and the text that owns each; a cell may come twice."""
+    h, counts = hash_words(column, lower=True, gaps=NO_LETTER)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    first, second = h * np.uint64(0xD6E8FEB86659FD93), h * np.uint64(0xA0761D6478BD642F)
+    grams, owners = [h], [owner]
+    for skip in range(1, SKIPS + 2):
+        one = owner[skip:] == owner[:-skip]
+        grams.append(((first[:-skip] ^ np.uint64(skip)) + second[skip:])[one])
+        owners.append(owner[skip:][one])
+    return (mix64(np.concatenate(grams)) & np.uint64(DIMS - 1)).astype(np.int64), np.concatenate(owners)
 
 
 class Ftrl:
@@ -93,12 +76,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, passes: int
     """Cells, their weights and the bias; None without labelled rows."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:
-            sets = []
-            for text in batch.column("text").to_pylist():
-                h = np.array(word_hashes(text), np.uint64).reshape(-1, 2)
-                sets.append(np.unique(cells(h, np.zeros(len(h), np.int32))[0]).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("toxic"), pa.array(sets, pa.binary())], ["hash", "toxic", "cells"])
+            for part in text_slices(batch, "text"):
+                at, owner = cells(part.column("text"))
+                once = np.unique(owner * DIMS + at)
+                ends = np.searchsorted(once, np.arange(1, part.num_rows + 1) * DIMS)
+                sets = [x.astype("<i4").tobytes() for x in np.split(once % DIMS, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("toxic"), pa.array(sets, pa.binary())], ["hash", "toxic", "cells"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.frombuffer(c, "<i4"), y) for b in batches for c, y in zip(b.column("cells").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
@@ -110,8 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, passes: int
             at = np.flatnonzero(model.n)
             w = model.weights(at)
             at, w = at[w != 0], w[w != 0]
-            most_first = np.lexsort((at, -np.abs(w) - (at == DIMS) * 1e9))[: MODEL_CELLS + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(at[most_first], pa.int64()), pa.array(w[most_first], pa.float64())], ["cell", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["cell", "weight"])
 
     sets = train_rows(docs, labels, most).mapInArrow(extract, "hash long, toxic int, cells binary")
     found = sets.repartition(1).sortWithinPartitions("hash", "toxic", "cells").mapInArrow(learn, "cell long, weight double").collect()
@@ -128,26 +112,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         weights = np.zeros(DIMS)
         if held.value:
             weights[held.value[0]] = held.value[1]
         for batch in batches:
-            out, texts = np.zeros(batch.num_rows), batch.column("text").to_pylist()
-            k = 0
-            while held.value and k < len(texts):
-                hashes: list[tuple[int, int]] = []
-                counts = []
-                while k + len(counts) < len(texts) and len(hashes) < PIECE_WORDS:
-                    own = word_hashes(texts[k + len(counts)])
-                    counts.append(len(own))
-                    hashes += own
-                at, owner = cells(np.array(hashes, np.uint64).reshape(-1, 2), np.repeat(np.arange(len(counts)), counts))
-                hit = weights[at] != 0
-                once = np.unique(owner[hit].astype(np.int64) * DIMS + at[hit])
-                total = np.bincount(once // DIMS, weights[once % DIMS], len(counts)) + held.value[2]
-                out[k : k + len(counts)] = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
-                k += len(counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "score"])
+            for part in text_slices(batch, "text"):
+                out = np.zeros(part.num_rows)
+                if held.value:
+                    at, owner = cells(part.column("text"))
+                    hit = weights[at] != 0
+                    once = np.unique(owner[hit] * DIMS + at[hit])
+                    total = np.bincount(once // DIMS, weights[once % DIMS], part.num_rows) + held.value[2]
+                    out = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(apply, f"{fields}, score double")

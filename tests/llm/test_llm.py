@@ -338,7 +338,31 @@ def test_substrings_against_brute_force(spark, odd, none):
     got = substrings.remove(docs_of(spark, texts).withColumn("kept", F.lit(0))).toPandas().sort_values("doc_id")
     assert got.n_removed.tolist() == [len(g) for g in gone]
     assert got.kept.tolist() == [" ".join(x for i, x in enumerate(w) if i not in g) for w, g in zip(held, gone, strict=True)]
-    assert substrings.remove(odd).count() == 11 and substrings.remove(none).count() == 0
+    odd_got = substrings.remove(odd.withColumns({"k1": F.lit("a"), "k2": F.lit(2), "spans": F.lit(3), "row": F.lit(4), "text x": F.lit(5)})).toPandas()
+    gone, held = brute_removed(odd_got.text.tolist(), 35)
+    assert odd_got.n_removed.tolist() == [len(g) for g in gone] and set(odd_got.k1) == {"a"} and set(odd_got.row) == {4} and len(odd_got) == 11
+    assert substrings.remove(none).count() == 0
+
+
+def test_factors_decide_spans(spark, monkeypatch):
+    """Passages in ever new surroundings: found by matching block against block, and by windows where an anchor has many blocks; not without them."""
+    shared = [base_text(700 + i, 36 + 5 * i) for i in range(4)]
+    texts = [f"{base_text(i, 50)} {shared[i % 4]} {base_text(80 + i, 50)} {shared[(i + 1) % 4]} {shared[(i + 2) % 4]}" for i in range(24)]
+    gone, _ = brute_removed(texts, 35)
+    removed = lambda: substrings.remove(docs_of(spark, texts)).toPandas().sort_values("doc_id").n_removed.tolist()
+    assert removed() == [len(g) for g in gone]
+    monkeypatch.setattr(substrings, "PAIR_BLOCKS", 3)
+    assert removed() == [len(g) for g in gone]
+    nothing = lambda blocks, *a: spark.createDataFrame([], "anchor long, block long, at int, n int, reference long")
+    monkeypatch.setattr(substrings, "block_factors", nothing)
+    monkeypatch.setattr(substrings, "window_factors", nothing)
+    assert sum(removed()) < sum(len(g) for g in gone)
+
+
+def test_parse():
+    doc, start, stop = substrings.parse(np.array([0, 0, 3, 60, 1, 40]), np.array([9, 2, 20, 1, 4, 1]), np.array([0, 0, 0, 0, 2, 2]), 35)
+    assert list(zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True)) == [(0, 0, 57), (0, 60, 95), (2, 1, 39), (2, 40, 75)]
+    assert all(len(x) == 0 for x in substrings.parse(*(np.zeros(0, np.int64),) * 3, 35))
 
 
 # --- 9 ------------------------------------------------------------------------------------------------------------------
@@ -412,7 +436,15 @@ def test_pipeline(spark, sf_dir):
     gone, held = brute_removed(copies.text.tolist(), 35)
     want = Counter(t if not g else " ".join(x for i, x in enumerate(w) if i not in g) for t, w, g in zip(copies.text, held, gone, strict=True) if not w or len(g) < len(w))
     assert Counter(cut.text) == want
-    assert abs(sum(len(words(t)) for t in mixed.text) / sum(len(words(t)) for t in cut.text) - 1) < 0.02
+    want = mixing.mix(materialize(spark.createDataFrame(cut[["doc_id", "text", "source"]]))).toPandas()
+    taken = Counter()
+    for r in want.itertuples():
+        taken[r.doc_id] += r.taken
+    got = Counter()
+    for r in mixed.itertuples():
+        got[r.doc_id] += len(words(r.text))
+    assert got == Counter({k: v for k, v in taken.items() if v})
+    assert abs(sum(got.values()) / sum(len(words(t)) for t in cut.text) - 1) < 0.02
     assert coded.lossless.all() and len(coded) == len(mixed)
     assert len(cp.run(spark, sf_dir).toPandas()) == len(coded)
 
@@ -422,10 +454,28 @@ def test_pipeline_on_odd_rows(spark, odd, none, sf_dir):
     from heddle.llm.common import materialize
 
     for start in (odd, none):
-        docs = start
+        steps = [start]
         for _, stage in cp.STAGES:
-            docs = materialize(stage(spark, docs, sf_dir))
-        assert docs.count() >= 0
+            steps.append(materialize(stage(spark, steps[-1], sf_dir)))
+        if start is none:
+            assert all(s.count() == 0 for s in steps)
+            continue
+        texts = lambda s: Counter(r.text for r in s.collect())
+        a = base_text(1)
+        assert texts(steps[1]) == texts(odd)  # none is toxic
+        low = texts(steps[2])
+        assert low == texts(odd) - Counter({a: 2, a + " x": 1})  # the copies of a, and a + " x", go but for one
+        assert texts(steps[3]) == low  # nothing that repeats is left
+        assert set(texts(steps[4])) >= {base_text(2, 30_000)} and all(r.lossless for r in steps[5].collect())
+
+
+def test_mix_of_repeated_rows(spark, sf_dir):
+    """Rows of equal id and text: together they give all that the mix takes of them, no word less."""
+    import corpus_pipeline as cp
+
+    docs = docs_of(spark, [base_text(k % 5, 7 + k % 5) for k in range(60)], [k % 5 if k % 2 else None for k in range(60)])
+    taken = mixing.mix(docs).toPandas().taken.sum()
+    assert sum(len(words(r.text)) for r in cp.mix_sources(spark, docs, sf_dir).collect()) == taken
 
 
 def test_pipeline_keeps_texts_that_share_an_id(spark, sf_dir):
@@ -437,7 +487,3 @@ def test_pipeline_keeps_texts_that_share_an_id(spark, sf_dir):
     kept = Counter((None if pd.isna(i) else int(i), t or "") for i, t in zip(got.doc_id, got.text, strict=True))
     low = kept.pop((None, b), 0) + kept.pop((None, b + " x"), 0)
     assert low == 1 and kept == Counter({(None, a): 1, (7, c): 1, (7, base_text(4, 200)): 1, (9, ""): 2, (None, ""): 1})
-
-
-def test_digest_of_removed_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
