@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import mixing, near_documents, pieces, substrings, toxicity
-from heddle.llm.common import NO_ID, join_bounded, materialize, read, words
+from heddle.llm.common import NO_ID, join_bounded, materialize, read, release, words
 
 SHINGLE, PERCENT, BROADCAST_ROWS = 5, 80, 200_000
 
@@ -53,22 +53,29 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return unpacked(cut, docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
+def parts_of(taken: Column) -> Column:
+    """`taken` words as whole documents of `size` words and a rest."""
+    return F.transform(F.sequence(F.lit(0), ((taken - 1) / F.col("size")).cast("int")), lambda k: F.least(taken - k * F.col("size"), F.col("size")))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once more cut to the words taken last."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source"))
-    taken = taken.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash"), "size", "taken")
-    # rows of equal id and text may be taken unequally: each gets its share
-    taken = materialize(taken.where("taken > 0").groupBy("_id", "_hash", "size").agg(F.sum("taken").alias("taken")))
-    rows = packed(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    copies = materialize(rows.groupBy("_id", "_hash").agg(F.count("*").alias("_rows")).where("_rows > 1"))
-    taken = taken.join(copies, ["_id", "_hash"], "left").withColumn("taken", F.expr("taken div coalesce(_rows, 1)")).drop("_rows")
-    parts = F.filter(
-        F.array(*(F.least(F.col("taken") - k * F.col("size"), F.col("size")) for k in range(3))),
-        lambda n: n > 0,
-    )
-    taken = materialize(taken.withColumn("parts", parts).drop("taken"))
-    out = join_bounded(rows, taken, ["_id", "_hash"], "inner", taken.count(), BROADCAST_ROWS).withColumn("part", F.explode("parts"))
-    text = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("part").cast("int")), " "))
+    """Each document as often as the mix takes it whole, and once more cut to the words taken last. Rows of equal id, text and source share
+    what is taken of them; what does not divide by their number is given once, by one of them."""
+    null_safe = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("_source")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), null_safe]
+    key = ["_id", "_source", "_hash"]
+    mixed = mixing.mix(docs.select("doc_id", "text", "source")).select(*own, F.coalesce("text_hash", F.lit(0)).alias("_hash"), "size", "taken")
+    plan = mixed.groupBy(*key, "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows")).where("_taken > 0")
+    plan = materialize(plan.select(*key, "size", F.expr("_taken div _rows").alias("_share"), (F.col("_taken") % F.col("_rows")).alias("_rest")))
+    rows = docs.select(*own, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_hash"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+
+    shared, rest = plan.where("_share > 0"), materialize(plan.where("_rest > 0"))
+    out = join_bounded(rows, shared, key, "inner", shared.count(), BROADCAST_ROWS).select("_row", "_text", "size", F.explode(parts_of(F.col("_share"))).alias("part"))
+    first = join_bounded(rows.withColumn("_order", F.xxhash64(*(F.col("_row")[c] for c in hashable))), rest, key, "inner", rest.count(), BROADCAST_ROWS)
+    first = first.groupBy(*key, "size", "_rest").agg(F.min_by("_row", "_order").alias("_row"), F.min("_text").alias("_text"))
+    out = out.unionByName(first.select("_row", "_text", "size", F.explode(parts_of(F.col("_rest"))).alias("part")))
+    text = F.when(F.col("part") == F.col("size"), F.col("_text")).otherwise(F.array_join(F.slice(words(F.col("_text")), 1, F.col("part").cast("int")), " "))
     return unpacked(out, docs, text)
 
 
@@ -98,4 +105,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
+            release(keep=docs)
     return docs
