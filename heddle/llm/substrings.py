@@ -224,7 +224,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     """docs: k1, k2, text. For each key that has some: k1, k2 and spans, an array of (start, stop) in words, disjoint and in order."""
     occurrences = materialize(anchors(docs, window, k))
     heads = occurrences.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("block").alias("low"), F.max("block").alias("high")).where("copies > 1")
-    again = materialize(occurrences.join(heads, "anchor").select("anchor", "block", "k1", "k2", "first", "n", "lead", (F.col("low") < F.col("high")).alias("mixed")))
+    # a table of its own, so that a hot anchor's occurrences can be split in the join; the joins are of one kind at any size
+    heads = materialize(heads)
+    again = materialize(occurrences.join(heads.hint("merge"), "anchor").select("anchor", "block", "k1", "k2", "first", "n", "lead", (F.col("low") < F.col("high")).alias("mixed")))
     # blocks of an anchor that are all alike are copies of each other
     alike = again.where("NOT mixed").select("k1", "k2", F.col("first").alias("at"), "n")
 
@@ -232,7 +234,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     wanted = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("anchor", "block", "copies", F.col("one.first").alias("first"), F.col("one.n").alias("n"), F.col("one.lead").alias("lead"))).alias("wanted"))
     wanted = materialize(wanted)
     # rows that repeat share a key: either of them gives the blocks
-    sources = join_bounded(docs.select("k1", "k2", "text"), wanted, ["k1", "k2"], "inner", held_rows(wanted, "wanted"), BROADCAST_ROWS)
+    sources = docs.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"])
     blocks = materialize(reference_blocks(sources, window).dropDuplicates(["anchor", "block"]))
     many = blocks.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > PAIR_BLOCKS)
     many = materialize(many.select("anchor"))
