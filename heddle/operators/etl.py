@@ -1,4 +1,4 @@
-"""Building, sampling, grouping and resuming benchmark tables."""
+"""Evaluation tables: expansion, samples, groups, resumption."""
 
 from __future__ import annotations
 
@@ -38,9 +38,20 @@ def group_in_order(rows: DataFrame, by: str, order: str, value: str, name: str)
 
 
 def sample_exact(rows: DataFrame, fraction: float, key: str, seed: int) -> DataFrame:
-    """round(n * fraction) rows, those whose hash with the seed comes first: the same rows on every run. The bound is a count, the cut a top-k."""
-    n = round(rows.count() * fraction)
-    return rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)))).orderBy("_h", key).limit(n).drop("_h")
+    """round(n * fraction) rows, those whose hash with the seed comes first: the same rows on every run. Buckets of the hash are counted and taken whole; only the bucket
+    on the boundary is ranked."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)))).withColumn("_b", F.substring("_h", 1, 4))
+    held = sorted(map(tuple, hashed.groupBy("_b").count().collect()))  # 65,536 buckets at the most
+    left, whole, cut = round(sum(n for _, n in held) * fraction), "", None
+    for bucket, n in held:
+        if n > left:
+            cut = bucket
+            break
+        whole, left = bucket, left - n
+    out = hashed.where(F.col("_b") <= whole)
+    if cut and left:
+        out = out.unionByName(hashed.where(F.col("_b") == cut).orderBy("_h", key).limit(left))
+    return out.drop("_h", "_b")
 
 
 def head_per_group(rows: DataFrame, by: str, order: list[Column | str], n: int) -> DataFrame:
@@ -65,9 +76,10 @@ def keep_recent(turns: DataFrame, by: str, order: str, weight: str, last: int, c
     return rows.where((F.col("back") <= last) & (F.col("held") <= cap))
 
 
-def insert_needle(docs: DataFrame, needle: str, depths: list[int], limit: int, text: str = "text") -> DataFrame:
-    """A row for each depth: the needle stands int(n * depth / 100) words into the text, cut to `limit` words."""
-    words = F.slice(F.array_remove(F.split(F.col(text), r"(?U)\s+"), ""), 1, limit)
+def insert_needle(docs: DataFrame, needle: str, depths: list[int], limit: int | None = None, text: str = "text") -> DataFrame:
+    """A row for each depth: the needle stands int(n * depth / 100) words into the text, or into its first `limit` words."""
+    words = F.array_remove(F.split(F.col(text), r"(?U)\s+"), "")
+    words = words if limit is None else F.slice(words, 1, limit)
     rows = docs.withColumn("w", words).withColumn("depth", F.explode(F.array(*(F.lit(d) for d in depths))))
     at = F.floor(F.size("w") * F.col("depth") / 100).cast("int")
     return rows.withColumn("context", F.array_join(F.concat(F.slice("w", F.lit(1), at), F.array(F.lit(needle)), F.slice("w", at + 1, F.size("w"))), " ")).withColumn("at", at).drop("w")

@@ -101,6 +101,15 @@ def global_then_layer(scores: DataFrame, ratio: float) -> DataFrame:
     return own.join(F.broadcast(budget), "layer").where(F.col("low") <= F.col("budget")).select(*KEYS)
 
 
+def window_after_delimiter(rows: DataFrame, delimiter: str, tokens_col: str = "tokens") -> DataFrame:
+    """rows with context_length (tokens before the delimiter) and window (tokens after it) appended, the delimiter out of the tokens. Each row must hold it
+    once, with something behind it; else the row raises an error when it is read."""
+    tokens, at = F.col(tokens_col), F.array_position(tokens_col, delimiter).cast("int")
+    once = F.size(F.filter(tokens, lambda x: x == delimiter)) == 1
+    valid = F.when(once & (at < F.size(tokens)), at).otherwise(F.raise_error(F.lit("one delimiter with a window behind it is needed")).cast("int"))
+    return rows.withColumn("_at", valid).withColumns({"context_length": F.col("_at") - 1, "window": F.size(tokens) - F.col("_at"), tokens_col: F.array_remove(tokens_col, delimiter)}).drop("_at")
+
+
 def pyramid_layers(layers: int, ratio: float, n: int, window: int = 64, beta: int = 20) -> list[int]:
     """Kept rows of each layer: budgets fall in a line from the first layer to the last, with the mean n * (1 - ratio); where no such line fits between window and n, all are alike."""
     mean = n * (1 - ratio)

@@ -10,14 +10,14 @@ from heddle.operators import answers as an
 from heddle.plans.registry import query
 from heddle.sources.tables import Tables
 
-P = """p AS (SELECT doc_id, source AS task, substr(text, 1, 300) AS predicted,
+P = """p AS (SELECT doc_id, source AS task, text AS predicted,
   [CASE WHEN doc_id % 3 = 0 THEN substr(text, 5, 12) ELSE 'no' || doc_id END, substr(text, 30, 8)] AS answers, n_chars, lang FROM documents)"""
 
 
-def predictions(t: Tables, whole: bool = False) -> DataFrame:
-    """The rows of P; whole: of the whole texts."""
+def predictions(t: Tables) -> DataFrame:
+    """The rows of P: whole texts as predictions."""
     first = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 5, 12)).otherwise(F.concat(F.lit("no"), F.col("doc_id").cast("string")))
-    return t.documents.select("doc_id", F.col("source").alias("task"), (F.col("text") if whole else F.substring("text", 1, 300)).alias("predicted"), F.array(first, F.substring("text", 30, 8)).alias("answers"), "n_chars", "lang")
+    return t.documents.select("doc_id", F.col("source").alias("task"), F.col("text").alias("predicted"), F.array(first, F.substring("text", 30, 8)).alias("answers"), "n_chars", "lang")
 
 
 def over_text(name: str, sql: str, f, source: str = "text") -> None:
@@ -33,14 +33,14 @@ def words_sql(s: str, var: str = "x") -> str:
     return "list_filter(string_split_regex(translate(lower(" + s + "), '" + PUNCT + "', ''), '\\s+'), lambda " + var + ": " + var + " NOT IN ('', 'a', 'an', 'the'))"
 
 
-HEAD = "substr(text, 1, 400)"
-over_text("norm_answer", f"array_to_string({words_sql('s')}, ' ')", tx.normalize_answer, HEAD)
-over_text("norm_answer_zh", "regexp_replace(translate(lower(s), '" + (tx.PUNCTUATION + tx.CJK_PUNCTUATION).replace("'", "''") + "', ''), '\\s+', '', 'g')", tx.normalize_zh, HEAD)
-over_text("strip_control", "trim(regexp_replace(trim(s), '[\\x00-\\x1f]', '', 'g'))", tx.strip_control, HEAD)
+WHOLE = "text"
+over_text("norm_answer", f"array_to_string({words_sql('s')}, ' ')", tx.normalize_answer, WHOLE)
+over_text("norm_answer_zh", "regexp_replace(translate(lower(s), '" + (tx.PUNCTUATION + tx.CJK_PUNCTUATION).replace("'", "''") + "', ''), '\\s+', '', 'g')", tx.normalize_zh, WHOLE)
+over_text("strip_control", "trim(regexp_replace(trim(s), '[\\x00-\\x1f]', '', 'g'))", tx.strip_control, WHOLE)
 over_text("tokens", "len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> ''))::INT", lambda s: F.size(tx.tokens(s)))
 over_text("digits_all", "array_to_string(regexp_extract_all(s, '[0-9]+'), ',')", lambda s: F.array_join(tx.digits_all(s), ","))
 over_text("first_int", "regexp_extract(s, '[0-9]+')", tx.first_int)
-ONE_LINE = "replace(substr(text, 1, 200), '\n', ' ') || ' ' || substr('ABCDE', CAST(doc_id % 6 AS INT) + 1, 1) || ' x'"
+ONE_LINE = "replace(text, '\n', ' ') || ' ' || substr('ABCDE', CAST(doc_id % 6 AS INT) + 1, 1) || ' x'"
 over_text("last_choice", "coalesce(list_last(list_filter(string_split_regex(s, '[^A-Za-z0-9_\\x80-\\x{10FFFF}]+'), lambda x: regexp_full_match(x, '[A-J]'))), '')", tx.last_choice, ONE_LINE)
 HEXED = "'id ' || substr(md5(CAST(doc_id AS STRING)), 1, CASE WHEN doc_id % 4 = 0 THEN 13 ELSE 12 END) || ', v_' || substr(md5(CAST(doc_id + 1 AS STRING)), 1, 12) || '.'"
 over_text(
@@ -49,7 +49,7 @@ over_text(
     lambda s: F.array_join(tx.hex_ids(s), ","),
     HEXED,
 )
-BOX = "CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 10) ELSE 'so boxed{' || doc_id || '} or boxed{' || (doc_id + 1) || '}' END"
+BOX = "CASE WHEN doc_id % 3 = 0 THEN text ELSE 'so boxed{' || doc_id || '} or boxed{' || (doc_id + 1) || '}' END"
 over_text("boxed_first", "CASE WHEN contains(s, 'boxed{') THEN split_part(split_part(s, 'boxed{', 2), '}', 1) END", lambda s: tx.boxed(s, False), BOX)
 over_text("boxed_last", "split_part(list_last(string_split(s, 'boxed{')), '}', 1)", lambda s: tx.boxed(s, True), BOX)
 over_text("first_code_line", "coalesce(list_filter(string_split(ltrim(s, '\n'), '\n'), lambda x: NOT regexp_matches(x, '[`#]|//'))[1], '')", tx.first_code_line)
@@ -59,17 +59,17 @@ over_text("preview", f"CASE WHEN length({SQ}) > 160 THEN left({SQ}, 157) || '...
 over_text("obs_truncate", "CASE WHEN length(s) > 200 THEN left(s, 100) || ' [...] ' || right(s, 100) ELSE s END", lambda s: tx.head_and_tail(s, 200, " [...] "))
 over_text("token_count", "greatest(1, length(s) // 4)", tx.token_count)
 over_text("truncate_context", "substr(s, 1, 128)", lambda s: F.substring(s, 1, 128))
-over_text("needle_chars", "substr(s, 1, length(s) // 3) || '<needle>' || substr(s, length(s) // 3 + 1)", lambda s: tx.insert_at(s, F.lit("<needle>"), F.floor(F.length(s) / 3).cast("int")), HEAD)
-over_text("slice_by_index", "substr(s, length(s) // 4 + 1, length(s) // 2 - length(s) // 4)", lambda s: F.substring(s, F.floor(F.length(s) / 4).cast("int") + 1, (F.floor(F.length(s) / 2) - F.floor(F.length(s) / 4)).cast("int")), HEAD)
-over_text("retrieval_words", "array_to_string(list_filter(string_split_regex(translate(s, '\n:\"''.,?!{}', repeat(' ', 10)), '\\s+'), lambda x: x <> ''), ' ')", lambda s: F.array_join(tx.tokens(tx.spaced(s, "\n:\"'.,?!{}")), " "), HEAD)
+over_text("needle_chars", "substr(s, 1, length(s) // 3) || '<needle>' || substr(s, length(s) // 3 + 1)", lambda s: tx.insert_at(s, F.lit("<needle>"), F.floor(F.length(s) / 3).cast("int")), WHOLE)
+over_text("slice_by_index", "substr(s, length(s) // 4 + 1, length(s) // 2 - length(s) // 4)", lambda s: F.substring(s, F.floor(F.length(s) / 4).cast("int") + 1, (F.floor(F.length(s) / 2) - F.floor(F.length(s) / 4)).cast("int")), WHOLE)
+over_text("retrieval_words", "array_to_string(list_filter(string_split_regex(translate(s, '\n:\"''.,?!{}', repeat(' ', 10)), '\\s+'), lambda x: x <> ''), ' ')", lambda s: F.array_join(tx.tokens(tx.spaced(s, "\n:\"'.,?!{}")), " "), WHOLE)
 query("norm_answer_nfd")(lambda t: t.documents.select("doc_id", tx.normalize_answer(an.decomposed(F.col("text"))).alias("out")))
 
 query(
     "ruler_split",
     """SELECT doc_id, regexp_extract(s, '(?s)^(.*)(What is .*?)( Answer:.*)$', 1) AS context, regexp_extract(s, '(?s)^(.*)(What is .*?)( Answer:.*)$', 2) AS question, regexp_extract(s, '(?s)^(.*)(What is .*?)( Answer:.*)$', 3) AS answer_prefix
-FROM (SELECT doc_id, substr(text, 1, 200) || ' What is it? No. What is ' || doc_id || '? Answer: it is' AS s FROM documents)""",
+FROM (SELECT doc_id, text || ' What is it? No. What is ' || doc_id || '? Answer: it is' AS s FROM documents)""",
 )(
-    lambda t: t.documents.select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" What is it? No. What is "), F.col("doc_id").cast("string"), F.lit("? Answer: it is")).alias("s")).select(
+    lambda t: t.documents.select("doc_id", F.concat("text", F.lit(" What is it? No. What is "), F.col("doc_id").cast("string"), F.lit("? Answer: it is")).alias("s")).select(
         "doc_id", *(F.regexp_extract("s", r"(?s)^(.*)(What is .*?)( Answer:.*)$", i).alias(c) for i, c in enumerate(("context", "question", "answer_prefix"), 1))
     )
 )
@@ -113,13 +113,12 @@ SELECT k.doc_id, round(CASE WHEN c IS NULL THEN 0 ELSE 2 * (c / len(pt)) * (c /
 )
 query(
     "zh_char_f1",
-    """WITH k AS (SELECT doc_id, string_split(substr(text, 1, 60), '') AS p, string_split(substr(text, 20, 60), '') AS g FROM documents WHERE length(text) > 80),
+    """WITH k AS (SELECT doc_id, string_split(text, '') AS p, string_split(substr(text, 20), '') AS g FROM documents),
 pc AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(p) AS w FROM k) GROUP BY ALL), gc AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(g) AS w FROM k) GROUP BY ALL),
 c AS (SELECT doc_id, sum(least(pc.n, gc.n)) AS c FROM pc JOIN gc USING (doc_id, w) GROUP BY ALL)
-SELECT k.doc_id, round(2 * (c / len(p)) * (c / len(g)) / (c / len(p) + c / len(g)), 6) AS score FROM k JOIN c ON k.doc_id = c.doc_id""",
+SELECT k.doc_id, round(CASE WHEN c IS NULL THEN 0 ELSE 2 * (c / len(p)) * (c / len(g)) / (c / len(p) + c / len(g)) END, 6) AS score FROM k LEFT JOIN c ON k.doc_id = c.doc_id""",
 )(
-    lambda t: t.documents.where("length(text) > 80")
-    .select("doc_id", F.split(F.substring("text", 1, 60), "").alias("p"), F.split(F.substring("text", 20, 60), "").alias("g"))
+    lambda t: t.documents.select("doc_id", F.split("text", "").alias("p"), F.split(F.expr("substr(text, 20)"), "").alias("g"))
     .select("doc_id", F.round(an.f1_of(F.array_remove("p", ""), F.array_remove("g", "")), 6).alias("score"))
 )
 NUM = "'Paragraph ' || (doc_id % 7) || ' or ' || (doc_id % 3) || ', not ' || (doc_id % 5)"
@@ -131,11 +130,11 @@ CLASSES = ("the", "th", "and", "an", "que", "der")
 query(
     "classification_score",
     f"""SELECT doc_id, round(CASE WHEN list_contains(m, g) THEN 1.0::DOUBLE / len(m) ELSE 0 END, 6) AS score FROM (SELECT doc_id, g, list_filter({list(CLASSES)}, lambda c: contains(p, c) AND NOT (contains(g, c) AND c <> g)) AS m
-FROM (SELECT doc_id, substr(text, 1, 120) AS p, {list(CLASSES)}[CAST(doc_id % 6 AS INT) + 1] AS g FROM documents))""",
+FROM (SELECT doc_id, text AS p, {list(CLASSES)}[CAST(doc_id % 6 AS INT) + 1] AS g FROM documents))""",
 )(
     lambda t: t.documents.withColumn("c", F.array(*map(F.lit, CLASSES)))
     .withColumn("g", F.get("c", (F.col("doc_id") % 6).cast("int")))
-    .select("doc_id", F.round(an.classification(F.substring("text", 1, 120), F.col("g"), F.col("c")), 6).alias("score"))
+    .select("doc_id", F.round(an.classification(F.col("text"), F.col("g"), F.col("c")), 6).alias("score"))
 )
 query(
     "longbench_e_buckets",
@@ -239,14 +238,14 @@ query("loft_em_multi", f"WITH {MULTI} SELECT doc_id, list_sort(list_distinct(g))
 )
 query("loft_multi_subspan")(lambda t: multi(t).select("doc_id", an.all_aligned("g", "p").alias("score")))
 query("loft_extract")(lambda t: t.documents.select("doc_id", an.listed(F.concat(F.lit("Final Answer: ['it's "), F.col("lang"), F.lit("', 'b']"))).alias("items")))
-query("rouge_l")(lambda t: predictions(t, whole=True).select("doc_id", F.round(an.rouge_l("predicted", F.get("answers", F.lit(0))), 6).alias("score")))
-query("code_sim")(lambda t: predictions(t, whole=True).select("doc_id", F.round(an.similarity(tx.first_code_line(F.col("predicted")), F.get("answers", F.lit(0))), 6).alias("score")))
+query("rouge_l")(lambda t: predictions(t).select("doc_id", F.round(an.rouge_l("predicted", F.get("answers", F.lit(0))), 6).alias("score")))
+query("code_sim")(lambda t: predictions(t).select("doc_id", F.round(an.similarity(tx.first_code_line(F.col("predicted")), F.get("answers", F.lit(0))), 6).alias("score")))
 query(
     "rouge_n_recall",
-    """WITH w AS (SELECT doc_id, list_filter(string_split_regex(substr(text, 1, 300), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(substr(text, 100, 150), '\\s+'), lambda x: x <> '') AS g FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(substr(text, 100), '\\s+'), lambda x: x <> '') AS g FROM documents),
 b AS (SELECT doc_id, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]) AS p2, list_distinct(list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1])) AS g2 FROM w)
 SELECT doc_id, round(CASE WHEN len(g2) = 0 THEN 0 ELSE len(list_intersect(g2, p2)) / len(g2)::DOUBLE END, 6) AS score FROM b""",
-)(lambda t: t.documents.select("doc_id", F.round(an.recall_of_ngrams(F.substring("text", 1, 300), F.substring("text", 100, 150), 2), 6).alias("score")))
+)(lambda t: t.documents.select("doc_id", F.round(an.recall_of_ngrams(F.col("text"), F.expr("substr(text, 100)"), 2), 6).alias("score")))
 
 
 def clozes(t: Tables) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over benchmark tables: building, sampling, grouping, resuming, roll-ups."""
+"""Queries over evaluation tables: scans, sinks, samples, groups, resumption, roll-ups."""
 
 from __future__ import annotations
 
@@ -61,8 +61,8 @@ query("project_rename", "SELECT doc_id AS id, lang AS task FROM documents")(lamb
 query("lookup_column", "SELECT doc_id, CASE lang WHEN 'en' THEN 128 WHEN 'fr' THEN 64 ELSE 32 END AS max_new_tokens FROM documents")(
     lambda t: t.documents.select("doc_id", F.coalesce(F.create_map(F.lit("en"), F.lit(128), F.lit("fr"), F.lit(64)).getItem(F.col("lang")), F.lit(32)).alias("max_new_tokens"))
 )
-query("prompt_template", "SELECT doc_id, 'Read this: ' || substr(text, 1, 50) || ' Question: ' || lang || '?' AS prompt FROM documents")(
-    lambda t: t.documents.select("doc_id", F.replace(F.replace(F.lit("Read this: {context} Question: {input}?"), F.lit("{context}"), F.substring("text", 1, 50)), F.lit("{input}"), F.col("lang")).alias("prompt"))
+query("prompt_template", "SELECT doc_id, 'Read this: ' || text || ' Question: ' || lang || '?' AS prompt FROM documents")(
+    lambda t: t.documents.select("doc_id", F.replace(F.replace(F.lit("Read this: {context} Question: {input}?"), F.lit("{context}"), F.col("text")), F.lit("{input}"), F.col("lang")).alias("prompt"))
 )
 query("length_band_filter", "SELECT doc_id FROM documents WHERE n_chars > 500 AND n_chars < 2000")(lambda t: t.documents.where((F.col("n_chars") > 500) & (F.col("n_chars") < 2000)).select("doc_id"))
 query("limit_rows", "SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 20")(lambda t: t.documents.where("lang = 'en'").select("doc_id", "lang").orderBy("doc_id").limit(20))
@@ -82,7 +82,7 @@ query("expand_compact", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY co
 query("context_stats_avg", "SELECT lang, round(avg(n_chars), 6) AS chars, count(*) AS contexts FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) GROUP BY lang")(
     lambda t: etl.head_per_group(t.documents, "text", ["doc_id"], 1).groupBy("lang").agg(F.round(F.avg("n_chars"), 6).alias("chars"), F.count("*").alias("contexts"))
 )
-query("sample_fraction", "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 250")(lambda t: etl.sample_exact(t.documents.select("doc_id"), 0.25, "doc_id", 42))
+query("sample_fraction", "SELECT doc_id FROM documents QUALIFY row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= round_even(0.25 * count(*) OVER (), 0)")(lambda t: etl.sample_exact(t.documents.select("doc_id"), 0.25, "doc_id", 42))
 query("head_per_group", "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 10")(
     lambda t: etl.head_per_group(t.orders, "o_orderpriority", ["o_orderkey"], 10).select("o_orderpriority", "o_orderkey")
 )
@@ -113,8 +113,8 @@ sum(greatest(1, length(text) // 4) + 4) OVER (PARTITION BY conv_id ORDER BY turn
 query(
     "needle_depth",
     """SELECT doc_id, d AS depth, CAST(floor(len(w) * d / 100) AS INT) AS at, md5(array_to_string(list_concat(list_concat(w[1:CAST(floor(len(w) * d / 100) AS INT)], ['<needle>']), w[CAST(floor(len(w) * d / 100) AS INT) + 1:]), ' ')) AS context
-FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:100] AS w FROM documents), (VALUES (0), (50), (100)) v(d)""",
-)(lambda t: etl.insert_needle(t.documents.select("doc_id", "text"), "<needle>", [0, 50, 100], 100).select("doc_id", "depth", "at", F.md5("context").alias("context")))
+FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), (VALUES (0), (50), (100)) v(d)""",
+)(lambda t: etl.insert_needle(t.documents.select("doc_id", "text"), "<needle>", [0, 50, 100]).select("doc_id", "depth", "at", F.md5("context").alias("context")))
 HEXKEY = "upper(substr(sha256('42:' || {0}), 1, 12))"
 query("kv_generate", f"SELECT doc_id, 'K_' || {HEXKEY.format('doc_id')} AS key, 'V_' || {HEXKEY.format('(doc_id + 1000000)')} AS value FROM documents")(lambda t: pairs(t))
 

@@ -276,8 +276,8 @@ query("softmax_window", with_kv(S, f"SELECT {ID}, round(exp(score - max(score) O
 # --- attention -------------------------------------------------------------------------------------------------------
 
 LAST = "q_pos >= n - {0}"
-query("window_attention", with_kv(attention_sql(LAST.format(8)), "SELECT layer, qhead, q_pos, pos, round(w, 6) AS w FROM a WHERE pos % 10 = 0"))(
-    lambda t: att.attention(att.last_queries(att.queries_of(t.kv), length(t), 8), t.kv).where("pos % 10 = 0").select("layer", "qhead", "q_pos", "pos", F.round("w", 6).alias("w"))
+query("window_attention", with_kv(attention_sql(LAST.format(8)), "SELECT layer, qhead, q_pos, pos, round(w, 6) AS w FROM a"))(
+    lambda t: att.attention(att.last_queries(att.queries_of(t.kv), length(t), 8), t.kv).select("layer", "qhead", "q_pos", "pos", F.round("w", 6).alias("w"))
 )
 query("causal_theta_join", with_kv(Q, "SELECT q.layer, qhead, q_pos, count(*) AS seen, round(sum(list_dot_product(q, key)), 5) AS total FROM q JOIN kv k ON q.layer = k.layer AND q.batch = k.batch AND q.head = k.head AND k.pos <= q.q_pos GROUP BY ALL"))(
     lambda t: att.queries_of(t.kv).join(t.kv.select(*KEYS, "key"), HEAD).where("pos <= q_pos").groupBy("layer", "qhead", "q_pos").agg(F.count("*").alias("seen"), F.round(F.sum(dot(F.col("q"), F.col("key"))), 5).alias("total"))
@@ -299,13 +299,30 @@ query(
     "finch",
     with_kv(
         attention_sql(LAST.format(16)),
-        "m AS (SELECT layer, batch, head, qhead, pos, avg(w) AS w FROM a, sz WHERE pos < n - 16 GROUP BY ALL)",
+        "m AS (SELECT layer, batch, head, qhead, pos, avg(w * q_pos) AS w FROM a, sz WHERE pos < n - 16 GROUP BY ALL)",
         "b AS (SELECT layer, batch, head, pos, avg(w) AS score FROM m GROUP BY ALL)",
         PAD,
         "s2 AS (SELECT *, pos // 50 AS chunk FROM s)",
-        top("s2", 0.5, "layer, batch, head, chunk", 1),
+        f"kp AS ({top('s2', 0.5, 'layer, batch, head, chunk', 1)})",
+        f"rn AS (SELECT {ID}, kp.score, CAST(row_number() OVER (PARTITION BY layer, batch, head ORDER BY pos) - 1 AS INT) AS new_pos, key FROM kv JOIN kp USING ({ID}))",
+        f"tn AS (SELECT *, list_transform(range(0, 16), lambda i: (new_pos - pos) * pow(10000.0::DOUBLE, -i / 16.0::DOUBLE)) AS g FROM rn)",
+        f"SELECT {ID}, score, new_pos, CAST(i - 1 AS INT) AS channel, round(CASE WHEN i <= 16 THEN key[i] * cos(g[i]) - key[i + 16] * sin(g[i]) ELSE key[i] * cos(g[i - 16]) + key[i - 16] * sin(g[i - 16]) END, 5) AS k FROM tn, (SELECT unnest(range(1, 33)) AS i)",
     ),
-)(lambda t: shown(selection.keep_top(att.window_scores(t.kv, length(t), 16, kernel=1).withColumn("chunk", F.expr("pos div 50")), 0.5, [*HEAD, "chunk"], 1)))
+)(
+    lambda t: (
+        lambda kept: scoring.rerotated(t.kv.join(kept, KEYS)).select(*KEYS, "score", "new_pos", F.posexplode("key").alias("channel", "x")).select(*KEYS, "score", "new_pos", "channel", F.round("x", 5).alias("k"))
+    )(shown(selection.keep_top(att.window_scores(t.kv, length(t), 16, kernel=1, normalize=True).withColumn("chunk", F.expr("pos div 50")), 0.5, [*HEAD, "chunk"], 1)))
+)
+SEP = "<sep>"
+query(
+    "finch_window",
+    f"""WITH s AS (SELECT doc_id, list_concat(list_concat(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''), ['{SEP}']), [lang, source]) AS w FROM documents)
+SELECT doc_id, CAST(list_position(w, '{SEP}') - 1 AS INT) AS context_length, CAST(len(w) - list_position(w, '{SEP}') AS INT) AS window FROM s""",
+)(
+    lambda t: selection.window_after_delimiter(
+        t.documents.select("doc_id", F.concat(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""), F.array(F.lit(SEP), "lang", "source")).alias("tokens")), SEP
+    ).select("doc_id", "context_length", "window")
+)
 query(
     "tova",
     with_kv(
@@ -330,8 +347,10 @@ EA = (
     "mu AS (SELECT layer, batch, head, qhead, list(m ORDER BY i) AS mu FROM (SELECT layer, batch, head, qhead, i, avg(q[i]) AS m FROM q, (SELECT unnest(range(1, 33)) AS i) WHERE q_pos >= 4 GROUP BY ALL) GROUP BY ALL)",
     """sg AS (SELECT layer, batch, head, qhead, list(r ORDER BY i) AS sigma FROM (SELECT layer, batch, head, qhead, i, list(c ORDER BY j) AS r FROM
   (SELECT layer, batch, head, qhead, i, j, covar_pop(q[i], q[j]) AS c FROM q, (SELECT unnest(range(1, 33)) AS i), (SELECT unnest(range(1, 33)) AS j) WHERE q_pos >= 4 GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)""",
+    "av AS (SELECT list(c ORDER BY i) AS c, list(s ORDER BY i) AS s FROM (SELECT i, avg(cos((n + f) * pow(10000.0::DOUBLE, -i / 16.0::DOUBLE))) AS c, avg(sin((n + f) * pow(10000.0::DOUBLE, -i / 16.0::DOUBLE))) AS s FROM sz, (SELECT unnest(range(0, 16)) AS i), (SELECT unnest(range(0, 512)) AS f) GROUP BY i))",
+    f"kr AS (SELECT {ID}, value, list_transform(range(1, 33), lambda i: CASE WHEN i <= 16 THEN c[i] * key[i] + s[i] * key[i + 16] ELSE c[i - 16] * key[i] - s[i - 16] * key[i - 16] END) AS key FROM kv, av)",
     """x AS (SELECT kv.layer, kv.batch, kv.head, qhead, pos, value, list_dot_product(mu, key) / sqrt(32) + list_sum(list_transform(range(1, 33), lambda i: key[i] * list_dot_product(sigma[i], key))) / 32 / 2 AS x
-  FROM kv JOIN mu USING (layer, batch, head) JOIN sg USING (layer, batch, head, qhead) WHERE pos >= 4)""",
+  FROM kr AS kv JOIN mu USING (layer, batch, head) JOIN sg USING (layer, batch, head, qhead) WHERE pos >= 4)""",
     "y AS (SELECT *, exp(x - max(x) OVER (PARTITION BY layer, batch, qhead)) AS e FROM x)",
     "z AS (SELECT layer, batch, head, pos, value, e / sum(e) OVER (PARTITION BY layer, batch, qhead) AS w FROM y)",
     "b AS (SELECT layer, batch, head, pos, (avg(w) + 0.01::DOUBLE) * any_value(sqrt(list_dot_product(value, value))) AS score FROM z GROUP BY layer, batch, head, pos)",

@@ -71,11 +71,18 @@ def test_rerotation_keeps_norms(kv):
 
 def test_policies():
     rows = [(i, float((i * 7) % 10)) for i in range(20)]
-    assert st.EveryInterval(4, 2)(4, rows[:4]) == st.best(rows[:4], 2)
-    assert st.EveryInterval(4, 2)(5, rows[:5]) is None
-    assert len(st.RatioOfSeen(10, 0.75)(20, rows)) == 5
-    assert st.SinkAndRecent(2, 3)(20, rows) == rows[:2] + rows[-3:]
-    assert st.DelayedThreshold(2, 5.0)(4, [(0, 9.0), (1, 1.0), (2, 0.0), (3, 0.0)]) == [(0, 9.0), (2, 0.0), (3, 0.0)]
+    assert st.EveryInterval(4, 2)(0, [], rows[:4]) == st.best(rows[:4], 2)
+    assert st.EveryInterval(4, 2)(4, rows[:2], rows[4:5]) == (rows[:2] + rows[4:5], [])
+    assert len(st.RatioOfSeen(10, 0.75)(0, [], rows)[0]) == 5
+    assert st.SinkAndRecent(2, 3)(0, [], rows) == (rows[:2] + rows[-3:], rows[2:-3])
+    assert st.DelayedThreshold(2, 5.0)(0, [], [(0, 9.0), (1, 1.0), (2, 0.0), (3, 0.0)]) == ([(2, 0.0), (3, 0.0)], [(1, 1.0)])
+    for policy in (st.EveryInterval(4, 2), st.RatioOfSeen(5, 0.5), st.PrefillThenDecode(7, 0.5, 4, 3), st.TopAlways(3), st.SinkAndRecent(2, 3), st.DelayedThreshold(3, 8.0)):
+        whole, lost = policy(0, [], rows)
+        held, gone = [], []
+        for k in range(0, len(rows), 3):  # in micro-batches of three
+            held, more = policy(k, held, rows[k : k + 3])
+            gone += more
+        assert (held, sorted(gone)) == (whole, sorted(lost))
 
 
 def one(spark, expr, **columns):
