@@ -37,6 +37,13 @@ def filtered(kv: DataFrame, filters: DataFrame) -> DataFrame:
     return kv.join(F.broadcast(filters), ["layer", "head"]).select(*KEYS, (-dot(F.col("filter"), F.col("key"))).alias("score"))
 
 
+def mean_queries(kv: DataFrame, width: int = WIDTH) -> DataFrame:
+    """layer, head, filter: the mean of each head's queries, at length 1."""
+    both = kv.select("layer", "head", F.explode(F.array("key", "value")).alias("q"))
+    mean = both.groupBy("layer", "head").agg(mean_vector("q", width).alias("m"))
+    return mean.select("layer", "head", divide(F.col("m"), F.greatest(norm(F.col("m")), F.lit(1e-12))).alias("filter"))
+
+
 def seeded(kv: DataFrame, seed: str) -> DataFrame:
     """A number in [0, 1) that depends on the seed and the row's key alone."""
     text = F.concat_ws(":", F.lit(seed), *(F.col(c) for c in KEYS))
@@ -47,17 +54,20 @@ def hash_unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def leverage_product(kv: DataFrame, sinks: int = 4, window: int = 16) -> DataFrame:
-    """Squared norms of key and value, each as a share of its window of positions, multiplied; the first positions score 1."""
+def leverage_product(kv: DataFrame, sinks: int = 4, window: int = 16, kind: str = "kv_product") -> DataFrame:
+    """Squared norms of key and value, each as a share of its window of positions, multiplied (kv_product), averaged (kv_avg) or alone (key, value);
+    the first positions score 1."""
     local = Window.partitionBy(*HEAD, F.expr(f"pos div {window}"))
     sq = kv.select(*KEYS, dot(F.col("key"), F.col("key")).alias("k2"), dot(F.col("value"), F.col("value")).alias("v2"))
-    shares = sq.select(*KEYS, ((F.col("k2") / F.sum("k2").over(local)) * (F.col("v2") / F.sum("v2").over(local))).alias("s"))
+    k, v = F.col("k2") / F.sum("k2").over(local), F.col("v2") / F.sum("v2").over(local)
+    shares = sq.select(*KEYS, {"kv_product": k * v, "kv_avg": (k + v) / 2, "key": k, "value": v}[kind].alias("s"))
     return shares.select(*KEYS, F.when(F.col("pos") < sinks, 1.0).otherwise(F.col("s") / F.sum("s").over(every_head())).alias("score"))
 
 
-def lag_relative(kv: DataFrame, n: int, lag: int = 16, n_sink: int = 4, width: int = WIDTH) -> DataFrame:
+def lag_relative(kv: DataFrame, n: int, lag: int = 16, n_sink: int = 4, width: int = WIDTH, ranks: bool = True) -> DataFrame:
     """Partitions of `lag` positions, scaled by the next partition's range in each channel; the deviation over channels, as a
-    softmax over the partition, averaged over key and value, gives the rank in the partition. Sinks and the tail score 1."""
+    softmax over the partition, averaged over key and value, gives the rank in the partition, or is the score itself (ranks=False: partitions
+    then compete). A channel without a range counts as 0. Sinks and the tail score 1."""
     if n < n_sink + 2 * lag:
         ramp = (F.col("pos") - n_sink) / (n - n_sink)
         return kv.select(*KEYS, F.when(F.col("pos") < n_sink, 1.0).otherwise(ramp).alias("score"))
@@ -67,7 +77,7 @@ def lag_relative(kv: DataFrame, n: int, lag: int = 16, n_sink: int = 4, width: i
     ranges = rows.groupBy(*HEAD, "part").agg(*(element(c, f).alias(f"{c}_{k}") for c in ("key", "value") for k, f in (("lo", F.min), ("hi", F.max))))
     ahead = ranges.withColumn("part", F.col("part") - 1)
     both = rows.join(ahead, [*HEAD, "part"])
-    scaled = lambda c: F.zip_with(F.zip_with(F.col(c), F.col(f"{c}_lo"), lambda x, y: x - y), F.zip_with(F.col(f"{c}_hi"), F.col(f"{c}_lo"), lambda x, y: x - y), lambda x, y: x / y)
+    scaled = lambda c: F.zip_with(F.zip_with(F.col(c), F.col(f"{c}_lo"), lambda x, y: x - y), F.zip_with(F.col(f"{c}_hi"), F.col(f"{c}_lo"), lambda x, y: x - y), lambda x, y: F.when(y != 0, x / y).otherwise(0.0))
     local = Window.partitionBy(*HEAD, "part")
     out = both.select(*KEYS, "part", scaled("key").alias("k"), scaled("value").alias("v"))
     for c in ("k", "v"):
@@ -76,7 +86,7 @@ def lag_relative(kv: DataFrame, n: int, lag: int = 16, n_sink: int = 4, width: i
     out = out.select(*KEYS, "part", F.exp("k").alias("k"), F.exp("v").alias("v"))
     out = out.withColumn("s", (F.col("k") / F.sum("k").over(local) + F.col("v") / F.sum("v").over(local)) / 2)
     rank = F.row_number().over(local.orderBy(F.round("s", 9), "pos")) - 1
-    scored = out.select(*KEYS, (rank / F.lit(lag)).alias("score"))
+    scored = out.select(*KEYS, (rank / F.lit(lag) if ranks else F.col("s")).alias("score"))
     return kv.select(*KEYS).join(scored, KEYS, "left").select(*KEYS, F.coalesce("score", F.lit(1.0)).alias("score"))
 
 

@@ -64,6 +64,27 @@ def two_stage(scores: DataFrame, value_norm: DataFrame, ratio: float, first_stag
     return both.withColumn("first", first).withColumn("score", (F.col("score") + epsilon) * F.col("norm")).select(*KEYS, "first", "score")
 
 
+def two_stage_adaptive(scores: DataFrame, value_norm: DataFrame, ratio: float, first_stage: float = 0.5, safeguard: float = 0.2, epsilon: float = 1e-4) -> DataFrame:
+    """Head budgets from the shared ranking; a first share of each by score, the rest by score times the value's norm."""
+    budget = adaptive_heads(scores, ratio, safeguard).groupBy(*HEAD).agg(F.count("*").alias("budget"))
+    rows = counted(ranked(scores)).join(F.broadcast(budget), HEAD).join(value_norm, KEYS)
+    safe = F.col("rank") <= F.floor(kept_count(F.col("n"), ratio) * F.lit(safeguard))
+    rows = rows.withColumn("first", safe | (F.col("rank") <= F.floor(F.col("budget") * F.lit(first_stage)))).withColumn("score", (F.col("score") + epsilon) * F.col("norm"))
+    order = Window.partitionBy(*HEAD).orderBy(F.col("first").desc(), F.round("score", 9).desc(), "pos")
+    return rows.withColumn("order", F.row_number().over(order)).where(F.col("order") <= F.col("budget")).select(*KEYS)
+
+
+def composed_budget(scores: DataFrame, ratio: float) -> DataFrame:
+    """Each head's ranks are composed into layer scores (the means over heads, the first layer's at least those of all); the best floor(n * (1 - ratio)) ranks of all layers
+    give each layer its budget, and each head of it keeps that many."""
+    ranks = ranked(scores)
+    layers = ranks.groupBy("layer", "batch", "rank").agg(F.avg("score").alias("c"))
+    first = F.when(F.col("layer") == 0, F.max("c").over(Window.partitionBy("batch", "rank"))).otherwise(F.col("c"))
+    order = Window.partitionBy("batch").orderBy(F.round("c", 9).desc(), "layer", "rank")
+    best = layers.withColumn("c", first).withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("batch"))).where(F.col("i") <= kept_count(F.col("n"), ratio))
+    return ranks.join(F.broadcast(best.groupBy("layer", "batch").agg(F.count("*").alias("budget"))), ["layer", "batch"]).where("rank <= budget").select(*KEYS)
+
+
 def keep_top_first(scores: DataFrame, ratio: float) -> DataFrame:
     """As keep_top, with the rows marked `first` before all others."""
     order = Window.partitionBy(*HEAD).orderBy(F.col("first").desc(), F.round("score", 9).desc(), "pos")

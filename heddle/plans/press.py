@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from heddle.functions.vectors import dot, norm, norm1
 from heddle.operators import attention as att
-from heddle.operators import budgets, merging, scoring, selection
-from heddle.plans.registry import query
+from heddle.operators import budgets, merging, presses, scoring, selection
+from heddle.plans.registry import ORACLES, query
 from heddle.sources.tables import HEAD, KEYS, Tables
 
 KV = """kv AS (SELECT CAST(vec_id % 2 AS INT) AS layer, 0 AS batch, CAST((vec_id // 2) % 2 AS INT) AS head, CAST(vec_id // 4 AS INT) AS pos,
@@ -154,14 +154,7 @@ query(
     ),
 )
 def critical_adakv(t: Tables) -> DataFrame:
-    """Head budgets from the shared ranking; half of each by score, the rest by score times projected norm."""
-    s = positive(t)
-    budget = selection.adaptive_heads(s, 0.5).groupBy(*HEAD).agg(F.count("*").alias("budget"))
-    rows = selection.counted(selection.ranked(s)).join(F.broadcast(budget), HEAD).join(value_norm1(t), KEYS)
-    safe = F.col("rank") <= F.floor(F.floor(F.col("n") * F.lit(0.5)) * F.lit(0.2))
-    rows = rows.withColumn("first", safe | (F.col("rank") <= F.floor(F.col("budget") * F.lit(0.5)))).withColumn("score", (F.col("score") + 1e-4) * F.col("norm"))
-    order = Window.partitionBy(*HEAD).orderBy(F.col("first").desc(), F.round("score", 9).desc(), "pos")
-    return rows.withColumn("order", F.row_number().over(order)).where(F.col("order") <= F.col("budget")).select(*KEYS)
+    return selection.two_stage_adaptive(positive(t), value_norm1(t), 0.5)
 
 
 query("chunk_press", with_kv(S, "s2 AS (SELECT *, pos // 10 AS chunk FROM s)", top("s2", 0.5, "layer, batch, head, chunk", 1)))(
@@ -403,10 +396,7 @@ query("simlayer", with_kv(*LAZY, f"SELECT {ID}, round(mass, 6) AS mass FROM kv J
 )
 def think(t: Tables) -> DataFrame:
     """Keys with the lowest-scored half of each head's channels set to 0; shown by their sums."""
-    order = Window.partitionBy(*HEAD).orderBy(F.round("score", 9), "channel")
-    low = att.channel_scores(t.kv, length(t), 16).withColumn("rank", F.row_number().over(order)).where("rank <= 16").groupBy(*HEAD).agg(F.collect_set("channel").alias("z"))
-    key = F.transform("key", lambda x, i: F.when(F.array_contains("z", i), F.lit(0.0)).otherwise(x))
-    return t.kv.join(F.broadcast(low), HEAD).withColumn("key", key).select(*KEYS, F.round(F.aggregate("key", F.lit(0.0), lambda a, x: a + x), 6).alias("k"))
+    return att.without_channels(t.kv, length(t), 16, 0.5).select(*KEYS, F.round(F.aggregate("key", F.lit(0.0), lambda a, x: a + x), 6).alias("k"))
 
 
 COMPOSE = (
@@ -423,16 +413,7 @@ COMPOSE = (
 
 @query("kvcompose", with_kv(*COMPOSE))
 def kvcompose(t: Tables) -> DataFrame:
-    """Attention maxima, averaged over the group, plus the mean over heads; each head's ranks are composed into layer scores, which share one global budget."""
-    w = att.attention(att.last_queries(att.queries_of(t.kv), length(t), 16), t.kv)
-    group = w.groupBy(*att.QUERY, "pos").agg(F.max("w").alias("w")).groupBy(*KEYS).agg(F.avg("w").alias("score"))
-    scores = group.withColumn("score", F.col("score") + F.avg("score").over(Window.partitionBy("layer", "batch", "pos")))
-    ranks = merging.layers_composed(t.kv, scores)
-    layers = ranks.groupBy("layer", "batch", "rank").agg(F.avg("score").alias("c"))
-    first = F.when(F.col("layer") == 0, F.max("c").over(Window.partitionBy("batch", "rank"))).otherwise(F.col("c"))
-    order = Window.partitionBy("batch").orderBy(F.round("c", 9).desc(), "layer", "rank")
-    kept = layers.withColumn("c", first).withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("batch"))).where(F.col("i") <= F.floor(F.col("n") * F.lit(0.5)))
-    return ranks.join(F.broadcast(kept.groupBy("layer", "batch").agg(F.count("*").alias("budget"))), ["layer", "batch"]).where("rank <= budget").select(*KEYS)
+    return selection.composed_budget(att.composed_scores(t.kv, length(t), 16), 0.5)
 
 
 query("kvzip_score", with_kv(attention_sql(), f"SELECT {ID}, round(max(w), 6) AS score FROM a GROUP BY ALL"))(
@@ -520,22 +501,16 @@ query(
         "tg AS (SELECT st.layer, st.batch, st.head, st.pos, ks.pos AS target FROM st JOIN ks ON st.layer = ks.layer AND st.batch = ks.batch AND st.head = ks.head AND slot BETWEEN st + 1 AND st + 4)",
         "pr AS (SELECT tg.layer, tg.batch, tg.head, tg.pos, count(*) AS budget, any_value(me.att) / avg(x.att) AS p FROM tg JOIN ac x ON tg.layer = x.layer AND tg.batch = x.batch AND tg.head = x.head AND tg.target = x.pos JOIN ac me ON tg.layer = me.layer AND tg.batch = me.batch AND tg.head = me.head AND tg.pos = me.pos GROUP BY ALL)",
         "dr AS (SELECT layer, batch, head, pos, budget FROM pr WHERE CAST('0x' || substr(md5(concat_ws(':', '11', layer, batch, head, pos)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < least(greatest(round(p, 9), 0), 1))",
-        "sm AS (SELECT tg.layer, tg.batch, tg.head, tg.target AS pos, sum(kv.value[1] / budget) AS add1 FROM tg JOIN dr USING (layer, batch, head, pos) JOIN kv USING (layer, batch, head, pos) GROUP BY ALL)",
-        f"SELECT {ID}, round(value[1] + coalesce(add1, 0), 6) AS v1 FROM kv SEMI JOIN kept USING ({ID}) LEFT JOIN sm USING ({ID})",
+        "sm AS (SELECT tg.layer, tg.batch, tg.head, tg.target AS pos, i, sum(kv.value[i] / budget) AS add1 FROM tg JOIN dr USING (layer, batch, head, pos) JOIN kv USING (layer, batch, head, pos), (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL)",
+        f"kc AS (SELECT {ID}, i, value[i] AS v FROM kv SEMI JOIN kept USING ({ID}), (SELECT unnest(range(1, 33)) AS i))",
+        "SELECT kc.layer, kc.batch, kc.head, kc.pos, CAST(kc.i - 1 AS INT) AS channel, round(v + coalesce(add1, 0), 6) AS v FROM kc LEFT JOIN sm ON kc.layer = sm.layer AND kc.batch = sm.batch AND kc.head = sm.head AND kc.pos = sm.pos AND kc.i = sm.i",
     ),
 )
 def cam_merge(t: Tables) -> DataFrame:
-    """Evicted values are added to the next kept slots, in equal parts, with a probability: their attention over the mean of those slots', drawn from a hash."""
-    seen = att.attention(att.last_queries(att.queries_of(t.kv), length(t), 8), t.kv).groupBy(*KEYS).agg(F.sum("w").alias("score"))
-    kept = selection.keep_top(seen, 0.5)
-    slots = merging.following_slots(kept, selection.mask(t.kv, kept), 4)
-    around = slots.join(seen.select(*HEAD, F.col("pos").alias("target"), F.col("score").alias("near")), [*HEAD, "target"])
-    chance = around.groupBy(*KEYS).agg(F.count("*").alias("budget"), F.avg("near").alias("near")).join(seen, KEYS)
-    p = F.least(F.greatest(F.round(F.col("score") / F.col("near"), 9), F.lit(0.0)), F.lit(1.0))
-    drawn = chance.where(scoring.hash_unit(F.concat_ws(":", F.lit("11"), *(F.col(c) for c in KEYS))) < p).select(*KEYS, "budget")
-    parts = slots.join(drawn, KEYS).join(t.kv.select(*KEYS, F.get("value", F.lit(0)).alias("v")), KEYS)
-    sums = parts.groupBy(*HEAD, F.col("target").alias("pos")).agg(F.sum(F.col("v") / F.col("budget")).alias("add1"))
-    return selection.prune(t.kv, kept).join(sums, KEYS, "left").select(*KEYS, F.round(F.get("value", F.lit(0)) + F.coalesce("add1", F.lit(0.0)), 6).alias("v1"))
+    """Evicted values are added to the next kept slots with a probability; every channel is shown."""
+    seen = att.received(t.kv, length(t))
+    merged = merging.merge_following(t.kv, selection.keep_top(seen, 0.5), seen)
+    return merged.select(*KEYS, F.posexplode("value").alias("channel", "x")).select(*KEYS, "channel", F.round("x", 6).alias("v"))
 
 
 query(
@@ -561,6 +536,35 @@ def dim_histogram(t: Tables) -> DataFrame:
     return x.where((F.col("x") >= lo) & (F.col("x") <= hi)).select(F.least(F.floor((F.col("x") - lo) / (hi - lo) * 50), F.lit(49)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+# --- compositions by name ---------------------------------------------------------------------------------------------
+
+
+def composition(name: str, sql: str, ratio: float = 0.5, **settings) -> None:
+    """A press of the registry, shown by the rows that it keeps."""
+    query(f"press_{name}", sql)(lambda t: presses.build(name, ratio, **settings).kept(t.kv))
+
+
+IDS = f"SELECT {ID} FROM"
+composition("no_press", with_kv(f"{IDS} kv"))
+composition("adakv_snapkv", with_kv(*SNAP, ADA, f"{IDS} adk"))
+composition("expected_attention", with_kv(*EA, ADA, f"{IDS} adk"))
+composition("critical_snapkv", with_kv(*SNAP, CRIT, f"{IDS} c2 QUALIFY row_number() OVER (PARTITION BY layer, batch, head ORDER BY first DESC, round(score, 9) DESC, pos) <= floor(n * CAST(0.5 AS DOUBLE))"))
+composition(
+    "chunkkv",
+    with_kv(
+        *SNAP,
+        "mc AS (SELECT layer, batch, pos // 20 AS chunk, avg(score) AS score FROM s GROUP BY ALL)",
+        "bc AS (SELECT layer, batch, chunk FROM mc QUALIFY row_number() OVER (PARTITION BY layer, batch ORDER BY round(score, 9) DESC, chunk) <= greatest(floor(count(*) OVER (PARTITION BY layer, batch) * CAST(0.5 AS DOUBLE)), 1))",
+        "SELECT s.layer, s.batch, s.head, s.pos FROM s JOIN bc ON s.layer = bc.layer AND s.batch = bc.batch AND s.pos // 20 = bc.chunk",
+    ),
+)
+composition("kvzip", with_kv(attention_sql(), f"s AS (SELECT {ID}, max(w) AS score FROM a GROUP BY ALL)", GLOBAL.replace("0.3", "0.5"), f"ev AS ({IDS} s JOIN bg USING (layer) QUALIFY row_number() OVER (PARTITION BY layer ORDER BY round(score, 9), batch, head, pos) <= budget)", f"{IDS} kv ANTI JOIN ev USING ({ID})"))
+composition("merging_knorm", with_kv(S, KEPT, f"{IDS} kept"))
+composition("kvcompose", with_kv(*COMPOSE))
+for name in ("knorm", "streaming_llm", "cur", "tova", "snapkv"):
+    composition(name, f"SELECT {ID} FROM ({ORACLES[name]})")
+
+
 # --- budgets ---------------------------------------------------------------------------------------------------------
 
 PER_TOKEN = budgets.bytes_per_token(32, 8, 128, 2)

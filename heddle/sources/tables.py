@@ -32,6 +32,15 @@ def kv_from_vectors(vectors: DataFrame, layers: int = 2, heads: int = 2, width:
     )
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint, where the session names a folder for it (spark.checkpoint.dir); else as it is."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+
+
 class Tables:
     """The tables of one folder, read when first asked for."""
 
