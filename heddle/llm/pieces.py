@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from heddle.llm.common import claim, read, text_slices
 
-MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 3_000_000, 100_000, 48
+MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 2_000_000, 100_000, 48
 ZIPF_SHIFT, ALPHA, SEED = 10.0, 1.0, 0
 #: Units: spaces with the letters or the other characters that follow, or a line feed. A piece that would cross their edges
 #: is left out when the vocabulary is read; vocabularies split by script and white space, as is usual, have none.
