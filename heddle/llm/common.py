@@ -24,7 +24,15 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+#: Rows of an Arrow batch: texts are wide, and both sides of the exchange hold whole batches outside the heap.
+BATCH_ROWS = "1024"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of one folder. Where the session has Spark's own number of rows for Arrow batches, it gets BATCH_ROWS from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -35,9 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from heddle.llm.common import NO_ID, Powers, Rolling, claim, hash_words, join_bounded, materialize, read, text_slices
+from heddle.llm.common import NO_ID, Powers, Rolling, claim, hash_words, join_bounded, materialize, read, text_slices, words
 
 WINDOW, K, PAIR_BLOCKS = 35, 8, 32
 BROADCAST_ROWS, BROADCAST_ITEMS, PAIRS_AT_ONCE = 100_000, 500_000, 20_000
@@ -266,30 +265,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with n_words, n_removed, kept (the words that stay, joined by one space) appended; columns of these names are replaced."""
     docs = docs.drop("n_words", "n_removed", "kept")
-    place = docs.columns.index(text_col)
     rows = keyed(docs, id_col, text_col)
     spans = materialize(duplicate_spans(rows, window, k))
-    out = join_bounded(rows.drop("text"), spans, ["k1", "k2"], "left", held_rows(spans, "spans"), BROADCAST_ROWS)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("substrings")
-        for batch in batches:
-            for part in text_slices(batch, batch.column("row").field(place)):
-                n_words, n_removed, kept = [], [], []
-                for text, found in zip(part.column("row").field(place).to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    ws = (text or "").encode().split()
-                    at, stay = 0, []
-                    for x in found or ():
-                        stay += ws[at : x["start"]]
-                        at = x["stop"]
-                    stay += ws[at:]
-                    n_words.append(len(ws))
-                    n_removed.append(len(ws) - len(stay))
-                    kept.append(b" ".join(stay).decode())
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
-
-    schema = T.StructType([rows.schema["row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return out.select("row", "spans").mapInArrow(cut, schema).select("row.*", "n_words", "n_removed", "kept")
+    out = join_bounded(rows, spans, ["k1", "k2"], "left", held_rows(spans, "spans"), BROADCAST_ROWS)
+    # words between spans are cut out as slices, without a look at each word
+    out = out.select("row", words(F.col("text")).alias("w"), F.coalesce("spans", F.array()).alias("spans"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["stop"]))
+    stops = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.size("w")))
+    out = out.select("row", F.size("w").alias("n"), F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice("w", a + 1, b - a))).alias("stay"))
+    return out.select("row.*", F.col("n").cast("long").alias("n_words"), (F.col("n") - F.size("stay")).cast("long").alias("n_removed"), F.array_join("stay", " ").alias("kept"))
 
 
 def op8_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
