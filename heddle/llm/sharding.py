@@ -6,8 +6,9 @@ that still have room for its bytes. The law that holds is `bytes`.
 
 Scale. The greedy pass is sequential, so it sees a bounded number of items whatever the input: a group of at
 least 1/16384 of all bytes is an item (there can be 16384 at most), all others are bundled by hash of their
-text into 4096 items. A group of more than 1/16 of a shard's share is cut into the fewest pieces by hash of
-doc_id; no other group is cut. Only that item table (some 20,000 rows) reaches the driver or is broadcast.
+text into 4096 items. A group is cut only where no shard
+has room left for its bytes and it is larger than 1/16 of a shard's share: into the fewest pieces of that size, by hash of
+doc_id; all items are then placed anew. Only that item table (some 20,000 rows) reaches the driver or is broadcast.
 Slots come from two levels of counting, so no task ranks a whole shard.
 
 Defined cases: a null text has 0 bytes plus 1, crc32 0, and forms a group of its own; an empty text is another
@@ -38,19 +39,27 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Vector bin packing of rows (bytes, tokens, rows), largest first; returns each row's shard."""
+def place(vectors: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vector bin packing of rows (bytes, tokens, rows), largest first; returns each row's shard, and whether that had room for its bytes."""
     total = np.maximum(vectors.sum(axis=0), 1)
     sizes = vectors / total
     load = np.zeros((shards, vectors.shape[1]))
-    out = np.zeros(len(vectors), dtype=np.int64)
+    out, held = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors), dtype=bool)
     for i in np.lexsort((np.arange(len(sizes)), -sizes.max(axis=1))):
         residual = 1.0 / shards - load
-        fits = residual[:, 0] >= sizes[i, 0]
-        score = np.where(fits, residual @ sizes[i], -np.inf) if fits.any() else residual[:, 0]
+        room = residual >= sizes[i]
+        fits = room.all(axis=1) if room.all(axis=1).any() else room[:, 0]
+        held[i] = fits.any()
+        score = np.where(fits, residual @ sizes[i], -np.inf) if held[i] else residual[:, 0]
         out[i] = best = int(np.argmax(score))
         load[best] += sizes[i]
-    return out
+    return out, held
+
+
+def assign(items: list[tuple], shards: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """items (key, piece, bytes, tokens, rows) in an order of their own, with what place() says of them."""
+    items = sorted(items, key=lambda x: (-x[2], x[0], x[1]))
+    return items, *place(np.array([x[2:] for x in items], dtype=float).reshape(-1, 3), shards)
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,21 +79,19 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         .agg(*vector, F.sum("rows").alias("rows"))
         .collect()
     )
-    pieces = {bytes(r["item"]): int(np.ceil(r["size"] / most)) for r in items if r["own"] and r["size"] > most and r["rows"] > 1}
+    placed, where, held = assign([(bytes(r["item"]), 0, r["size"], r["tokens"], r["rows"]) for r in items], shards)
+    copied = {bytes(r["item"]) for r in items if r["own"] and r["rows"] > 1}
+    pieces = {x[0]: int(np.ceil(x[2] / most)) for x, ok in zip(placed, held, strict=True) if not ok and x[0] in copied and x[2] > most}
     big = spark.createDataFrame([(bytes(r["item"]), pieces.get(bytes(r["item"]), 1)) for r in items if r["own"]], "text_key binary, pieces int")
     tagged = rows.join(F.broadcast(big), "text_key", "left").select(
         "doc_id", "size", "tokens", "text_crc32", F.coalesce(F.when(F.col("pieces").isNotNull(), F.col("text_key")), bundle).alias("item"),
         F.when(F.col("pieces") > 1, F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.col("pieces"))).otherwise(0).cast("int").alias("piece"),
     )
-    placed = [(bytes(r["item"]), 0, r["size"], r["tokens"], r["rows"]) for r in items if bytes(r["item"]) not in pieces]
     if pieces:
         cut = spark.createDataFrame([(k,) for k in pieces], "item binary")
-        placed += [
-            (bytes(r["item"]), r["piece"], r["size"], r["tokens"], r["rows"])
-            for r in tagged.join(F.broadcast(cut), "item", "left_semi").groupBy("item", "piece").agg(*vector, F.count("*").alias("rows")).collect()
-        ]
-    placed.sort(key=lambda x: (-x[2], x[0], x[1]))
-    where = place(np.array([x[2:] for x in placed], dtype=float).reshape(-1, 3), shards)
+        parts = tagged.join(F.broadcast(cut), "item", "left_semi").groupBy("item", "piece").agg(*vector, F.count("*").alias("rows")).collect()
+        parts = [(bytes(r["item"]), r["piece"], r["size"], r["tokens"], r["rows"]) for r in parts]
+        placed, where, _ = assign([x for x in placed if x[0] not in pieces] + parts, shards)
     map_rows = spark.createDataFrame([(x[0], x[1], int(s)) for x, s in zip(placed, where, strict=True)], "item binary, piece int, shard int")
     return number(tagged.join(F.broadcast(map_rows), ["item", "piece"]).drop("item", "piece"), n, shards).select(
         "doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -416,6 +416,30 @@ def test_shards(spark, odd, none):
     assert sharding.shard(odd).count() == 11 and sharding.shard(none).count() == 0
 
 
+def test_a_group_is_cut_only_where_it_fits_no_shard(spark):
+    others = [base_text(i, 5 + (i * 37) % 90) for i in range(700)]
+    for copies, cut in ((60, False), (4000, True)):
+        got = sharding.shard(docs_of(spark, others + ["same text here now"] * copies)).toPandas()
+        share = got["size"].sum() / 16
+        group = got[got["size"] == 19]
+        assert len(group) == copies and (copies * 19 > share) == cut
+        assert (group.shard.nunique() > 1) == cut
+
+
+def test_placing_follows_the_greedy_rule():
+    rng = np.random.default_rng(7)
+    items, shards = rng.integers(1, 200, (300, 3)).astype(float), 7
+    total, load, want = items.sum(axis=0), [[0.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i] / total), i)):
+        v = items[i] / total
+        left = [[1 / shards - x for x in row] for row in load]
+        room = [s for s in range(shards) if all(left[s][d] >= v[d] for d in range(3))] or [s for s in range(shards) if left[s][0] >= v[0]]
+        want[i] = max(room, key=lambda s: sum(left[s][d] * v[d] for d in range(3))) if room else max(range(shards), key=lambda s: left[s][0])
+        load[want[i]] = [a + b for a, b in zip(load[want[i]], v, strict=True)]
+    got, _ = sharding.place(items, shards)
+    assert got.tolist() == [want[i] for i in range(len(items))]
+
+
 # --- the pipeline -------------------------------------------------------------------------------------------------------
 
 
