@@ -20,6 +20,11 @@ def squeeze(s: Column, by: str = " ") -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", by)
 
 
+def casefold(s: Column) -> Column:
+    """Lower case for comparison, with the sharp s as ss; other letters that fold to several stay as they are."""
+    return F.replace(F.lower(filled(s)), F.lit("ß"), F.lit("ss"))
+
+
 def tokens(s: Column) -> Column:
     return F.array_remove(F.split(filled(s), r"(?U)\s+"), "")
 

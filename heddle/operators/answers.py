@@ -112,29 +112,38 @@ def choice(predicted: Column, label: Column) -> Column:
 # --- rows that have no relational form: Arrow batches ------------------------------------------------------------------
 
 
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence; the row of the table is the bits of one integer."""
+    at: dict[str, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        hit = row & at.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def lcs_f(a: list[str], b: list[str]) -> float:
+    n = common_length(a, b) if a and b else 0
+    return 2 * n / (len(a) + len(b)) if n else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F of the longest common subsequence of words."""
+    return pd.Series([lcs_f((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def one(x: str | None, y: str | None) -> float:
-        p, g = (x or "").split(), (y or "").split()
-        if not p or not g:
-            return 0.0
-        row = [0] * (len(g) + 1)
-        for w in p:
-            last = 0
-            for j, v in enumerate(g, 1):
-                last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
-        r, q = row[-1] / len(g), row[-1] / len(p)
-        return 0.0 if row[-1] == 0 else 2 * r * q / (r + q)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def ratio(a: str | None, b: str | None) -> float:
+    """Share of matching characters."""
+    return difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +101,25 @@ def layered(configs: dict[str, dict], name: str) -> dict:
     for c in reversed(chain):
         out |= {k: v for k, v in c.items() if k != "extends"}
     return out
+
+
+def unfinished(runs: DataFrame, artifacts: DataFrame, by: list[str], needed: tuple[str, ...]) -> DataFrame:
+    """Runs that lack one of the needed artifacts (rows of the columns `by` and kind)."""
+    done = artifacts.where(F.col("kind").isin(*needed)).groupBy(*by).agg(F.count_distinct("kind").alias("_n")).where(F.col("_n") == len(needed))
+    return runs.join(done, by, "left_anti")
+
+
+def config_lines(config: dict, only_with: dict[str, str] | None = None) -> list[str]:
+    """A flat config as YAML, its values written as JSON. Nulls go, and so does each key of only_with whose companion key is absent or null."""
+    kept = {k: v for k, v in config.items() if v is not None and (k not in (only_with or {}) or config.get(only_with[k]) is not None)}
+    return [f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in kept.items()]
+
+
+def report_lines(metrics: DataFrame, title: str) -> DataFrame:
+    """A Markdown report of long-form metrics, one row for each line: section, line_no, line. Sections are datasets; their order and line_no give the text."""
+    section = F.col("dataset")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", "metric", F.col("value").cast("string"), F.col("n").cast("string")), F.lit(" |"))
+    rows = metrics.select(section.alias("section"), (F.row_number().over(Window.partitionBy("dataset").orderBy("metric")) + 2).alias("line_no"), cells.alias("line"))
+    heads = metrics.select(section.alias("section")).distinct()
+    heads = heads.select("section", F.posexplode(F.array(F.concat(F.lit(f"## {title}: "), "section"), F.lit("| metric | value | n |"), F.lit("|-|-|-|"))).alias("line_no", "line"))
+    return heads.unionByName(rows)
