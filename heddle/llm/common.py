@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,6 +108,29 @@ def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
         _caches[owner] = clear
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process is used again, or waits beside others, with all that its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, a function for mapInArrow, that gives freed memory back after each batch and at its end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(each(batches))
+        gc.collect()
+        give_back()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spreads each 64-bit number over all its bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

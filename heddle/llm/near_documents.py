@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_ID, claim, hash_words, join_bounded, materialize, mix64, read, text_slices
+from heddle.llm.common import NO_ID, claim, hash_words, join_bounded, materialize, mix64, read, text_slices, tidy
 from heddle.llm.components import components
 
 SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS, LEADERS = 4, 80, 32, 6, 512, 3
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     sketch.append(odd_sketch(sample) if len(held) else None)
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)], ["k1", "k2", "n", "digest", "bands", "sketch"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(sign, "k1 long, k2 long, n long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select("k1", "k2", "text").mapInArrow(tidy(sign), "k1 long, k2 long, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def likely(percent: int) -> Column:
@@ -144,7 +144,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     own = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias("t" + k))
-    return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidy(check), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def possible(rows: pa.Table, bucket: int, crossed: bool, percent: int) -> np.ndarray:

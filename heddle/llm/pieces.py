@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import claim, read, text_slices
+from heddle.llm.common import claim, read, text_slices, tidy
 
 MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 2_000_000, 100_000, 48
 ZIPF_SHIFT, ALPHA, SEED = 10.0, 1.0, 0
@@ -330,7 +330,7 @@ def encode_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int =
 
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
     schema = T.StructType([keyed.schema["row"]]).add("piece_ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
-    return keyed.mapInArrow(apply, schema).select("row.*", "piece_ids", "lossless")
+    return keyed.mapInArrow(tidy(apply), schema).select("row.*", "piece_ids", "lossless")
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids_col: str = "piece_ids") -> DataFrame:
@@ -343,7 +343,7 @@ def decode_pieces(encoded: DataFrame, path: str, ids_col: str = "piece_ids") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(apply, f"{fields}, decoded string")
+    return encoded.mapInArrow(tidy(apply), f"{fields}, decoded string")
 
 
 def digests(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -357,7 +357,7 @@ def digests(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), batch.column("lossless")], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
     coded = encode_pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, alpha, seed)
-    return coded.select("doc_id", "piece_ids", "lossless").mapInArrow(apply, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    return coded.select("doc_id", "piece_ids", "lossless").mapInArrow(tidy(apply), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_ID, Powers, Rolling, claim, hash_words, join_bounded, materialize, read, text_slices, words
+from heddle.llm.common import NO_ID, Powers, Rolling, claim, hash_words, join_bounded, materialize, read, text_slices, tidy, words
 
 WINDOW, K, PAIR_BLOCKS = 35, 8, 32
 BROADCAST_ROWS, BROADCAST_ITEMS, PAIRS_AT_ONCE = 100_000, 500_000, 20_000
@@ -93,7 +93,7 @@ def anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
                 small = lambda c: pa.array(b[c].astype(np.int32))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(b["anchor"]), pa.array(b["block"]), part.column("k1").take(owner), part.column("k2").take(owner), small("first"), small("n"), small("lead")], ["anchor", "block", "k1", "k2", "first", "n", "lead"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(find, "anchor long, block long, k1 long, k2 long, first int, n int, lead int")
+    return docs.select("k1", "k2", "text").mapInArrow(tidy(find), "anchor long, block long, k1 long, k2 long, first int, n int, lead int")
 
 
 def reference_blocks(docs: DataFrame, window: int) -> DataFrame:
@@ -112,7 +112,7 @@ def reference_blocks(docs: DataFrame, window: int) -> DataFrame:
                 body = [h[a : a + m + window - 1].tobytes() for a, m in zip(at.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([wanted.field(c) for c in ("anchor", "block", "copies", "n", "lead")] + [pa.array(body, pa.binary())], ["anchor", "block", "copies", "n", "lead", "body"])
 
-    return docs.select("text", "wanted").mapInArrow(find, "anchor long, block long, copies long, n int, lead int, body binary")
+    return docs.select("text", "wanted").mapInArrow(tidy(find), "anchor long, block long, copies long, n int, lead int, body binary")
 
 
 def matches(anchor: np.ndarray, n: np.ndarray, lead: np.ndarray, body: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def block_factors(blocks: DataFrame, window: int, k: int) -> DataFrame:
         x, at, run, y = matches(anchor, n.astype(np.int64), lead.astype(np.int64), part.column("body").to_pylist(), window, k)
         return pa.RecordBatch.from_arrays([pa.array(anchor[x]), pa.array(block[x]), pa.array(at.astype(np.int32)), pa.array(run.astype(np.int32)), pa.array(block[y])], ["anchor", "block", "at", "n", "reference"])
 
-    return blocks.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "block", "n", "lead", "body").mapInArrow(match, "anchor long, block long, at int, n int, reference long")
+    return blocks.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "block", "n", "lead", "body").mapInArrow(tidy(match), "anchor long, block long, at int, n int, reference long")
 
 
 def window_factors(blocks: DataFrame, window: int) -> DataFrame:
@@ -194,7 +194,7 @@ def window_factors(blocks: DataFrame, window: int) -> DataFrame:
                 hashes = Rolling(h, GRAMS)(start, start + window)
                 yield pa.RecordBatch.from_arrays([part.column("anchor").take(pa.array(of)), part.column("block").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], ["anchor", "block", "at", "hash"])
 
-    windows = materialize(blocks.select("anchor", "block", "n", "body").mapInArrow(cut, "anchor long, block long, at int, hash long"))
+    windows = materialize(blocks.select("anchor", "block", "n", "body").mapInArrow(tidy(cut), "anchor long, block long, at int, hash long"))
     held = windows.groupBy("anchor", "hash").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
     return windows.join(held, ["anchor", "hash"]).select("anchor", "block", "at", F.lit(1).alias("n"), F.when(F.col("block") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("reference"))
 
@@ -259,7 +259,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
             spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["start", "stop"])).cast(kind)
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), spans], ["k1", "k2", "spans"])
 
-    return held.mapInArrow(find, "k1 long, k2 long, spans array<struct<start:int,stop:int>>")
+    return held.mapInArrow(tidy(find), "k1 long, k2 long, spans array<struct<start:int,stop:int>>")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_LETTER, claim, hash_words, held_out, mix64, read, text_slices
+from heddle.llm.common import NO_LETTER, claim, hash_words, held_out, mix64, read, text_slices, tidy
 
 DIMS, TRAIN_ROWS, SKIPS = 1 << 20, 16_000, 1
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 8.0, 0.1, 5
@@ -97,8 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, passes: int
             at, w = at[w != 0], w[w != 0]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["cell", "weight"])
 
-    sets = train_rows(docs, labels, most).mapInArrow(extract, "hash long, toxic int, cells binary")
-    found = sets.repartition(1).sortWithinPartitions("hash", "toxic", "cells").mapInArrow(learn, "cell long, weight double").collect()
+    sets = train_rows(docs, labels, most).mapInArrow(tidy(extract), "hash long, toxic int, cells binary")
+    found = sets.repartition(1).sortWithinPartitions("hash", "toxic", "cells").mapInArrow(tidy(learn), "cell long, weight double").collect()
     if not found:
         return None
     bias = sum(r["weight"] for r in found if r["cell"] == DIMS)
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(apply, f"{fields}, score double")
+    return docs.mapInArrow(tidy(apply), f"{fields}, score double")
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
