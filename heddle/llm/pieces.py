@@ -36,7 +36,9 @@ from pyspark.sql import types as T
 
 from heddle.llm.common import claim, read, text_slices, tidy
 
-MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 2_000_000, 100_000, 48
+MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 800_000, 25_000, 48
+#: Text encoded at once.
+SLICE_BYTES = 1 << 18
 ZIPF_SHIFT, ALPHA, SEED = 10.0, 1.0, 0
 #: Units: spaces with the letters or the other characters that follow, or a line feed. A piece that would cross their edges
 #: is left out when the vocabulary is read; vocabularies split by script and white space, as is usual, have none.
@@ -322,7 +324,7 @@ def encode_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int =
         claim("pieces", forget)
         encode = encoder(path, alpha)
         for batch in batches:
-            for part in text_slices(batch, batch.column("row").field(place), most_rows=512):
+            for part in text_slices(batch, batch.column("row").field(place), SLICE_BYTES, 512):
                 texts = part.column("row").field(place).to_pylist()
                 ids = encode(texts, part.column("key").to_pylist(), seed, sample)
                 same = [None if t is None else decode(x, path) == t for t, x in zip(texts, ids, strict=True)]
