@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from heddle.llm.common import claim, read, text_slices, tidy
 
-MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 800_000, 25_000, 48
+MOST_ARCS, PIECE_UNITS, SHORT_UNIT = 2_000_000, 25_000, 48
 #: Text encoded at once.
 SLICE_BYTES = 1 << 18
 ZIPF_SHIFT, ALPHA, SEED = 10.0, 1.0, 0
@@ -161,19 +161,21 @@ class Lattices:
             last.append(at[hit] + n - 1)
             piece.append(found[hit])
         first, last, piece = (np.concatenate(x) for x in (first, last, piece))
-        order = np.lexsort((piece, last))  # arcs of a node side by side
+        order = np.argsort(last * np.int64(len(self.weight)) + piece)  # arcs of a node side by side
         first, last, piece = first[order], last[order], piece[order]
         # a factor for each character changes no unit's distribution and keeps the sums near 1
         weight = self.weight[piece] * 32.0 ** (last - first + 1)
-        alpha, flow = np.zeros(len(text)), np.zeros(len(first))
-        by_place = np.argsort(place[last], kind="stable")
-        cuts = np.searchsorted(place[last][by_place], np.arange(int(sizes.max()) + 1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            arcs = by_place[a:b]
-            start = first[arcs]
-            flow[arcs] = np.where(place[start] == 0, 1.0, alpha[start - 1]) * weight[arcs]
-            nodes, k = np.unique(last[arcs], return_inverse=True)
-            alpha[nodes] = np.bincount(k, flow[arcs])
+        alpha, flow = np.zeros(len(text)), np.empty(len(first))
+        by_place = np.argsort(place[last].astype(np.int16), kind="stable")  # a place's arcs side by side, still in the order of their nodes
+        end, start, gain = last[by_place], first[by_place], weight[by_place]
+        new = np.flatnonzero(np.diff(end, prepend=-1))
+        cuts = np.searchsorted(place[end], np.arange(int(sizes.max()) + 1))
+        nodes = np.searchsorted(new, cuts)
+        opens = place[start] == 0
+        for a, b, i, j in zip(cuts[:-1], cuts[1:], nodes[:-1], nodes[1:], strict=True):
+            gain[a:b] *= np.where(opens[a:b], 1.0, alpha[start[a:b] - 1])
+            alpha[end[new[i:j]]] = np.add.reduceat(gain[a:b], new[i:j] - a)
+        flow[by_place] = gain
         heads = np.flatnonzero(np.diff(last, prepend=-1))
         share = flow / alpha[last]
         order = np.lexsort((-share, last))  # the likeliest first, so that most draws end there
