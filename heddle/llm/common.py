@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return (fixed values).
@@ -231,3 +231,11 @@ def text_slices(batch: pa.RecordBatch, text: str | pa.Array, most_bytes: int = 1
         stop = max(k + 1, min(k + most_rows, int(np.searchsorted(at, at[k] + most_bytes))))
         yield batch.slice(k, stop - k)
         k = stop
+
+
+def group_offsets(counts: DataFrame, group: str = "group") -> DataFrame:
+    """Of counts (pid, group, n), the rows of each group in each range-sorted partition: pid, group and offset, the group's rows in
+    earlier partitions, where there are any. A partition can only continue the group that it begins with, so there is at most
+    one row for each partition: that bounds a broadcast of the result."""
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.groupBy("pid", group).agg(F.sum("n").alias("n")).select("pid", group, before.alias("offset")).where("offset IS NOT NULL")
