@@ -33,16 +33,22 @@ def any_contained(predicted: Column, answers: Column) -> Column:
 
 
 def multiset_common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    """Size of the multiset intersection of two token arrays: both are sorted together, and one pass pairs the tokens of b with those of a."""
+    tagged = lambda xs, side: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        same = acc["x"].eqNullSafe(t["x"])
+        left = F.when(same, acc["left"]).otherwise(0)
+        pairs = (t["side"] == 1) & (left > 0)
+        return F.struct(t["x"].alias("x"), (left + F.when(t["side"] == 0, 1).when(pairs, -1).otherwise(0)).alias("left"), (acc["n"] + pairs.cast("int")).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), start, step)["n"]
 
 
 def f1_of(pred: Column, gold: Column) -> Column:
-    """Token F1; 0 without a common token."""
-    same = multiset_common(pred, gold)
-    p, r = same / F.size(pred), same / F.size(gold)
-    return F.when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
+    """Token F1, twice the common tokens over all tokens; 0 without any."""
+    return F.coalesce(2 * multiset_common(pred, gold) / F.nullif(F.size(pred) + F.size(gold), F.lit(0)), F.lit(0.0))
 
 
 def number_share(predicted: Column, truth: Column) -> Column:
@@ -81,13 +87,20 @@ def map_overlaps(expected: Column, got: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
-
-
-def recall_of_ngrams(predicted: Column, truth: Column, n: int) -> Column:
-    """Share of the distinct n-grams of the truth that occur in the prediction."""
-    gold = F.array_distinct(ngrams(tx.tokens(truth), n))
-    return F.when(F.size(gold) == 0, 0.0).otherwise(F.size(F.array_intersect(gold, ngrams(tx.tokens(predicted), n))) / F.size(gold))
+    """The n-grams of an array of words, as texts: shifted slices zipped, so that the array is not looked up for each word."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), count)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), count), lambda x, y: F.concat_ws(" ", x, y))
+    return out
+
+
+def recall_of_ngrams(rows: DataFrame, key: str, predicted: Column, truth: Column, n: int) -> DataFrame:
+    """key and score: the share of the distinct n-grams of the truth that occur in the prediction. Words, and then n-grams, are columns of their own, so
+    that no expression cuts a text again."""
+    cut = rows.select(key, tx.tokens(predicted).alias("p"), tx.tokens(truth).alias("g"))
+    grams = cut.select(key, ngrams(F.col("p"), n).alias("p"), F.array_distinct(ngrams(F.col("g"), n)).alias("g"))
+    return grams.select(key, F.coalesce(F.size(F.array_intersect("g", "p")) / F.nullif(F.size("g"), F.lit(0)), F.lit(0.0)).alias("score"))
 
 
 def choice(predicted: Column, label: Column) -> Column:

@@ -245,7 +245,7 @@ query(
     """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(substr(text, 100), '\\s+'), lambda x: x <> '') AS g FROM documents),
 b AS (SELECT doc_id, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]) AS p2, list_distinct(list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1])) AS g2 FROM w)
 SELECT doc_id, round(CASE WHEN len(g2) = 0 THEN 0 ELSE len(list_intersect(g2, p2)) / len(g2)::DOUBLE END, 6) AS score FROM b""",
-)(lambda t: t.documents.select("doc_id", F.round(an.recall_of_ngrams(F.col("text"), F.expr("substr(text, 100)"), 2), 6).alias("score")))
+)(lambda t: an.recall_of_ngrams(t.documents, "doc_id", F.col("text"), F.expr("substr(text, 100)"), 2).withColumn("score", F.round("score", 6)))
 
 
 def clozes(t: Tables) -> DataFrame:

@@ -63,7 +63,7 @@ FROM (SELECT *, CASE WHEN lp = 0 THEN 0 WHEN lp > lg THEN 1 ELSE exp(1 - lg / lp
 query(
     "rouge_1_recall",
     f"SELECT doc_id, round(CASE WHEN len(g) = 0 THEN 0 ELSE len(list_intersect(g, p)) / len(g)::DOUBLE END, 6) AS score FROM (SELECT doc_id, {WORDS.format('substr(text, 100)')} AS p, list_distinct({WORDS.format('text')}) AS g FROM documents)",
-)(lambda t: t.documents.select("doc_id", F.round(an.recall_of_ngrams(F.expr("substr(text, 100)"), F.col("text"), 1), 6).alias("score")))
+)(lambda t: an.recall_of_ngrams(t.documents, "doc_id", F.expr("substr(text, 100)"), F.col("text"), 1).withColumn("score", F.round("score", 6)))
 query("rouge_l_recall")(lambda t: t.documents.select("doc_id", F.round(suites.rouge_l_recall(F.expr("substr(text, 100)"), "text"), 6).alias("score")))
 query(
     "loft_single_f1",
