@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.vectors import divide, dot, norm
-from heddle.operators.scoring import hash_unit
 from heddle.sources.tables import HEAD, KEYS, WIDTH
 
 
@@ -51,17 +50,3 @@ def following_slots(kept: DataFrame, evicted: DataFrame, budget: int) -> DataFra
     wanted = ranked.where("k = 0").select(*KEYS, F.explode(F.sequence(F.col("before") + 1, F.col("before") + budget)).alias("slot"))
     return wanted.join(slots, [*HEAD, "slot"]).select(*KEYS, "target")
 
-
-def merge_following(kv: DataFrame, kept: DataFrame, seen: DataFrame, budget: int = 4, seed: str = "11", width: int = WIDTH) -> DataFrame:
-    """The kept rows of kv, to whose values the evicted ones before them are added: an evicted value goes to the next `budget` kept slots in equal
-    parts, with a probability (its attention over the mean of those slots', seen: score) that is drawn from a hash of the seed and the row's key."""
-    gone = kv.select(*KEYS).join(kept.select(*KEYS), KEYS, "left_anti")
-    slots = following_slots(kept, gone, budget)
-    around = slots.join(seen.select(*HEAD, F.col("pos").alias("target"), F.col("score").alias("near")), [*HEAD, "target"])
-    chance = around.groupBy(*KEYS).agg(F.count("*").alias("budget"), F.avg("near").alias("near")).join(seen, KEYS)
-    p = F.least(F.greatest(F.round(F.col("score") / F.col("near"), 9), F.lit(0.0)), F.lit(1.0))
-    drawn = chance.where(hash_unit(F.concat_ws(":", F.lit(seed), *(F.col(c) for c in KEYS))) < p).select(*KEYS, "budget")
-    parts = slots.join(drawn, KEYS).join(kv.select(*KEYS, F.col("value").alias("v")), KEYS)
-    sums = parts.groupBy(*HEAD, F.col("target").alias("pos")).agg(F.array(*(F.sum(F.get("v", F.lit(i)) / F.col("budget")) for i in range(width))).alias("add"))
-    out = kv.join(kept.select(*KEYS), KEYS, "left_semi").join(sums, KEYS, "left")
-    return out.select(*KEYS, "key", F.when(F.col("add").isNotNull(), F.zip_with("value", "add", lambda v, a: v + a)).otherwise(F.col("value")).alias("value"))

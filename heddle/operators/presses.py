@@ -7,9 +7,11 @@ only the length of the cache (one aggregate) and the rounds of block-wise presse
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from heddle.functions.vectors import norm, norm1
 from heddle.operators import attention as att
 from heddle.operators import linear, merging, scoring, selection, surrogate
 from heddle.sources.tables import HEAD, KEYS, cut_lineage
+from heddle.streaming import cache
 
 
 @runtime_checkable
@@ -77,12 +80,18 @@ class Knorm(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
         return scoring.key_norm(kv)
 
+    def held(self, kv: DataFrame) -> cache.Score:
+        return cache.key_norm
+
 
 @dataclass
 class KeyDiff(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
         return scoring.key_difference(kv)
 
+    def held(self, kv: DataFrame) -> cache.Score:
+        return cache.key_difference
+
 
 @dataclass
 class Random(ScorerPress):
@@ -99,6 +108,9 @@ class StreamingLLM(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
         return scoring.sink_and_recent(kv, self.ratio, self.n_sink)
 
+    def held(self, kv: DataFrame) -> cache.Score:
+        return partial(cache.sink_and_recent, n_sink=self.n_sink)
+
 
 @dataclass
 class SnapKV(ScorerPress):
@@ -108,12 +120,18 @@ class SnapKV(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
         return att.window_scores(kv, length(kv), self.window, self.kernel)
 
+    def held(self, kv: DataFrame) -> cache.Score:
+        return cache.WindowAttention(self.window, self.kernel)
+
 
 @dataclass
 class TOVA(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
         return att.last_token_scores(kv, length(kv))
 
+    def held(self, kv: DataFrame) -> cache.Score:
+        return cache.last_attention
+
 
 @dataclass
 class ObservedAttention(ScorerPress):
@@ -142,6 +160,10 @@ class QFilter(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
         return scoring.filtered(kv, scoring.mean_queries(kv) if self.filters is None else self.filters)
 
+    def held(self, kv: DataFrame) -> cache.Score:
+        rows = (scoring.mean_queries(kv) if self.filters is None else self.filters).collect()  # a row for each head
+        return cache.Filtered({(r["layer"], r["head"]): np.array(r["filter"]) for r in rows})
+
 
 @dataclass
 class LagKV(ScorerPress):
@@ -400,17 +422,13 @@ class ChunkKV(Wrapper):
 
 @dataclass
 class Block(Wrapper):
-    """Positions come in blocks; after each block the best of what is held and the block stay, scored anew among themselves."""
+    """Positions come in blocks; after each block the best of what is held and the block stay, scored anew among themselves (streaming.cache)."""
 
     size: int = 128
 
     def kept(self, kv: DataFrame) -> DataFrame:
         n = length(kv)
-        most, held = int(n * (1 - self.ratio)), kv.limit(0)
-        for start in range(0, n, self.size):
-            rows = held.unionByName(kv.where((F.col("pos") >= start) & (F.col("pos") < start + self.size)))
-            held = cut_lineage(selection.prune(rows, selection.keep_count(self.score(rows), most)))
-        return held.select(*KEYS)
+        return cache.fold(cache.tokens_of(kv, att.queries_of(kv)), cache.Block(self.base.held(kv), int(n * (1 - self.ratio)), self.size, window_of(self.base))).select(*KEYS)
 
 
 @dataclass
@@ -454,7 +472,8 @@ class Merging(Wrapper):
 
 @dataclass
 class Decoding(Wrapper):
-    """Rows come one by one; each `interval` of them the cache shrinks to `target` rows by the base's own choice."""
+    """Rows come one by one; each `interval` of them the cache shrinks to `target` rows by the base's own choice. Bases that score what is held go over the
+    tokens with a bounded state (streaming.cache); those whose heads keep different numbers of rows take a round for each interval."""
 
     needs_scores = False
     interval: int = 512
@@ -463,43 +482,44 @@ class Decoding(Wrapper):
     def kept(self, kv: DataFrame) -> DataFrame:
         return self.compress(kv).select(*KEYS)
 
-    def shrink(self, rows: DataFrame) -> DataFrame:
-        return self.base.compress(rows)
+    def folded(self, kv: DataFrame, policy: cache.Policy) -> DataFrame:
+        return cache.fold(cache.tokens_of(kv, att.queries_of(kv)), policy).drop("seen")
 
     def compress(self, kv: DataFrame) -> DataFrame:
+        if hasattr(self.base, "held"):
+            return self.folded(kv, cache.Decoding(self.base.held(kv), self.interval, self.target, recent=window_of(self.base)))
         n, held, at = length(kv), kv.limit(0), 0
         while at < n:
             stop = min(at + self.interval, n)
             rows = held.unionByName(kv.where((F.col("pos") >= at) & (F.col("pos") < stop)).select(*held.columns))
             count = rows.groupBy(*HEAD).count().agg(F.max("count")).first()[0] or 0
             if stop - at == self.interval and count > self.target:
-                before, self.base_ratio = self.base_ratio, 1.0 - self.target / count
-                rows = self.shrink(rows)
-                self.base_ratio = before
+                rows = with_ratio(self.base, 1.0 - self.target / count).compress(rows)
             held, at = cut_lineage(rows), stop
         return held
 
-    @property
-    def base_ratio(self) -> float:
-        return self.base.ratio
 
-    @base_ratio.setter
-    def base_ratio(self, ratio: float) -> None:
-        inner = self.base
-        while isinstance(inner, Wrapper):
-            inner = inner.base
-        inner.ratio = ratio
+def with_ratio(press, ratio: float):
+    """A copy of a press with another ratio, given to the innermost of its wrapped presses."""
+    return replace(press, base=with_ratio(press.base, ratio)) if isinstance(press, Wrapper) else replace(press, ratio=ratio)
+
+
+def window_of(press) -> int:
+    """The number of last queries that a scorer of held rows looks at."""
+    return getattr(press, "window", 1)
 
 
 @dataclass
 class CAM(Decoding):
-    """As Decoding; values that go are added to the next kept slots with a probability."""
+    """As Decoding, but all heads of a layer lose the same rows, by the mean of the base's scores, and values of the best of them are added to the next `budget`
+    rows that stay, with a probability from the attention that each has received so far."""
 
-    budget: int = 4
+    budget: int = 32
     seed: str = "11"
 
-    def shrink(self, rows: DataFrame) -> DataFrame:
-        return merging.merge_following(rows, self.base.kept(rows), att.received(rows, length(rows)), self.budget, self.seed)
+    def compress(self, kv: DataFrame) -> DataFrame:
+        scorer = self.base.base if isinstance(self.base, AdaKV) else self.base
+        return self.folded(kv, cache.Merging(scorer.held(kv), self.interval, self.target, recent=window_of(scorer), budget=self.budget, seed=self.seed))
 
 
 @dataclass

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heddle.functions import text as tx
 from heddle.operators import etl
 from heddle.plans.registry import query
-from heddle.sources.tables import Tables
+from heddle.sources.tables import Tables, shared_folder
 
 query("scan_benchmark", "SELECT item_id, length(text) AS n FROM benchmark")(lambda t: t.benchmark.select("item_id", F.length("text").alias("n")))
 query("scan_multi_split", "SELECT item_id, 'dev' AS split, 'nq' AS task FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'test', 'nq' FROM benchmark WHERE item_id % 2 = 1")(
@@ -22,11 +22,8 @@ query("union_splits", "SELECT o_orderpriority AS p, count(*) AS n FROM (SELECT *
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A folder of its own beside the checkpoints; a temporary one only where the session names none."""
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="heddle-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_jsonl_dir", "SELECT lang AS task, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")

@@ -10,6 +10,7 @@ from heddle.operators import attention as att
 from heddle.operators import budgets, merging, presses, scoring, selection
 from heddle.plans.registry import ORACLES, query
 from heddle.sources.tables import HEAD, KEYS, Tables
+from heddle.streaming import cache
 
 KV = """kv AS (SELECT CAST(vec_id % 2 AS INT) AS layer, 0 AS batch, CAST((vec_id // 2) % 2 AS INT) AS head, CAST(vec_id // 4 AS INT) AS pos,
   CAST(embedding[1:32] AS DOUBLE[]) AS key, CAST(embedding[33:64] AS DOUBLE[]) AS value FROM embeddings),
@@ -169,7 +170,17 @@ query(
         f"SELECT {ID} FROM s JOIN b ON s.layer = b.layer AND s.batch = b.batch AND s.pos // 10 = b.chunk".replace(ID, "s.layer, s.batch, s.head, s.pos"),
     ),
 )(lambda t: selection.keep_chunks(scoring.key_norm(t.kv), 0.5, 10))
-query("block_topk", with_kv(S, top("s", 0.75)))(lambda t: shown(selection.keep_top(scoring.key_norm(t.kv), 0.75)))
+
+
+@query("block_topk", with_kv(S, top("s", 0.75)))
+def block_topk(t: Tables) -> DataFrame:
+    """Tokens come in blocks of 64; after each a head keeps its best quarter of the whole length. Norms do not change, so what is left is the best of all."""
+    n = length(t)
+    held = cache.fold(cache.tokens_of(t.kv), cache.Block(cache.key_norm, int(n * (1 - 0.75)), 64))
+    return shown(scoring.key_norm(held))
+
+
+query("block_keydiff")(lambda t: cache.fold(cache.tokens_of(t.kv), cache.Block(cache.key_difference, length(t) // 2, 64)).select(*KEYS))
 query("agg_partial_final", with_kv(S, "SELECT layer, head, round(max(score), 6) AS top, round(avg(score), 6) AS mean, count(*) AS n FROM s GROUP BY ALL"))(
     lambda t: scoring.key_norm(t.kv).groupBy("layer", "head").agg(F.round(F.max("score"), 6).alias("top"), F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("n"))
 )
@@ -492,25 +503,31 @@ query(
 @query(
     "cam_merge",
     with_kv(
-        attention_sql(LAST.format(8)),
-        f"ac AS (SELECT {ID}, sum(w) AS att FROM a GROUP BY ALL)",
-        "s AS (SELECT layer, batch, head, pos, att AS score FROM ac)",
-        KEPT,
-        SLOTS,
-        "st AS (SELECT e.layer, e.batch, e.head, e.pos, (SELECT count(*) FROM kept k WHERE k.layer = e.layer AND k.batch = e.batch AND k.head = e.head AND k.pos <= e.pos) AS st FROM ev e)",
-        "tg AS (SELECT st.layer, st.batch, st.head, st.pos, ks.pos AS target FROM st JOIN ks ON st.layer = ks.layer AND st.batch = ks.batch AND st.head = ks.head AND slot BETWEEN st + 1 AND st + 4)",
-        "pr AS (SELECT tg.layer, tg.batch, tg.head, tg.pos, count(*) AS budget, any_value(me.att) / avg(x.att) AS p FROM tg JOIN ac x ON tg.layer = x.layer AND tg.batch = x.batch AND tg.head = x.head AND tg.target = x.pos JOIN ac me ON tg.layer = me.layer AND tg.batch = me.batch AND tg.head = me.head AND tg.pos = me.pos GROUP BY ALL)",
+        attention_sql(LAST.format(32)),
+        f"ac AS (SELECT {ID}, sum(w) / 2 AS att FROM a GROUP BY ALL)",
+        S,
+        "ms AS (SELECT layer, batch, pos, round(avg(score), 9) AS m FROM s GROUP BY ALL)",
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY layer, batch ORDER BY m DESC, pos) <= n // 2 AS stays FROM ms, sz)",
+        "ks AS (SELECT layer, batch, pos, row_number() OVER (PARTITION BY layer, batch ORDER BY pos) AS slot FROM rk WHERE stays)",
+        "ev AS (SELECT layer, batch, pos FROM rk WHERE NOT stays QUALIFY row_number() OVER (PARTITION BY layer, batch ORDER BY m DESC, pos DESC) <= 32)",
+        "st AS (SELECT e.layer, e.batch, e.pos, (SELECT count(*) FROM ks k WHERE k.layer = e.layer AND k.batch = e.batch AND k.pos <= e.pos) AS st FROM ev e)",
+        "tg AS (SELECT st.layer, st.batch, st.pos, ks.pos AS target FROM st JOIN ks ON st.layer = ks.layer AND st.batch = ks.batch AND slot BETWEEN st + 1 AND st + 4)",
+        "pr AS (SELECT tg.layer, tg.batch, me.head, tg.pos, count(*) AS budget, any_value(me.att) / avg(x.att) AS p FROM tg JOIN ac me ON tg.layer = me.layer AND tg.batch = me.batch AND tg.pos = me.pos JOIN ac x ON tg.layer = x.layer AND tg.batch = x.batch AND me.head = x.head AND tg.target = x.pos GROUP BY ALL)",
         "dr AS (SELECT layer, batch, head, pos, budget FROM pr WHERE CAST('0x' || substr(md5(concat_ws(':', '11', layer, batch, head, pos)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < least(greatest(round(p, 9), 0), 1))",
-        "sm AS (SELECT tg.layer, tg.batch, tg.head, tg.target AS pos, i, sum(kv.value[i] / budget) AS add1 FROM tg JOIN dr USING (layer, batch, head, pos) JOIN kv USING (layer, batch, head, pos), (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL)",
-        f"kc AS (SELECT {ID}, i, value[i] AS v FROM kv SEMI JOIN kept USING ({ID}), (SELECT unnest(range(1, 33)) AS i))",
+        "sm AS (SELECT tg.layer, tg.batch, dr.head, tg.target AS pos, i, sum(kv.value[i] / budget) AS add1 FROM tg JOIN dr USING (layer, batch, pos) JOIN kv ON dr.layer = kv.layer AND dr.batch = kv.batch AND dr.head = kv.head AND dr.pos = kv.pos, (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL)",
+        f"kc AS (SELECT {ID}, i, value[i] AS v FROM kv SEMI JOIN ks USING (layer, batch, pos), (SELECT unnest(range(1, 33)) AS i))",
         "SELECT kc.layer, kc.batch, kc.head, kc.pos, CAST(kc.i - 1 AS INT) AS channel, round(v + coalesce(add1, 0), 6) AS v FROM kc LEFT JOIN sm ON kc.layer = sm.layer AND kc.batch = sm.batch AND kc.head = sm.head AND kc.pos = sm.pos AND kc.i = sm.i",
     ),
 )
 def cam_merge(t: Tables) -> DataFrame:
-    """Evicted values are added to the next kept slots with a probability; every channel is shown."""
-    seen = att.received(t.kv, length(t))
-    merged = merging.merge_following(t.kv, selection.keep_top(seen, 0.5), seen)
-    return merged.select(*KEYS, F.posexplode("value").alias("channel", "x")).select(*KEYS, "channel", F.round("x", 6).alias("v"))
+    """The last 32 tokens are decoded, then half of the cache goes: the values of the 32 best evicted slots are added to the next ones that stay; every channel is shown."""
+    n = length(t)
+    policy = cache.Merging(cache.key_norm, interval=32, target=n // 2, prefill=n - 32, budget=4)
+    return channels(cache.fold(cache.tokens_of(t.kv, att.queries_of(t.kv)), policy))
+
+
+def channels(kv: DataFrame) -> DataFrame:
+    return kv.select(*KEYS, F.posexplode("value").alias("channel", "x")).select(*KEYS, "channel", F.round("x", 6).alias("v"))
 
 
 query(

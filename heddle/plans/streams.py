@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators import attention as att
 from heddle.operators import linear, selection
 from heddle.plans.etl import scratch
-from heddle.plans.press import shown
+from heddle.plans.press import channels, length, shown
 from heddle.plans.registry import query
 from heddle.sources.tables import Tables
+from heddle.streaming import cache
 from heddle.streaming import stateful as st
 
 SEQ = "sq AS (SELECT user_id % 16 AS seq, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS step, coalesce(value, 0) AS score FROM events)"
@@ -71,6 +73,28 @@ def stream_checkpoint(t: Tables) -> DataFrame:
     return out
 
 
+
+
+def token_stream(t: Tables) -> DataFrame:
+    """The cache's tokens in PARTS lots of positions, read as a stream of as many micro-batches or more."""
+    path = scratch(t, "tokens")
+    rows = cache.tokens_of(t.kv, att.queries_of(t.kv))
+    size = -(-length(t) // PARTS)
+    rows = rows.withColumn("part", F.expr(f"pos div {size}")).repartition(FILES, "layer", "batch").persist()
+    for part in range(PARTS):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(path)
+    rows.unpersist()
+    return st.stateful_session(t.spark).readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+@query("stream_cam")
+def stream_cam(t: Tables) -> DataFrame:
+    """Half of the cache is prefilled; then each 16 tokens it shrinks to a quarter, merging values, with the attention since the prefill as state."""
+    n = length(t)
+    policy = cache.Merging(cache.key_norm, interval=16, target=n // 4, prefill=n // 2, budget=4)
+    return channels(cache.held_now(st.run_to_end(t.spark, cache.cache_stream(token_stream(t), policy), scratch(t, "cam"))))
+
+
 query("leverage")(lambda t: shown(selection.keep_top(linear.leverage(t.kv), 0.5)))
 query("compactor")(lambda t: shown(selection.keep_top(linear.compactor(t.kv, 0.5), 0.5)))
 query("capkv")(lambda t: shown(selection.keep_top(linear.capacity(t.kv), 0.5)))

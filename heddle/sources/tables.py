@@ -5,6 +5,7 @@ floats and computed with as doubles."""
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +33,22 @@ def kv_from_vectors(vectors: DataFrame, layers: int = 2, heads: int = 2, width:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir). Where the setting is absent it is a temporary one on one machine, as in tests, and an error elsewhere."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="heddle-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint, where the session names a folder for it (spark.checkpoint.dir); else as it is."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+    """df behind a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 class Tables:
