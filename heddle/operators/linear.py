@@ -1,31 +1,36 @@
-"""Scores that solve small linear systems, one for each head: Arrow groups of one head's rows."""
+"""Scores that solve small linear systems, one for each head. Sums over a head's rows are mergeable aggregates; rows are then scored in tiles, each with its
+head's sums, so that no task holds a head."""
 
 from __future__ import annotations
 
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators import scoring
+from heddle.operators.aggregate import Moments, WeightedGram, aggregate
 from heddle.operators.attention import block_scores, z_scores
-from heddle.sources.tables import HEAD, KEYS
+from heddle.operators.tiles import scored_by_head
+from heddle.sources.tables import HEAD, KEYS, WIDTH
 
-SCHEMA = "layer int, batch int, head int, pos int, score double"
 
+def sketch_of(name: tuple, width: int, sketch: int, seed: int) -> np.ndarray:
+    """A Gaussian (width, sketch) matrix that depends on the seed and the head alone."""
+    return np.random.default_rng(zlib.crc32(f"{seed}:{':'.join(map(str, name))}".encode())).normal(size=(width, sketch)) / np.sqrt(sketch)
 
-def leverage(kv: DataFrame, sketch: int = 16, jitter: float = 1e-3, seed: int = 0) -> DataFrame:
-    """Leverage of centred keys after a Gaussian sketch, as a z-score over the layer. The sketch depends on the seed and the head alone."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows["key"].tolist())
-        name = ":".join(str(rows[c].iloc[0]) for c in HEAD)
-        x = (x - x.mean(axis=0)) @ np.random.default_rng(zlib.crc32(f"{seed}:{name}".encode())).normal(size=(x.shape[1], sketch)) / np.sqrt(sketch)
-        gram = x.T @ x + jitter * np.eye(sketch)
-        return rows[KEYS].assign(score=np.einsum("ij,jk,ik->i", x, np.linalg.inv(gram), x))
+def leverage(kv: DataFrame, sketch: int = 16, jitter: float = 1e-3, seed: int = 0, width: int = WIDTH) -> DataFrame:
+    """Leverage of centred keys after a Gaussian sketch, as a z-score over the layer."""
 
-    return z_scores(kv.select(*KEYS, "key").groupBy(*HEAD).applyInPandas(one, SCHEMA))
+    def score(name: tuple, state: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        mean, project = state[1 : 1 + width] / state[0], sketch_of(name, width, sketch, seed)
+        scatter = state[1 + width :].reshape(width, width) - state[0] * np.outer(mean, mean)
+        x = (keys - mean) @ project
+        return np.einsum("ij,jk,ik->i", x, np.linalg.inv(project.T @ scatter @ project + jitter * np.eye(sketch)), x)
+
+    return z_scores(scored_by_head(kv, aggregate(kv, HEAD, ["key"], Moments(width)), ["key"], score))
 
 
 def compactor(kv: DataFrame, ratio: float, chunk: int = 16, first: int = 8, last: int = 4) -> DataFrame:
@@ -36,19 +41,15 @@ def compactor(kv: DataFrame, ratio: float, chunk: int = 16, first: int = 8, last
     return rows.select(*KEYS, F.when((F.col("pos") < first) | (F.col("pos") >= F.col("n") - last), F.col("top")).otherwise(F.col("score")).alias("score"))
 
 
-def capacity(kv: DataFrame, tau: float = 5.0, sinks: int = 4) -> DataFrame:
-    """w v' M^-1 v with w = exp(tau * (s - max s)), s = -cos(k, anchor), and M = I + sum w v v'; the first positions score the maximum plus 1."""
+def capacity(kv: DataFrame, tau: float = 5.0, sinks: int = 4, width: int = WIDTH) -> DataFrame:
+    """w v' M^-1 v with w = exp(tau * (s - max s)), s = -cos(k, anchor), and M = I + sum w v v'; the first positions score the head's maximum plus 1."""
+    rows = kv.select(*KEYS, "value").join(scoring.key_difference(kv), KEYS).select(*KEYS, "value", (F.col("score") * tau).alias("s"))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        k, v = np.array(rows["key"].tolist()), np.array(rows["value"].tolist())
-        unit = k / np.linalg.norm(k, axis=1, keepdims=True)
-        anchor = unit.mean(axis=0)
-        s = -(unit @ anchor) / np.linalg.norm(anchor)
-        w = np.exp(tau * (s - s.max()))
-        m = np.eye(v.shape[1]) + (v * w[:, None]).T @ v
-        score = w * np.einsum("ij,ij->i", v, np.linalg.solve(m, v.T).T)
-        score[rows["pos"].to_numpy() < sinks] = score.max() + 1
-        return rows[KEYS].assign(score=score)
+    def score(name: tuple, state: np.ndarray, values: np.ndarray, s: np.ndarray) -> np.ndarray:
+        m = np.eye(width) + state[1:].reshape(width, width)
+        return np.exp(s[:, 0] - state[0]) * np.einsum("ij,ij->i", values, np.linalg.solve(m, values.T).T)
 
-    return kv.groupBy(*HEAD).applyInPandas(one, SCHEMA)
+    states = aggregate(rows, HEAD, ["s", "value"], WeightedGram(width))
+    found = scored_by_head(rows.withColumn("s", F.array("s")), states, ["value", "s"], score)
+    top = found.groupBy(*HEAD).agg((F.max("score") + 1).alias("top"))
+    return found.join(top, HEAD).select(*KEYS, F.when(F.col("pos") < sinks, F.col("top")).otherwise(F.col("score")).alias("score"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.vectors import norm, norm1
 from heddle.operators import attention as att
-from heddle.operators import linear, merging, scoring, selection, surrogate
+from heddle.operators import linear, merging, scoring, selection, surrogate, tiles
 from heddle.sources.tables import HEAD, KEYS, cut_lineage
 from heddle.streaming import cache
 
@@ -136,7 +136,7 @@ class TOVA(ScorerPress):
 @dataclass
 class ObservedAttention(ScorerPress):
     def score(self, kv: DataFrame) -> DataFrame:
-        return att.observed_scores(kv, length(kv))
+        return att.observed_scores(kv)
 
 
 @dataclass
@@ -210,16 +210,22 @@ class Capacity(ScorerPress):
 
 @dataclass
 class KVzip(ScorerPress):
-    """Largest attention from any query; plus: attention times the value's norm. layerwise: each layer loses the same share, else the lowest of
-    all layers go."""
+    """Largest attention from any query; plus: attention times the value's norm. chunk: the queries are a repetition of the context, which is looked at in
+    chunks of as many positions, each beside the first n_sink keys, which score 1. layerwise: each layer loses the same share, else the lowest of all layers go."""
 
     plus: bool = False
     layerwise: bool = False
+    chunk: int | None = None
+    n_sink: int = 4
 
     def score(self, kv: DataFrame) -> DataFrame:
-        best = att.attention(att.queries_of(kv), kv).groupBy(*KEYS).agg(F.max("w").alias("score"))
+        queries = att.queries_of(kv)
+        got = tiles.repeated_received(queries, kv, self.chunk, self.n_sink) if self.chunk else tiles.causal_received(queries, kv)
+        best = got.select(*KEYS, F.col("best").alias("score"))
         if self.plus:
             best = best.join(kv.select(*KEYS, norm(F.col("value")).alias("norm")), KEYS).select(*KEYS, (F.col("score") * F.col("norm")).alias("score"))
+        if self.chunk:
+            best = best.unionByName(kv.where(F.col("pos") < self.n_sink).select(*KEYS, F.lit(1.0).alias("score")))
         return best
 
     def kept(self, kv: DataFrame) -> DataFrame:

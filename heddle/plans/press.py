@@ -345,7 +345,7 @@ query(
         "s AS (SELECT layer, batch, head, pos, avg(w) AS score FROM m GROUP BY ALL)",
         top("s"),
     ),
-)(lambda t: shown(selection.keep_top(att.observed_scores(t.kv, length(t)), 0.5)))
+)(lambda t: shown(selection.keep_top(att.observed_scores(t.kv), 0.5)))
 EA = (
     Q,
     "mu AS (SELECT layer, batch, head, qhead, list(m ORDER BY i) AS mu FROM (SELECT layer, batch, head, qhead, i, avg(q[i]) AS m FROM q, (SELECT unnest(range(1, 33)) AS i) WHERE q_pos >= 4 GROUP BY ALL) GROUP BY ALL)",
@@ -362,12 +362,16 @@ EA = (
 )
 query("expected_attention", with_kv(*EA, top("s")))(lambda t: shown(selection.keep_top(att.expected_scores(t.kv, epsilon=0.01), 0.5)))
 query("expected_attention_stats", with_kv(*EA, top("s", 0.25)))(lambda t: shown(selection.keep_top(att.expected_scores(t.kv, epsilon=0.01, stats=att.query_statistics(t.kv)), 0.25)))
-query("query_cov", with_kv(Q, "SELECT layer, qhead, round(covar_pop(q[1], q[2]), 6) AS c12, round(covar_pop(q[3], q[3]), 6) AS c33 FROM q WHERE q_pos >= 4 GROUP BY ALL"))(
-    lambda t: att.queries_of(t.kv).where("q_pos >= 4").groupBy("layer", "qhead").agg(F.round(F.covar_pop(F.get("q", F.lit(0)), F.get("q", F.lit(1))), 6).alias("c12"), F.round(F.covar_pop(F.get("q", F.lit(2)), F.get("q", F.lit(2))), 6).alias("c33"))
-)
-query("query_cov_samp", with_kv(Q, "SELECT layer, qhead, round(covar_samp(q[1], q[2]), 6) AS c12, round(covar_samp(q[3], q[3]), 6) AS c33 FROM q WHERE q_pos >= 4 GROUP BY ALL"))(
-    lambda t: att.queries_of(t.kv).where("q_pos >= 4").groupBy("layer", "qhead").agg(F.round(F.covar_samp(F.get("q", F.lit(0)), F.get("q", F.lit(1))), 6).alias("c12"), F.round(F.covar_samp(F.get("q", F.lit(2)), F.get("q", F.lit(2))), 6).alias("c33"))
-)
+COV_SQL = "SELECT layer, qhead, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round({}(q[i], q[j]), 6) AS c FROM q, (SELECT unnest(range(1, 33)) AS i), (SELECT unnest(range(1, 33)) AS j) WHERE q_pos >= 4 GROUP BY ALL"
+
+
+def covariance(t: Tables, sample: bool) -> DataFrame:
+    rows = att.query_statistics(t.kv, sample=sample).select("layer", "qhead", F.posexplode("sigma").alias("i", "r"))
+    return rows.select("layer", "qhead", "i", F.posexplode("r").alias("j", "c")).withColumn("c", F.round("c", 6))
+
+
+query("query_cov", with_kv(Q, COV_SQL.format("covar_pop")))(lambda t: covariance(t, False))
+query("query_cov_samp", with_kv(Q, COV_SQL.format("covar_samp")))(lambda t: covariance(t, True))
 query(
     "noncausal_attn",
     with_kv(
@@ -428,8 +432,37 @@ def kvcompose(t: Tables) -> DataFrame:
 
 
 query("kvzip_score", with_kv(attention_sql(), f"SELECT {ID}, round(max(w), 6) AS score FROM a GROUP BY ALL"))(
-    lambda t: shown(att.attention(att.queries_of(t.kv), t.kv).groupBy(*KEYS).agg(F.max("w").alias("score")))
+    lambda t: shown(presses.KVzip().score(t.kv))
 )
+query(
+    "kvzip_chunks",
+    with_kv(
+        Q,
+        "rows AS (SELECT * FROM kv, (VALUES ('own'), ('copy')) t(kind) WHERE pos >= 4 UNION ALL SELECT *, 'sink' FROM kv WHERE pos < 4)",
+        """lg AS (SELECT q.layer, q.batch, q.head, qhead, q_pos, k.pos, kind, list_dot_product(q, key) / sqrt(32) AS x FROM q JOIN rows k ON q.layer = k.layer AND q.batch = k.batch AND q.head = k.head
+  AND (kind = 'sink' OR ((k.pos - 4) // 96 = (q_pos - 4) // 96 AND (kind = 'own' OR k.pos <= q_pos))) WHERE q_pos >= 4)""",
+        "a AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY layer, batch, qhead, q_pos) AS w FROM lg)",
+        f"SELECT {ID}, round(max(w), 6) AS score FROM a WHERE kind = 'own' GROUP BY ALL UNION ALL SELECT {ID}, 1.0 FROM kv WHERE pos < 4",
+    ),
+)(lambda t: shown(presses.KVzip(chunk=96).score(t.kv)))
+
+
+@query(
+    "repeat_targets",
+    with_kv(
+        attention_sql("q_pos >= n // 2"),
+        f"b AS (SELECT a.layer, a.batch, a.head, a.pos, max(w / sqrt(list_dot_product(o.key, o.key))) AS w FROM a JOIN kv o ON a.layer = o.layer AND a.batch = o.batch AND a.head = o.head AND a.q_pos = o.pos GROUP BY ALL)",
+        f"SELECT {ID}, round(ln(w * sqrt(list_dot_product(value, value))), 6) AS score FROM b JOIN kv USING ({ID}), sz WHERE pos < n // 2",
+    ),
+)
+def repeat_targets(t: Tables) -> DataFrame:
+    """The second half of the cache as the copy of the first; a query's hidden state is stood for by its row's key."""
+    n = length(t)
+    spans = t.kv.groupBy("batch").agg(F.lit(0).alias("start"), F.lit(n // 2).alias("end"), F.lit(n // 2).alias("again_start"), F.lit(n).alias("again_end"))
+    norms = t.kv.select(*HEAD, F.col("pos").alias("q_pos"), (1 / norm(F.col("key"))).alias("weight"))
+    return shown(att.repeated_targets(t.kv, att.queries_of(t.kv).join(norms, [*HEAD, "q_pos"]), spans))
+
+
 query("fastkvzip_protect", with_kv(S, f"SELECT {ID}, round(CASE WHEN pos < 4 OR pos >= n - floor(n * CAST(0.02 AS DOUBLE)) THEN 1.0 ELSE score END, 6) AS score FROM s, sz"))(
     lambda t: shown(scoring.key_norm(t.kv).withColumn("score", F.when((F.col("pos") < 4) | (F.col("pos") >= length(t) - F.floor(F.lit(length(t) * 0.02))), 1.0).otherwise(F.col("score"))))
 )
