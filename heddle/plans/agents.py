@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import text as tx
-from heddle.operators import etl, sampling, transcripts
+from heddle.operators import etl, retrieval, sampling, transcripts
 from heddle.operators.progress import Progress
 from heddle.plans.etl import scratch
 from heddle.plans.registry import query
@@ -119,3 +119,36 @@ def scan_named_lines(t: Tables) -> DataFrame:
     line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("context")))
     t.documents.select(F.concat(line, F.lit("\n")).alias("value"), F.col("source").alias("task")).write.partitionBy("task").text(path)
     return datasets.scan(t.spark, "lines", path).select("task", "id", "context")
+
+
+# --- retrieval answers -----------------------------------------------------------------------------------------------------
+
+_WORD = "coalesce(nullif(regexp_extract(text, '{0}', 1), ''), 'none')"
+W1, W2 = _WORD.format("([a-z]{3,})"), _WORD.format("[a-z]{3,}[^a-z]+([a-z]{3,})")
+ANSWERED_SQL = f"""WITH w AS (SELECT doc_id, {W1} AS w1, {W2} AS w2 FROM documents),
+a AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN [w1, w2 || chr(39) || 's'] WHEN 2 THEN [w1 || ' ' || w2] WHEN 3 THEN [w2] WHEN 4 THEN [''] ELSE [] END AS p, CASE doc_id % 4 WHEN 0 THEN [w1] WHEN 1 THEN ['the ' || w2, w1 || 'x'] WHEN 2 THEN [w2 || 's', w1, w1] ELSE [] END AS g FROM w),
+n AS (SELECT doc_id, list_transform(p, lambda x: trim(regexp_replace(regexp_replace(replace(x, chr(39), ''), '\\b(a|an|the)\\b', ' ', 'g'), ' +', ' ', 'g'))) AS p, list_transform(g, lambda x: trim(regexp_replace(regexp_replace(x, '\\b(a|an|the)\\b', ' ', 'g'), ' +', ' ', 'g'))) AS g FROM a)"""
+
+
+def answered(t: Tables) -> DataFrame:
+    """Model answers around words of the documents, in five shapes, and right answers in four."""
+    w = t.documents.select("doc_id", F.expr(W1).alias("w1"), F.expr(W2).alias("w2"))
+    by, right = F.col("doc_id") % 5, F.col("doc_id") % 4
+    said = F.when(by == 1, F.concat(F.lit("Well.\n**Final Answer:** ['"), "w1", F.lit("', '"), "w2", F.lit("'s']\n[\"later\"]")))
+    said = said.when(by == 2, F.concat(F.lit("so\nFinal answer:  "), "w1", F.lit(" "), "w2", F.lit("\nfinal answer: other")))
+    said = said.when(by == 3, F.concat(F.lit("[broken\n]odd[\n[f(x)]\nlist `[\""), "w2", F.lit("\"]` end\nFinal Answer: "), "w1")).when(by == 4, F.lit("[]\nfinal answer: :"))
+    gold = F.when(right == 0, F.array("w1")).when(right == 1, F.array(F.concat(F.lit("The "), "w2"), F.lit(None), F.concat("w1", F.lit("x")))).when(right == 2, F.array(F.concat("w2", F.lit("s")), "w1", "w1"))
+    return w.select("doc_id", said.alias("predicted"), gold.alias("answers"))
+
+
+query(
+    "retrieval_single",
+    f"""{ANSWERED_SQL}, b AS (SELECT doc_id, p[1] AS p, list_filter(string_split(p[1], ' '), lambda x: x <> '') AS pt, g, len(p) > 0 AND len(g) > 0 AS ok FROM n)
+SELECT doc_id, CASE WHEN ok THEN list_max(list_transform(g, lambda x: CASE WHEN x = p THEN 1.0::DOUBLE ELSE 0 END)) ELSE 0 END AS em, CASE WHEN ok THEN list_max(list_transform(g, lambda x: CASE WHEN contains(p, x) THEN 1.0::DOUBLE ELSE 0 END)) ELSE 0 END AS subspan_em,
+  round(CASE WHEN ok THEN list_max(list_transform(g, lambda x: coalesce(2.0::DOUBLE * list_sum(list_transform(list_distinct(pt), lambda w: least(len(list_filter(pt, lambda y: y = w)), len(list_filter(string_split(x, ' '), lambda y: y = w))))) / nullif(len(pt) + len(list_filter(string_split(x, ' '), lambda y: y <> '')), 0), 0))) ELSE 0 END, 6) AS f1 FROM b""",
+)(lambda t: retrieval.single_scores(answered(t), "doc_id").withColumn("f1", F.round("f1", 6)))
+query(
+    "retrieval_multi",
+    f"""{ANSWERED_SQL} SELECT doc_id, CASE WHEN len(p) > 0 AND len(g) > 0 AND list_sort(list_distinct(p)) = list_sort(list_distinct(g)) THEN 1.0::DOUBLE ELSE 0 END AS em,
+  round(CASE WHEN len(p) > 0 AND len(g) > 0 THEN len(list_intersect(list_distinct(p), g)) / len(g)::DOUBLE ELSE 0 END, 6) AS coverage FROM n""",
+)(lambda t: retrieval.multi_scores(answered(t), "doc_id").select("doc_id", "em", F.round("coverage", 6).alias("coverage")))

@@ -1,5 +1,6 @@
 """Transcripts against a loop that reads them turn by turn; samples, progress and data sets by name."""
 
+import ast
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import text as tx
-from heddle.operators import sampling, transcripts
+from heddle.operators import retrieval, sampling, transcripts
 from heddle.operators.progress import Progress, StreamProgress, streamed
 from heddle.sources import datasets
 
@@ -176,3 +177,46 @@ def test_data_sets_that_cannot_be(spark, sf_dir):
         datasets.register("new", datasets.DataSet("xml", "x", {}))
     with pytest.raises(ValueError):
         datasets.register("new", datasets.DataSet("csv", "x", {"colour": lambda: F.lit(1)}))
+
+
+def named(text, phrase="final answer"):
+    """The answers of a text, with the language's own reader of literals."""
+    lines, found = text.replace("*", "").replace("`", "").strip().split("\n"), []
+    for line in lines:
+        if "[" in line and "]" in line:
+            part = re.sub(r"([a-zA-Z0-9])'([a-zA-Z0-9])", r"\1\'\2", line[line.find("[") : line.rfind("]") + 1].strip())
+            try:
+                found = [str(x) for x in ast.literal_eval(part)]
+                break
+            except (SyntaxError, ValueError):
+                pass
+    if not found:
+        for line in lines:
+            if phrase in line.lower():
+                after = line[line.lower().find(phrase) + len(phrase) :].strip().lstrip(":").strip()
+                found = [after] if after else []
+                break
+    return found
+
+
+def test_named_answers(spark):
+    texts = [
+        "", "nothing", "Final Answer: ['it's', 'b']", "**Final answer:** ['k', 1, 2.5, \"x y\", None]", "[a, b]\n['c']", "]x[\nfinal ANSWER:: two words ", "x ['a',]", "[1 2]\nfinal answer: z", "[]\nFinal answer: q",
+        "final answer:\nfinal answer: late", "['a', 'b'] and ['c']", "`['tick']`", "['don\\'t', \"say 'hi'\"]", "  \n ['sp'] \n", "['n', True, -3, 0.5, 10]\n", "final answer [x", "[ ]\n['y']", "['é', '日本']", "intro\r\nfinal answer: r\r\n",
+    ]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "k int, t string")
+    got = {r["k"]: r["x"] for r in rows.select("k", retrieval.extracted(F.col("t")).alias("x")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == named(t), t
+    assert got[len(texts)] == []
+
+
+def test_single_and_several_answers(spark):
+    rows = [(0, "['The cat', 'dog']", ["cat", "x"]), (1, "Final answer: big cat", ["cat big cat", None]), (2, "['a']", ["the"]), (3, None, ["x"]), (4, "['x']", None), (5, "['x']", [None]), (6, "['z', 'x y']", ["x", "Z!", "z"])]
+    docs = spark.createDataFrame(rows, "k int, predicted string, answers array<string>")
+    single = {r["k"]: tuple(r)[1:] for r in retrieval.single_scores(docs, "k").collect()}
+    assert single == {0: (1, 1, 1), 1: (0, 0, pytest.approx(0.8)), 2: (1, 1, 0), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (1, 1, 1)}
+    multi = {r["k"]: tuple(r)[1:] for r in retrieval.multi_scores(docs, "k").collect()}
+    assert multi[0] == (0, 0, 0.5) and multi[6] == (0, 0, pytest.approx(1 / 3)) and multi[3] == multi[4] == multi[5] == (0, 0, 0)
+    marks = retrieval.composed(spark.createDataFrame([("é", ["é", None, "e"])], "predicted string, answers array<string>"), "predicted", "answers").first()
+    assert marks["predicted"] == "é" and marks["answers"] == ["é", None, "e"]
