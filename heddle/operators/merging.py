@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.vectors import divide, dot, norm
+from heddle.functions.vectors import divide, norm
+from heddle.operators import tiles
 from heddle.sources.tables import HEAD, KEYS, WIDTH
 
 
-def nearest_kept(kv: DataFrame, kept: DataFrame) -> DataFrame:
-    """For each evicted row: target (position of the kept row of the same head whose key has the highest cosine) and sim.
-    One shuffle by head; the best pair is an aggregate, so no pair outlives the join."""
+def nearest_kept(kv: DataFrame, kept: DataFrame, width: int = WIDTH) -> DataFrame:
+    """For each evicted row: target (position of the kept row of the same head whose key has the highest cosine) and sim; matrix products by tiles."""
     unit = kv.select(*KEYS, divide(F.col("key"), F.greatest(norm(F.col("key")), F.lit(1e-6))).alias("u"))
-    keep = unit.join(kept.select(*KEYS), KEYS, "left_semi").select(*HEAD, F.col("pos").alias("target"), F.col("u").alias("ku"))
-    gone = unit.join(kept.select(*KEYS), KEYS, "left_anti")
-    pairs = gone.join(keep, HEAD).select(*KEYS, "target", dot(F.col("u"), F.col("ku")).alias("sim"))
-    best = F.max(F.struct(F.round("sim", 9).alias("order"), (-F.col("target")).alias("low"), "sim")).alias("b")
-    return pairs.groupBy(*KEYS).agg(best).select(*KEYS, (-F.col("b.low")).alias("target"), F.col("b.sim").alias("sim"))
+    return tiles.nearest(unit.join(kept.select(*KEYS), KEYS, "left_anti"), unit.join(kept.select(*KEYS), KEYS, "left_semi"), width)
 
 
 def merge_evicted(kv: DataFrame, kept: DataFrame, threshold: float = 0.0, fraction: float = 1.0, width: int = WIDTH) -> DataFrame:
     """Kept rows whose values take in the evicted ones nearest to them: (v + sum w e) / (1 + sum w), with
     w = sim+ * |e| / (|e| + |v| + 1e-6) for matches at the threshold or above and among the best `fraction` of their head. Keys stay."""
-    match = nearest_kept(kv, kept)
+    match = nearest_kept(kv, kept, width)
     if fraction < 1.0:
         cut = match.withColumn("able", F.when(F.col("sim") >= threshold, F.col("sim")).otherwise(float("-inf"))).groupBy(*HEAD).agg(F.percentile("able", F.lit(1.0 - fraction)).alias("cut"))
         match = match.join(F.broadcast(cut), HEAD).where(F.col("sim") >= F.col("cut"))

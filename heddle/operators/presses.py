@@ -281,12 +281,17 @@ class Finch(ScorerPress):
 
 @dataclass
 class KVCompose(Press):
+    """Budgets from composite ranks, by layer (structured) or by head. least: ranks that every layer or head keeps first."""
+
     structured: bool = True
     window: int = 16
+    value_norm: bool = False
+    add_mean: bool = True
+    least: int = 0
 
     def kept(self, kv: DataFrame) -> DataFrame:
-        scores = cut_lineage(att.composed_scores(kv, length(kv), self.window))
-        return selection.composed_budget(scores, self.ratio) if self.structured else kv.select(*KEYS).join(selection.global_then_layer(scores, self.ratio), KEYS, "left_anti")
+        scores = cut_lineage(att.composed_scores(kv, length(kv), self.window, self.value_norm, self.add_mean))
+        return (selection.composed_budget if self.structured else selection.composed_heads)(scores, self.ratio, self.least)
 
 
 @dataclass
@@ -318,17 +323,25 @@ class LUKV(Press):
 
 @dataclass
 class Duo(Press):
-    """The heads with the lowest scores keep sinks and recent rows only. scores: layer, head, score; without them each head's attention decides."""
+    """The heads with the lowest scores, a share `ratio` of all, keep sinks and recent rows only. scores: a table layer, head, score, read as numbers from 0 to 1;
+    on_the_fly: from the heads' mean queries and keys instead."""
 
     scores: DataFrame | None = None
     n_sink: int = 4
     recent: int = 16
+    on_the_fly: bool = False
+
+    def head_scores(self, kv: DataFrame) -> DataFrame:
+        if self.on_the_fly:
+            return att.mean_head_scores(kv)
+        if self.scores is None:
+            raise ValueError("a table of head scores is needed, or on_the_fly")
+        return self.scores.select("layer", "head", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
     def kept(self, kv: DataFrame) -> DataFrame:
         n = length(kv)
-        scores = att.head_scores(kv, n) if self.scores is None else self.scores
-        order = Window.orderBy("score", "layer", "head")  # a row for each head
-        low = scores.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy())).where(F.col("rank") <= F.bround(F.col("n") * F.lit(self.ratio)))
+        order = Window.orderBy(F.round("score", 9), "layer", "head")  # a row for each head
+        low = self.head_scores(kv).withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy())).where(F.col("rank") <= F.bround(F.col("n") * F.lit(self.ratio)))
         short = kv.select(*KEYS).join(F.broadcast(low.select("layer", "head", F.lit(True).alias("short"))), ["layer", "head"], "left")
         return short.where(F.col("short").isNull() | (F.col("pos") < self.n_sink) | (F.col("pos") >= n - self.recent)).select(*KEYS)
 
@@ -580,7 +593,7 @@ REGISTRY: dict[str, Callable[[float], object]] = {
     "pyramidkv": lambda r: PyramidKV(r),
     "think": lambda r: ThinK(r),
     "duo_attention": lambda r: Duo(r),
-    "duo_attention_on_the_fly": lambda r: Duo(r),
+    "duo_attention_on_the_fly": lambda r: Duo(r, on_the_fly=True),
     "expected_attention": lambda r: AdaKV(ExpectedAttention(r, epsilon=1e-2)),
     "adakv_snapkv": lambda r: AdaKV(SnapKV(r)),
     "adakv_compactor": lambda r: AdaKV(Compactor_(r)),
@@ -624,3 +637,28 @@ def build(name: str, ratio: float = 0.5, **settings):
             raise ValueError(f"{name} has no setting {key}")
         setattr(press, key, value)
     return press
+
+
+def configured(
+    name: str, ratio: float, head_ratio: float | None = None, channel_ratio: float | None = None, threshold: float | None = None, interval: int | None = None, target: int | None = None, **settings
+):
+    """The press of a run's configuration. Which number is its share depends on its class: heads for Duo, channels for ThinK (alone or among composed presses), neither
+    of which has a default; presses with a threshold need one and take no ratio; those that decode take interval and target, where given; all others the ratio."""
+    press = build(name, ratio, **settings)
+
+    def needed(value: float | None, what: str) -> float:
+        if value is None:
+            raise ValueError(f"{name} needs {what}")
+        return value
+
+    if isinstance(press, Duo):
+        return replace(press, ratio=needed(head_ratio, "head_ratio"))
+    if isinstance(press, Threshold):
+        return replace(press, threshold=needed(threshold, "threshold"))
+    if isinstance(press, Composed):
+        return Composed([replace(p, ratio=needed(channel_ratio, "channel_ratio")) if isinstance(p, ThinK) else p for p in press.presses])
+    if isinstance(press, ThinK):
+        return replace(press, ratio=needed(channel_ratio, "channel_ratio"))
+    if isinstance(press, Decoding):
+        return replace(press, interval=interval or press.interval, target=target or press.target)
+    return press

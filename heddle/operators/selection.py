@@ -74,17 +74,23 @@ def two_stage_adaptive(scores: DataFrame, value_norm: DataFrame, ratio: float, f
     return rows.withColumn("order", F.row_number().over(order)).where(F.col("order") <= F.col("budget")).select(*KEYS)
 
 
-def composed_budget(scores: DataFrame, ratio: float) -> DataFrame:
+def composed_budget(scores: DataFrame, ratio: float, least: int = 0) -> DataFrame:
     """Each head's ranks are composed into layer scores (the means over heads, the first layer's at least those of all); the best floor(n * (1 - ratio)) ranks of all layers
-    give each layer its budget, and each head of it keeps that many."""
+    give each layer its budget, and each head of it keeps that many. The first `least` ranks of each layer come before all others."""
     ranks = ranked(scores)
-    layers = ranks.groupBy("layer", "batch", "rank").agg(F.avg("score").alias("c"))
+    layers = ranks.groupBy("layer", "batch", "rank").agg((F.avg("score") + F.when(F.col("rank") <= least, 1e9).otherwise(0.0)).alias("c"))
     first = F.when(F.col("layer") == 0, F.max("c").over(Window.partitionBy("batch", "rank"))).otherwise(F.col("c"))
     order = Window.partitionBy("batch").orderBy(F.round("c", 9).desc(), "layer", "rank")
     best = layers.withColumn("c", first).withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("batch"))).where(F.col("i") <= kept_count(F.col("n"), ratio))
     return ranks.join(F.broadcast(best.groupBy("layer", "batch").agg(F.count("*").alias("budget"))), ["layer", "batch"]).where("rank <= budget").select(*KEYS)
 
 
+def composed_heads(scores: DataFrame, ratio: float, least: int = 0) -> DataFrame:
+    """The best floor(n * (1 - ratio)) rows of all layers and heads, the first `least` of each head before all others: what a head keeps is its count among them."""
+    rows = ranked(scores).withColumn("score", F.col("score") + F.when(F.col("rank") <= least, 1e9).otherwise(0.0))
+    return global_rank(rows).where(F.col("low") > F.col("total") - kept_count(F.col("total"), ratio)).select(*KEYS)
+
+
 def keep_top_first(scores: DataFrame, ratio: float) -> DataFrame:
     """As keep_top, with the rows marked `first` before all others."""
     order = Window.partitionBy(*HEAD).orderBy(F.col("first").desc(), F.round("score", 9).desc(), "pos")

@@ -164,6 +164,34 @@ def repeated_received(queries: DataFrame, kv: DataFrame, chunk: int, n_sink: int
     return received(q, own.unionByName(copies).unionByName(sinks.select(*own.columns)), scale, width)
 
 
+def nearest(rows: DataFrame, among: DataFrame, width: int = WIDTH, size: int = TILE, part: int = PART) -> DataFrame:
+    """For each of rows (layer, batch, head, pos, u) the one of its head's `among` with the largest product of their vectors u, compared after rounding to 9 places, the lower position
+    among equals: layer, batch, head, pos, target, sim. A running best for each row while the other side's tiles pass by; heads without any of `among` have no rows."""
+    asked = rows.select(*HEAD, F.lit(0).alias("qhead"), F.col("pos").alias("q_pos"), F.col("u").alias("q"))
+    q = query_tiles(asked, size).withColumn("part", F.expr(f"cast(tile div {part} AS int)"))
+    k = key_tiles(among, "u", size).join(q.select(*HEAD, "part").distinct(), HEAD).withColumns({"causal": F.lit(False), "shown": F.lit(True)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = sim = target = None
+        for name, held, tile in _parts(batches, width):
+            if tile != "end":
+                if best is None:
+                    best, sim, target = np.full(len(held.pos), -np.inf), np.zeros(len(held.pos)), np.zeros(len(held.pos), np.int32)
+                pos, vectors, _, _ = tile
+                x = held.x @ vectors.T
+                order = np.round(x, 9)
+                at = order.argmax(axis=1)  # the first of equals: positions grow within a tile, and from tile to tile
+                rows_ = np.arange(len(at))
+                better = order[rows_, at] > best
+                best, sim, target = np.where(better, order[rows_, at], best), np.where(better, x[rows_, at], sim), np.where(better, pos[at], target)
+                continue
+            numbers = [np.full(len(best), v, np.int32) for v in name[:3]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(held.pos.astype(np.int32)), pa.array(target.astype(np.int32)), pa.array(sim)], names=[*KEYS, "target", "sim"])
+            best = None
+
+    return _sides(q, k).mapInArrow(run, "layer int, batch int, head int, pos int, target int, sim double")
+
+
 def scored_by_head(rows: DataFrame, states: DataFrame, columns: list[str], score: Callable, size: int = TILE, many: bool = False) -> DataFrame:
     """Scores of rows by a state of their head: score((layer, batch, head), state, *matrices) gives a number a row, or (many) an array. Rows are packed into tiles
     first, so that a head's state goes along once for `size` rows. columns: the vectors that become matrices, a row of each for each position."""

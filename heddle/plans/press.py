@@ -516,15 +516,22 @@ def merge_sql(gate: str) -> tuple[str, ...]:
         *NEAREST,
         gate,
         "w AS (SELECT ok.layer, ok.batch, ok.head, ok.target AS pos, greatest(sim, 0) * sqrt(list_dot_product(e.value, e.value)) / (sqrt(list_dot_product(e.value, e.value)) + sqrt(list_dot_product(k.value, k.value)) + 1e-6::DOUBLE) AS w, e.value AS ev FROM ok JOIN u e ON ok.layer = e.layer AND ok.batch = e.batch AND ok.head = e.head AND ok.pos = e.pos JOIN u k ON ok.layer = k.layer AND ok.batch = k.batch AND ok.head = k.head AND ok.target = k.pos)",
-        "sm AS (SELECT layer, batch, head, pos, sum(w) AS w, sum(w * ev[1]) AS a1, sum(w * ev[32]) AS a32 FROM w GROUP BY ALL)",
-        f"SELECT {ID}, round(CASE WHEN w > 0 THEN (value[1] + a1) / (1 + w) ELSE value[1] END, 6) AS v1, round(CASE WHEN w > 0 THEN (value[32] + a32) / (1 + w) ELSE value[32] END, 6) AS v32 FROM ku LEFT JOIN sm USING ({ID})",
+        "sm AS (SELECT layer, batch, head, pos, i, sum(w) AS w, sum(w * ev[i]) AS a FROM w, (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL)",
+        f"kc AS (SELECT {ID}, i, value[i] AS v FROM ku, (SELECT unnest(range(1, 33)) AS i))",
+        f"SELECT {ID}, CAST(i - 1 AS INT) AS channel, round(CASE WHEN w > 0 THEN (v + a) / (1 + w) ELSE v END, 6) AS v FROM kc LEFT JOIN sm USING ({ID}, i)",
     )
 
 
-ends = lambda df: df.select(*KEYS, F.round(F.get("value", F.lit(0)), 6).alias("v1"), F.round(F.get("value", F.lit(31)), 6).alias("v32"))
-query("merge_on_evict", with_kv(*merge_sql("ok AS (SELECT * FROM nr WHERE sim >= 0)")))(lambda t: ends(merging.merge_evicted(t.kv, half(t))))
+
+
+def channels(kv: DataFrame, column: str = "value", *more: str) -> DataFrame:
+    """A row for each channel of a vector."""
+    return kv.select(*KEYS, *more, F.posexplode(column).alias("channel", "x")).select(*KEYS, *more, "channel", F.round("x", 6).alias("v"))
+
+
+query("merge_on_evict", with_kv(*merge_sql("ok AS (SELECT * FROM nr WHERE sim >= 0)")))(lambda t: channels(merging.merge_evicted(t.kv, half(t))))
 query("merge_fraction", with_kv(*merge_sql("ok AS (SELECT nr.* FROM nr JOIN (SELECT layer, batch, head, quantile_cont(sim, 0.75) AS cut FROM nr GROUP BY ALL) c USING (layer, batch, head) WHERE sim >= -1 AND sim >= cut)")))(
-    lambda t: ends(merging.merge_evicted(t.kv, half(t), threshold=-1.0, fraction=0.25))
+    lambda t: channels(merging.merge_evicted(t.kv, half(t), threshold=-1.0, fraction=0.25))
 )
 SLOTS = f"ks AS (SELECT layer, batch, head, pos, row_number() OVER (PARTITION BY layer, batch, head ORDER BY pos) AS slot FROM kept), ev AS (SELECT {ID} FROM kv ANTI JOIN kept USING ({ID}))"
 query(
@@ -559,31 +566,31 @@ def cam_merge(t: Tables) -> DataFrame:
     return channels(cache.fold(cache.tokens_of(t.kv, att.queries_of(t.kv)), policy))
 
 
-def channels(kv: DataFrame) -> DataFrame:
-    return kv.select(*KEYS, F.posexplode("value").alias("channel", "x")).select(*KEYS, "channel", F.round("x", 6).alias("v"))
-
-
 query(
     "rerotation_delta",
     with_kv(
         S,
         KEPT,
         f"rn AS (SELECT {ID}, CAST(row_number() OVER (PARTITION BY layer, batch, head ORDER BY pos) - 1 AS INT) AS new_pos, key FROM kv SEMI JOIN kept USING ({ID}))",
-        f"SELECT {ID}, new_pos, round(key[1] * cos(new_pos - pos) - key[17] * sin(new_pos - pos), 6) AS k1, round(key[18] * cos((new_pos - pos) * pow(10000.0::DOUBLE, -1 / 16.0::DOUBLE)) + key[2] * sin((new_pos - pos) * pow(10000.0::DOUBLE, -1 / 16.0::DOUBLE)), 6) AS k18 FROM rn",
+        "tn AS (SELECT *, i, (new_pos - pos) * pow(10000.0::DOUBLE, -((i - 1) % 16) / 16.0::DOUBLE) AS turn FROM rn, (SELECT unnest(range(1, 33)) AS i))",
+        f"SELECT {ID}, new_pos, CAST(i - 1 AS INT) AS channel, round(CASE WHEN i <= 16 THEN key[i] * cos(turn) - key[i + 16] * sin(turn) ELSE key[i] * cos(turn) + key[i - 16] * sin(turn) END, 6) AS v FROM tn",
     ),
-)(lambda t: scoring.rerotated(selection.prune(t.kv, half(t))).select(*KEYS, "new_pos", F.round(F.get("key", F.lit(0)), 6).alias("k1"), F.round(F.get("key", F.lit(17)), 6).alias("k18")))
+)(lambda t: channels(scoring.rerotated(selection.prune(t.kv, half(t))), "key", "new_pos"))
 
 
 @query(
     "dim_histogram",
-    """WITH b AS (SELECT quantile_cont(CAST(embedding[1] AS DOUBLE), 0.001) AS lo, quantile_cont(CAST(embedding[1] AS DOUBLE), 0.999) AS hi FROM embeddings),
-v AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, lo, hi FROM embeddings, b WHERE CAST(embedding[1] AS DOUBLE) >= lo AND CAST(embedding[1] AS DOUBLE) <= hi)
-SELECT CAST(least(floor((x - lo) / (hi - lo) * 50), 49) AS INT) AS bin, count(*) AS n FROM v GROUP BY ALL""",
+    """WITH x AS (SELECT i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+b AS (SELECT dim, quantile_cont(x, 0.001) AS lo, quantile_cont(x, 0.999) AS hi FROM x GROUP BY dim),
+v AS (SELECT dim, x, lo, hi FROM x JOIN b USING (dim) WHERE x >= lo AND x <= hi)
+SELECT CAST(dim AS INT) AS dim, CAST(least(floor((x - lo) / (hi - lo) * 50), 49) AS INT) AS bin, count(*) AS n FROM v GROUP BY ALL""",
 )
 def dim_histogram(t: Tables) -> DataFrame:
-    x = t.embeddings.select(F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    lo, hi = x.agg(F.percentile("x", F.array(F.lit(0.001), F.lit(0.999)))).first()[0]
-    return x.where((F.col("x") >= lo) & (F.col("x") <= hi)).select(F.least(F.floor((F.col("x") - lo) / (hi - lo) * 50), F.lit(49)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    """Fifty bins between the outer thousandths, for each dimension."""
+    x = t.embeddings.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    cuts = x.groupBy("dim").agg(F.percentile("x", F.array(F.lit(0.001), F.lit(0.999))).alias("c"))  # a row for each dimension
+    rows = x.join(F.broadcast(cuts.select("dim", F.get("c", F.lit(0)).alias("lo"), F.get("c", F.lit(1)).alias("hi"))), "dim").where("x >= lo AND x <= hi")
+    return rows.select("dim", F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 50), F.lit(49)).cast("int").alias("bin")).groupBy("dim", "bin").agg(F.count("*").alias("n"))
 
 
 # --- compositions by name ---------------------------------------------------------------------------------------------

@@ -23,6 +23,8 @@ def test_registry_is_whole():
 @pytest.mark.parametrize("name", sorted(presses.REGISTRY))
 def test_composition(name, kv):
     settings = {"interval": 40, "target": 24} if name.startswith(("decoding", "cam")) else {"size": 24} if name == "block_keydiff" else {}
+    if name == "duo_attention":
+        settings = {"scores": kv.sparkSession.createDataFrame([(k // 2, k % 2, s) for k, s in enumerate((0.3, 2.0, 0.1, 0.9))], "layer int, head int, score double")}
     press = presses.build(name, 0.5, **settings)
     assert isinstance(press, presses.Compressor)
     left = press.compress(kv)
