@@ -10,9 +10,9 @@ The model here is pretrained: counts do not change while a text is scored, so th
 context alone, and a text's code length is a sum of lookups.
 
 Scale. Training texts are counted in one pass: each batch counts its distinct (ORDER + 1)-grams and its words, Spark adds
-them up with map-side aggregation. Shorter contexts are sums of longer ones. The trie is broadcast, so it is bounded:
-an order whose grams are more than MAX_GRAMS keeps those with the highest counts, by a threshold that never rises
-towards shorter contexts; what is cut off is reached by escape. Word counts, exact and unbounded, come in two parts:
+them up with map-side aggregation. Shorter contexts are sums of longer ones. While each order has MAX_GRAMS grams at the most
+the whole trie is broadcast; beyond that the costs of as many of the most frequent grams are, and all others are joined with the
+whole counts, each document's distinct ones once, so no gram is left out. Word counts, exact and unbounded, come in two parts:
 the HOT_WORDS most frequent as a broadcast table, all others by a join of each document's distinct rare words, in which
 no key is hot because hot keys are in the table.
 
@@ -274,21 +274,32 @@ def unseen_costs(asked: DataFrame, levels: list[tuple[DataFrame, int]]) -> DataF
     return out.select("gram", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(-math.log10(rest) if rest > 0 else -math.inf)).alias("cost"))
 
 
-def least_count(level: DataFrame, most: int, top: int) -> int:
-    """The smallest count that leaves `most` rows at the most; counts of `top` and more are one."""
-    many = level.groupBy(F.least("n", F.lit(top)).alias("n")).count().orderBy(F.desc("n")).collect()
-    total, floor = 0, top + 1
-    for r in many:
-        total += r["count"]
-        if total > most:
-            break
-        floor = r["n"]
-    return floor
+#: Counts, or ranges of counts, that are looked at in one step of least_count.
+COUNT_STEPS = 1 << 16
+
+
+def least_count(level: DataFrame, most: int, steps: int = COUNT_STEPS) -> int:
+    """The smallest count that leaves `most` rows (n) at the most, whatever the counts are: each step cuts the range that still holds the answer into `steps` parts."""
+    low, high, above = 1, (level.agg(F.max("n")).first()[0] or 0) + 1, 0
+    while low < high:
+        width = -(-(high - low) // steps)
+        part = F.expr(f"cast((n - {low}) div {width} AS long)")
+        held = {r["part"]: r["count"] for r in level.where(F.col("n").between(low, high - 1)).groupBy(part.alias("part")).count().collect()}  # `steps` rows at most
+        for k in sorted(held, reverse=True):
+            if above + held[k] > most:
+                break
+            above += held[k]
+        else:
+            return low
+        low, high = low + k * width, min(high, low + (k + 1) * width)
+        if width == 1:
+            return high
+    return low
 
 
 def hot_words(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     """The most frequent words, `most` at the most, and the count that they all reach."""
-    floor = least_count(words, most, 1 << 20)
+    floor = least_count(words, most)
     rows = words.where(F.col("n") >= floor).toArrow()
     return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True)), floor
 
@@ -325,7 +336,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, order: int = ORDER, max_gram
         held_levels = context.broadcast([as_arrays(level) for level, _ in levels])
     else:
         seen = materialize(seen_costs(levels[-1][0]))
-        often = seen.where(F.col("n") >= least_count(seen, max_grams, 1 << 16)).select("gram", F.col("cost").alias("n"))
+        often = seen.where(F.col("n") >= least_count(seen, max_grams)).select("gram", F.col("cost").alias("n"))
         held_costs = context.broadcast(as_arrays(often))
 
     names = ["k1", "k2", "word", "m", "tokens", "known", "total", "score", "copies", "gram"]
