@@ -147,14 +147,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidy(check), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def possible(rows: pa.Table, bucket: int, crossed: bool, percent: int) -> np.ndarray:
-    """Which members of a tile (part, n, sketch, bands, upper) sizes and sketches allow to be linked across parts; crossed: only lower with
-    upper ones. A pair that shares several buckets is looked at in that of its first shared band."""
-    part, n, side = (rows.column(c).to_numpy() for c in ("part", "n", "upper"))
+def possible(rows: pa.Table, bucket: int, percent: int) -> np.ndarray:
+    """Which members of a tile (node, part, n, sketch, bands, asks, apart) sizes and sketches allow to be linked: one that asks with one that does not, of another part.
+    Two members that both ask somewhere meet where the lower one asks, and a pair that shares several buckets in that of its first shared band."""
+    node, part, n, asks, apart = (rows.column(c).to_numpy() for c in ("node", "part", "n", "asks", "apart"))
     sketch, bands = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("sketch", "bands"))
-    out = np.triu(np.ones((len(n), len(n)), bool), 1) & (part[:, None] != part[None, :])
-    if crossed:
-        out &= side[:, None] != side[None, :]
+    out = asks[:, None] & ~asks[None, :] & (part[:, None] != part[None, :]) & ~(apart[None, :] & (node[:, None] > node[None, :]))
     out &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     bits = np.zeros(out.shape, np.int32)
     for k in range(sketch.shape[1]):
@@ -183,18 +181,29 @@ def linked_in(sets: list[np.ndarray], asked: np.ndarray, percent: int) -> tuple[
     return np.nonzero(asked & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)))
 
 
+def dealt_tiles(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bucket, lo, hi, node, part, asks, apart: members outside a bucket's largest part ask, in blocks of some TILE, all members of it, in blocks of as many. A bucket with
+    m members, of which s ask, gives about 2 m s / TILE rows, and m of them if s is small."""
+    parts = labelled.join(sizes.select("bucket"), "bucket", "left_semi").groupBy("bucket", "part").agg(F.count("*").alias("own"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("own", "part")).alias("top"), F.sum("own").alias("held"))
+    largest = largest.select("bucket", F.col("top.part").alias("top"), F.ceil((F.col("held") - F.col("top.own")) / TILE).cast("int").alias("askers"), F.ceil(F.col("held") / TILE).cast("int").alias("blocks"))
+    rows = labelled.join(largest, "bucket").withColumn("apart", F.col("part") != F.col("top"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["bucket", "lo", "hi", "node", "part", "asks", "apart"]
+    ask = rows.where("apart").withColumns({"lo": block("askers"), "asks": F.lit(True)}).withColumn("hi", every("blocks"))
+    told = rows.withColumns({"hi": block("blocks"), "asks": F.lit(False)}).withColumn("lo", every("askers"))
+    return ask.select(*columns).unionByName(told.select(*columns))
+
+
 def tile_links(labelled: DataFrame, sizes: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between parts of one bucket, for buckets too large for pairs: a bucket is cut into blocks of some TILE members, and
-    two blocks meet in a tile. Members that no other member can be linked with leave a tile before texts are read; each text is
-    in a tile once, whatever its pairs. Of what is linked in a tile, a node is given with the smallest that it hangs on."""
-    dealt = labelled.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("held") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")})
-    dealt = dealt.withColumn("upper", F.col("own") == F.col("hi")).select("bucket", "lo", "hi", "upper", "node", "part")
+    """Links (a, b) between parts of one bucket, for buckets too large for pairs: blocks of the members that are still apart meet blocks of all members in tiles.
+    Members that no other member can be linked with leave a tile before texts are read; each text is in a tile twice at the most, whatever
+    its pairs. Of what is linked in a tile, a node is given with the smallest that it hangs on."""
 
     def sift(key: tuple, rows: pa.Table) -> pa.Table:
         claim("near_documents")
-        bucket, lo, hi = (k.as_py() for k in key)
-        asked = possible(rows, bucket, lo != hi, percent)
+        asked = possible(rows, key[0].as_py(), percent)
         some = np.flatnonzero(asked.any(axis=0) | asked.any(axis=1))
         left = rows.take(pa.array(some))
         partners = [np.packbits(x).tobytes() for x in asked[np.ix_(some, some)]]
@@ -217,7 +226,7 @@ def tile_links(labelled: DataFrame, sizes: DataFrame, info: DataFrame, texts: Da
         return pa.table({"a": low[low != nodes], "b": nodes[low != nodes]})
 
     tile = ["bucket", "lo", "hi"]
-    full = dealt.join(info.select("node", "n", "sketch", "bands"), "node")
+    full = dealt_tiles(labelled, sizes).join(info.select("node", "n", "sketch", "bands"), "node")
     sifted = materialize(full.groupBy(*tile).applyInArrow(sift, "bucket long, lo int, hi int, node long, place int, partners binary"))
     return sifted.join(texts, "node").groupBy(*tile).applyInArrow(compare, "a long, b long")
 

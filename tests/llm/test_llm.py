@@ -106,7 +106,7 @@ def test_ppm_is_brute_force(spark):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
 
 
-def test_ppm_bounds_change_only_the_score(spark, odd):
+def test_ppm_bounds_keep_words_and_rows(spark, odd):
     docs = odd.select("doc_id", "text")
     counts = ppm.count(docs)
     tight = ppm.score_texts(docs, counts, max_grams=50, most_hot=3).toPandas()
@@ -117,6 +117,20 @@ def test_ppm_bounds_change_only_the_score(spark, odd):
     assert np.allclose(sorted(tight.base_score), sorted(wide.base_score)) and np.isfinite(tight.score).all()
 
 
+def test_ppm_broadcasts_no_more_than_its_bound(spark):
+    """Whatever the counts are: many rows of one large count, and ranges that one step cannot tell apart."""
+    same = spark.range(1000).select(F.lit(1 << 21).cast("long").alias("n"), F.encode(F.col("id").cast("string"), "utf-8").alias("word"))
+    table, floor = ppm.hot_words(same, 10)
+    assert table == {} and floor == (1 << 21) + 1
+    rng = np.random.default_rng(3)
+    counts = sorted((int(x) for x in [*rng.integers(1, 9, 300), *rng.integers(1, 10**12, 200), *[10**12] * 20]), reverse=True)
+    level = spark.createDataFrame([(c,) for c in counts], "n long").repartition(3)
+    for most, steps in ((0, 4), (19, 1 << 16), (20, 4), (150, 1 << 16), (230, 4), (400, 1 << 16), (520, 4)):
+        reached = sum(x >= ppm.least_count(level, most, steps) for x in counts)
+        assert reached == max(sum(x >= c for x in counts) for c in {1, *counts, counts[0] + 1} if sum(x >= c for x in counts) <= most)
+    assert ppm.least_count(level.limit(0), 5) == 1
+
+
 def test_ppm_keeps_every_gram(spark):
     train = ["abracadabra", "abra cad", "the end", "", base_text(3, 30)]
     tests = ["abra", "cadabra zebra", "", None, "QUITE", "ünï", base_text(3, 20) + " abra", "abra"]
@@ -267,6 +281,15 @@ def test_near_documents_against_brute_force(spark, odd, none):
     assert near_documents.near_duplicates(odd).count() == 11 and near_documents.near_duplicates(none).count() == 0
 
 
+def test_one_stray_deals_a_bucket_once(spark):
+    """What is dealt to tiles grows with the members of a bucket, not with their square."""
+    for members in (4096, 16384):
+        rows = spark.range(members).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") == 5, 5).otherwise(0).cast("long").alias("part"))
+        sizes = spark.createDataFrame([(7, members)], "bucket long, held long")
+        dealt = near_documents.dealt_tiles(rows, sizes)
+        assert members <= dealt.count() <= members + members / near_documents.TILE + 1
+
+
 def test_near_documents_in_tiles(spark, monkeypatch):
     """A large group just around the similarity: buckets beyond PAIR_BUCKET go through tiles of several blocks."""
     rng = np.random.default_rng(5)
