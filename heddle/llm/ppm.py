@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import NO_ID, claim, held_out, join_bounded, materialize, read
+from heddle.llm.common import NO_ID, claim, held_out, join_bounded, materialize, read, tidy
 
 ORDER, MAX_GRAMS, HOT_WORDS, LONG_WORD = 5, 3 << 19, 1 << 17, 64
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
@@ -83,6 +83,7 @@ def count(train: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, word, n: one of gram and word is null. Counts over all rows of train (column text)."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ppm_count")  # a trie that this process still holds from scoring goes first
         for batch in batches:
             words: Counter = Counter()
             for _, held in pieces(batch.column("text").to_pylist(), COUNT_BYTES):
@@ -103,7 +104,7 @@ def count(train: DataFrame, order: int = ORDER) -> DataFrame:
     def rows(*columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(columns), ["gram", "word", "n"])
 
-    return train.select("text").mapInArrow(tally, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(tidy(tally), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
 class Trie:
@@ -381,7 +382,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, order: int = ORDER, max_gram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], names)
 
     schema = "k1 long, k2 long, word binary, m long, tokens long, known long, total double, score double, copies long, gram long"
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k2"), "text").mapInArrow(apply, schema)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k2"), "text").mapInArrow(tidy(apply), schema)
     rare = words.where(F.col("n") < floor)
     if whole:
         met = rows.join(rare, "word", "left")
