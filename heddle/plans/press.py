@@ -616,7 +616,7 @@ composition(
     ),
 )
 composition("kvzip", with_kv(attention_sql(), f"s AS (SELECT {ID}, max(w) AS score FROM a GROUP BY ALL)", GLOBAL.replace("0.3", "0.5"), f"ev AS ({IDS} s JOIN bg USING (layer) QUALIFY row_number() OVER (PARTITION BY layer ORDER BY round(score, 9), batch, head, pos) <= budget)", f"{IDS} kv ANTI JOIN ev USING ({ID})"))
-composition("merging_knorm", with_kv(S, KEPT, f"{IDS} kept"))
+query("press_merging_knorm", ORACLES["merge_on_evict"])(lambda t: channels(presses.build("merging_knorm", 0.5).compress(t.kv)))
 composition("kvcompose", with_kv(*COMPOSE))
 for name in ("knorm", "streaming_llm", "cur", "tova", "snapkv"):
     composition(name, f"SELECT {ID} FROM ({ORACLES[name]})")
