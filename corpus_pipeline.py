@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import mixing, near_documents, pieces, substrings, toxicity
-from heddle.llm.common import NO_ID, join_bounded, materialize, read, release, words
+from heddle.llm.common import NO_ID, Owner, join_bounded, materialize, read, words
 
 SHINGLE, PERCENT, BROADCAST_ROWS = 5, 80, 200_000
 
@@ -101,9 +101,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
-            release(keep=docs)
+    with Owner() as own:  # tables of other results stay
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = materialize(docs)
+                own.release(keep=docs)
     return docs

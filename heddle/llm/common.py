@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,42 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables[path] = spark
+    if owners := _owners.get():
+        owners[-1].paths.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep: DataFrame | None = None) -> None:
-    """Deletes the tables that materialize() has written, but for the one that `keep` reads. Other results that still read them must have been written before."""
-    kept = keep.inputFiles()[0].rsplit("/", 1)[0] if keep is not None and keep.inputFiles() else ""
+class Owner:
+    """Within `with Owner() as own`, tables that materialize() writes in this thread belong to `own`, and its release() deletes them alone.
+    What is left of an inner owner passes to the outer one; tables without an owner stay until the process ends."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+    def __enter__(self) -> Owner:
+        self.token = _owners.set((*_owners.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owners.reset(self.token)
+        if outer := _owners.get():
+            outer[-1].paths |= self.paths
+
+    def release(self, keep: DataFrame | None = None) -> None:
+        """Deletes this owner's tables, but for the one that `keep` reads."""
+        read_by = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+        gone = {path for path in self.paths if path.rsplit("/", 1)[1] not in read_by}
+        self.paths -= gone
+        release(gone)
+
+
+_owners: ContextVar[tuple[Owner, ...]] = ContextVar("owners", default=())
+
+
+def release(paths: set[str] | None = None) -> None:
+    """Deletes tables that materialize() has written: those named, or, as the process ends, all that are left."""
     for path, spark in list(_tables.items()):
-        if kept.endswith(path.rsplit("/", 1)[1]):
+        if paths is not None and path not in paths:
             continue
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,14 +2,17 @@
 
 Groups of equal texts are placed into shards so that bytes, tokens and rows are balanced together: each
 group goes where the dot product of its size vector with the residual capacity is highest, among the shards
-that still have room for its bytes. The law that holds is `bytes`.
+that still have room for it. Residual capacities count by their direction, at length 1, so that a shard with many rows
+but few bytes left draws small texts, whatever it holds already. The law that holds is `bytes`.
 
 Scale. The greedy pass is sequential, so it sees a bounded number of items whatever the input: a group of at
 least 1/16384 of all bytes is an item (there can be 16384 at most), all others are bundled by hash of their
 text into 4096 items. A group is cut only where no shard
-has room left for its bytes and it is larger than 1/16 of a shard's share: into the fewest pieces of that size, by hash of
-doc_id; all items are then placed anew. Only that item table (some 20,000 rows) reaches the driver or is broadcast.
-Slots come from two levels of counting, so no task ranks a whole shard.
+has room left for its bytes and it is larger than 1/16 of a shard's share: into the fewest pieces of that size, by count of
+rows (equal texts have equal sizes, so pieces differ by one row at most); all items are then placed anew. Only that item table
+(some 20,000 rows) reaches the driver or is broadcast. Rows of equal id and text are one run with a count until the end, so however
+often a row repeats, no window sees it twice. Places in a group and slots come from two levels of counting, so no task ranks a whole
+group or shard; runs above RUN rows are dealt over tasks before they are unrolled.
 
 Defined cases: a null text has 0 bytes plus 1, crc32 0, and forms a group of its own; an empty text is another
 group. Rows that repeat are placed and numbered one by one. An empty table gives no rows. Further columns of
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import materialize, read, words
 
-BUNDLES, ITEM_SHARE, PIECE_SHARE, SLOT_CHUNK = 4096, 16384, 16, 4096
+BUNDLES, ITEM_SHARE, PIECE_SHARE, SLOT_CHUNK, RUN = 4096, 16384, 16, 4096, 1 << 16
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +53,8 @@ def place(vectors: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         room = residual >= sizes[i]
         fits = room.all(axis=1) if room.all(axis=1).any() else room[:, 0]
         held[i] = fits.any()
-        score = np.where(fits, residual @ sizes[i], -np.inf) if held[i] else residual[:, 0]
+        drawn = residual @ sizes[i] / np.maximum(np.linalg.norm(residual, axis=1), 1e-300)
+        score = np.where(fits, drawn, -np.inf) if held[i] else residual[:, 0]
         out[i] = best = int(np.argmax(score))
         load[best] += sizes[i]
     return out, held
@@ -62,50 +66,66 @@ def assign(items: list[tuple], shards: int) -> tuple[list[tuple], np.ndarray, np
     return items, *place(np.array([x[2:] for x in items], dtype=float).reshape(-1, 3), shards)
 
 
+def cut(item: tuple, pieces: int) -> list[tuple]:
+    """An item's pieces: position j of its rows belongs to piece j * pieces div rows."""
+    key, _, size, tokens, rows = item
+    firsts = [-(-k * rows // pieces) for k in range(pieces + 1)]
+    return [(key, k, size // rows * (b - a), tokens // rows * (b - a), b - a) for k, (a, b) in enumerate(zip(firsts, firsts[1:], strict=False))]
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, tokens, text_crc32, law, shard, slot, grown_shard for each row of docs."""
     spark = docs.sparkSession
-    rows = materialize(measure(docs, id_col, text_col))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    runs = materialize(measure(docs, id_col, text_col).groupBy("doc_id", "size", "tokens", "text_crc32", "text_key").agg(F.count("*").alias("n")))
+    n, total = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()
     least, most = total / ITEM_SHARE, total / shards / PIECE_SHARE
-    vector = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens")]
     bundle = F.concat(F.lit("b").cast("binary"), F.pmod(F.xxhash64("text_key"), F.lit(BUNDLES)).cast("string").cast("binary"))
 
-    groups = rows.groupBy("text_key").agg(*vector, F.count("*").alias("rows"))
+    groups = runs.groupBy("text_key").agg(*(F.sum(F.col(c) * F.col("n")).alias(c) for c in ("size", "tokens")), F.sum("n").alias("rows"))
     own = F.col("size") > least
     items = (
         groups.withColumn("item", F.when(own, F.col("text_key")).otherwise(bundle))
         .groupBy("item", own.alias("own"))
-        .agg(*vector, F.sum("rows").alias("rows"))
+        .agg(*(F.sum(c).alias(c) for c in ("size", "tokens", "rows")))
         .collect()
     )
     placed, where, held = assign([(bytes(r["item"]), 0, r["size"], r["tokens"], r["rows"]) for r in items], shards)
-    copied = {bytes(r["item"]) for r in items if r["own"] and r["rows"] > 1}
-    pieces = {x[0]: int(np.ceil(x[2] / most)) for x, ok in zip(placed, held, strict=True) if not ok and x[0] in copied and x[2] > most}
-    big = spark.createDataFrame([(bytes(r["item"]), pieces.get(bytes(r["item"]), 1)) for r in items if r["own"]], "text_key binary, pieces int")
-    tagged = rows.join(F.broadcast(big), "text_key", "left").select(
-        "doc_id", "size", "tokens", "text_crc32", F.coalesce(F.when(F.col("pieces").isNotNull(), F.col("text_key")), bundle).alias("item"),
-        F.when(F.col("pieces") > 1, F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.col("pieces"))).otherwise(0).cast("int").alias("piece"),
-    )
+    copied = {bytes(r["item"]): r["rows"] for r in items if r["own"] and r["rows"] > 1}
+    pieces = {x[0]: min(x[4], int(np.ceil(x[2] / most))) for x, ok in zip(placed, held, strict=True) if not ok and x[0] in copied and x[2] > most}
+    big = spark.createDataFrame([(bytes(r["item"]), pieces.get(bytes(r["item"]), 1), r["rows"]) for r in items if r["own"]], "text_key binary, pieces int, rows long")
+    tagged = runs.join(F.broadcast(big), "text_key", "left").withColumn("item", F.when(F.col("pieces").isNotNull(), F.col("text_key")).otherwise(bundle))
+    names = ["doc_id", "size", "tokens", "text_crc32", "text_key", "n", "item", "piece"]
+    dealt = tagged.where("coalesce(pieces, 1) = 1").withColumn("piece", F.lit(0)).select(*names)
     if pieces:
-        cut = spark.createDataFrame([(k,) for k in pieces], "item binary")
-        parts = tagged.join(F.broadcast(cut), "item", "left_semi").groupBy("item", "piece").agg(*vector, F.count("*").alias("rows")).collect()
-        parts = [(bytes(r["item"]), r["piece"], r["size"], r["tokens"], r["rows"]) for r in parts]
-        placed, where, _ = assign([x for x in placed if x[0] not in pieces] + parts, shards)
+        placed, where, _ = assign([y for x in placed for y in (cut(x, pieces[x[0]]) if x[0] in pieces else [x])], shards)
+        ranked = running(tagged.where("pieces > 1"), "item", max(copied[k] for k in pieces))
+        parts = ranked.withColumn("piece", F.explode(F.expr("sequence(int(start * pieces div rows), int((start + n - 1) * pieces div rows))")))
+        first = lambda k: f"(({k}) * rows + pieces - 1) div pieces"
+        held_here = F.expr(f"least(start + n, {first('piece + 1')}) - greatest(start, {first('piece')})")
+        dealt = dealt.unionByName(parts.withColumn("n", held_here).select(*names))
     map_rows = spark.createDataFrame([(x[0], x[1], int(s)) for x, s in zip(placed, where, strict=True)], "item binary, piece int, shard int")
-    return number(tagged.join(F.broadcast(map_rows), ["item", "piece"]).drop("item", "piece"), n, shards).select(
+    return number(dealt.join(F.broadcast(map_rows), ["item", "piece"]), -(-n // shards)).select(
         "doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def number(rows: DataFrame, n: int, shards: int) -> DataFrame:
-    """Adds slot: 0, 1, ... in each shard. Chunks of a shard are counted first, then rows are ranked in their chunk."""
-    chunks = max(1, -(-n // (shards * SLOT_CHUNK)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("rank", rank).join(starts.drop("held"), ["shard", "chunk"]).withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long")).drop("chunk", "rank", "start")
+def running(runs: DataFrame, key: str, rows: int) -> DataFrame:
+    """Adds start: the rows of a key's earlier runs. Chunks of a key (of about `rows` rows) are counted first, then runs in their chunk."""
+    runs = runs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, -(-rows // SLOT_CHUNK)))))
+    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.groupBy(key, "chunk").agg(F.sum("n").alias("held")).select(key, "chunk", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("chunk_start"))
+    inside = Window.partitionBy(key, "chunk").orderBy("doc_id", "text_crc32", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return runs.join(starts, [key, "chunk"]).withColumn("start", F.col("chunk_start") + F.col("inside")).drop("chunk", "chunk_start", "inside")
+
+
+def number(dealt: DataFrame, rows: int) -> DataFrame:
+    """Unrolls runs, with slot: 0, 1, ... in each shard of about `rows` rows."""
+    runs = materialize(running(dealt, "shard", rows).drop("item", "piece", "text_key"))
+    unroll = lambda df, n: df.withColumn("slot", F.explode(F.expr(f"sequence(start, start + {n} - 1)")))
+    blocks = runs.where(F.col("n") > RUN).withColumn("block", F.explode(F.expr(f"sequence(0, (n - 1) div {RUN})")))
+    blocks = blocks.withColumns({"start": F.expr(f"start + block * {RUN}"), "n": F.expr(f"least({RUN}, n - block * {RUN})")}).repartition("shard", "start")
+    return unroll(runs.where(F.col("n") <= RUN), "n").unionByName(unroll(blocks.drop("block"), "n"))
 
 
 def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

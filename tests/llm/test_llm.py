@@ -196,6 +196,38 @@ def test_toxicity_finds_words_that_mark_the_label(spark, none, odd):
     assert len(model[0]) < 5000  # sparse
 
 
+def test_toxicity_is_plain_ftrl(spark):
+    """Weights by name of feature in dictionaries, one row after the other."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"v{rng.integers(10)}" for _ in range(3 + i % 9)) + (" bad, BAD" if i % 3 == 0 else "") for i in range(240)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i % 41 == 0)) for i in range(240)], "doc_id long, toxic int")
+
+    def features(text):
+        w = re.findall(r"[a-z0-9_]+", text.lower())
+        return {*w, *((1, *x) for x in zip(w, w[1:], strict=False)), *((2, *x) for x in zip(w, w[2:], strict=False)), "(bias)"}
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        l1 = 0.0 if f == "(bias)" else toxicity.L1
+        return 0.0 if abs(z[f]) <= l1 else (math.copysign(l1, z[f]) - z[f]) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    def chance(text):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in features(text))))
+
+    order = [r.id for r in spark.range(240).orderBy(F.xxhash64("id")).collect() if zlib.crc32(str(r.id).encode()) % 4 != 2]
+    for _ in range(toxicity.PASSES):
+        for i in order:
+            g = chance(texts[i]) - int(i % 3 == 0 or i % 41 == 0)
+            for f, w in [(f, weight(f)) for f in features(texts[i])]:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w
+                n[f] += g * g
+    got = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels)).toPandas().sort_values("doc_id")
+    assert got.score.tolist() == pytest.approx([chance(t) for t in texts], rel=1e-9)
+    assert got.score.max() > 0.5 > got.score.min()
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -251,6 +283,34 @@ def test_mix_meets_targets(spark, odd, none):
     assert mixing.mix(odd).count() == 11 and mixing.mix(none).count() == 0
 
 
+def test_mix_is_the_schedule_slot_by_slot(spark):
+    rng = np.random.default_rng(4)
+    texts = [base_text(i, int(rng.integers(0, 60))) for i in range(400)]
+    docs = docs_of(spark, texts)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    size = [len(words(t)) for t in texts]
+    sums = [sum(size[i] for i in source if source[i] == s) for s in names]
+    targets = mixing.share_out(sums, [(5, 2, 1)[k % 3] for k in range(len(names))])
+    blocks = [max(1, min(mixing.MAX_BLOCK, int(t // mixing.SLOTS_EACH))) for t in targets]
+    laid = [[i for i in sorted(source, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) if source[i] == s for _ in range(size[i])] for s in names]
+    want = [t / b for t, b in zip(targets, blocks, strict=True)]
+    taken, first, used = Counter(), {}, Counter()
+    for slot in range(round(sum(want))):
+        point, k = math.modf((slot + 1) * mixing.GOLDEN)[0], 0
+        while k < len(want) - 1 and point >= sum(want[: k + 1]) / sum(want):
+            k += 1
+        held = -(-sums[k] // blocks[k])
+        rank, used[k] = used[k], used[k] + 1
+        if rank < 3 * held:
+            at = rank % held * blocks[k]
+            for i in laid[k][at : at + blocks[k]]:
+                taken[i] += 1
+                first.setdefault(i, slot)
+    got = mixing.mix(docs).toPandas().set_index("doc_id")
+    assert {i: (int(r.taken), None if pd.isna(r.first_slot) else int(r.first_slot)) for i, r in got.iterrows()} == {i: (taken[i], first.get(i)) for i in source}
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -331,6 +391,27 @@ def test_quality_rules(spark, odd, none):
     assert quality_rules.judge(none.select("doc_id", "text"), quality_rules.fit(none.select("doc_id", "text"), quality_rules.trusted_sample(labels))).count() == 0
 
 
+def test_ratio_is_that_of_counted_ngrams(spark):
+    """Counts by n-gram in place of buckets, and the decisions that follow."""
+    rng = np.random.default_rng(9)
+    pools = [[f"g{k}" for k in range(8)], [f"g{k}" for k in range(4, 8)] + ["zap", "!"]]
+    texts = [" ".join(rng.choice(pools[i % 3 == 2], 40 + i % 90)) for i in range(150)] * 8
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    trusted = [i for i in range(len(texts)) if i % 3 != 2]
+
+    def ngrams(text):
+        w = re.findall(r"\w+|[^\w\s]", text)
+        return w + list(zip(w, w[1:], strict=False))
+
+    raw, good = Counter(g for t in texts for g in ngrams(t)), Counter(g for i in trusted for g in ngrams(texts[i]))
+    share = lambda c, g: math.log((c[g] + quality_rules.PRIOR) / (c.total() + quality_rules.PRIOR * quality_rules.BUCKETS))
+    ratio = {t: sum(share(good, g) - share(raw, g) for g in ngrams(t)) / len(ngrams(t)) for t in set(texts)}
+    got = quality_rules.judge(docs, quality_rules.fit(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"))).toPandas().sort_values("doc_id")
+    assert got.ratio.tolist() == pytest.approx([ratio[t] for t in texts], abs=1e-9)
+    assert got.kept.tolist() == [not f and ratio[t] >= quality_rules.LEAST_RATIO for f, t in zip(got.base_failed, texts, strict=True)]
+    assert got.kept.any() and (~got.kept & ~got.base_failed).any()
+
+
 @pytest.mark.parametrize("text", ["a b c a b c", "x x x x x", "a b", "", None, "l one\nl one\n\n \nl two #$", base_text(4, 300) + " " + base_text(4, 30)])
 def test_base_rules(spark, text):
     r = quality_rules.base_rules(docs_of(spark, [text]).select("doc_id", "text")).first()
@@ -449,6 +530,36 @@ def test_a_group_is_cut_only_where_it_fits_no_shard(spark):
         assert (group.shard.nunique() > 1) == cut
 
 
+def test_cut_groups_are_cut_by_rows(spark):
+    """Five large copies, each as large as most of a share, come into shards of their own, rows come near their mean, and none is lost."""
+    texts = ["y" * 2000] * 5 + [f"{k:04d}"[: 2 + k % 16] * (1 + k % 4) for k in range(3000)] + [None] * 300
+    got = sharding.shard(docs_of(spark, texts)).toPandas()
+    assert sorted(got.doc_id) == list(range(len(texts)))
+    load = got.groupby("shard")["size"].sum()
+    assert got[got["size"] == 2001].groupby("shard").size().max() == 1 and load.max() / load.mean() < 1.02
+
+
+def test_rows_balance_beside_bytes(spark, sf_dir):
+    from heddle.llm.common import read
+
+    got = sharding.shard(read(spark, sf_dir.replace("0.001", "0.01"), "documents")).toPandas()
+    sums = got.groupby("shard").agg({"size": "sum", "tokens": "sum", "slot": "size"})
+    assert (sums["size"] / sums["size"].mean()).between(0.99, 1.01).all()
+    assert (sums["tokens"] / sums["tokens"].mean()).between(0.98, 1.02).all() and (sums["slot"] / sums["slot"].mean()).between(0.92, 1.08).all()
+
+
+def test_one_row_repeated_is_one_run(spark, monkeypatch):
+    """A null id whose text makes up most of the table: cut inside its run, numbered without gaps, unrolled in blocks."""
+    monkeypatch.setattr(sharding, "RUN", 50)
+    texts = [base_text(i, 10) for i in range(200)] + ["again and again"] * 3000
+    got = sharding.shard(docs_of(spark, texts, [*range(200), *[None] * 3000])).toPandas()
+    assert len(got) == 3200 and got.doc_id.isna().sum() == 3000
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 16 and load.max() / load.min() < 1.05
+
+
 def test_placing_follows_the_greedy_rule():
     rng = np.random.default_rng(7)
     items, shards = rng.integers(1, 200, (300, 3)).astype(float), 7
@@ -457,7 +568,8 @@ def test_placing_follows_the_greedy_rule():
         v = items[i] / total
         left = [[1 / shards - x for x in row] for row in load]
         room = [s for s in range(shards) if all(left[s][d] >= v[d] for d in range(3))] or [s for s in range(shards) if left[s][0] >= v[0]]
-        want[i] = max(room, key=lambda s: sum(left[s][d] * v[d] for d in range(3))) if room else max(range(shards), key=lambda s: left[s][0])
+        drawn = lambda s: sum(left[s][d] * v[d] for d in range(3)) / max(math.sqrt(sum(x * x for x in left[s])), 1e-300)  # noqa: B023, E731
+        want[i] = max(room, key=drawn) if room else max(range(shards), key=lambda s: left[s][0])
         load[want[i]] = [a + b for a, b in zip(load[want[i]], v, strict=True)]
     got, _ = sharding.place(items, shards)
     assert got.tolist() == [want[i] for i in range(len(items))]
@@ -516,6 +628,26 @@ def test_pipeline_on_odd_rows(spark, odd, none, sf_dir):
         assert set(texts(steps[4])) >= {base_text(2, 30_000)} and all(r.lossless for r in steps[5].collect())
 
 
+def test_pipeline_leaves_other_results(spark, odd, sf_dir):
+    """Tables of results made before a run, or within another owner, outlive it; its own go."""
+    import corpus_pipeline as cp
+    from heddle.llm import common
+
+    before = near_documents.near_duplicates(odd.select("doc_id", "text"))
+    held = common.materialize(odd)
+    known = set(common._tables)
+    cp.run(spark, sf_dir).count()
+    assert before.count() == 11 and held.count() == 11 and known <= set(common._tables)
+    with common.Owner() as own:
+        with common.Owner() as inner:
+            kept = common.materialize(odd)
+            common.materialize(odd)
+            inner.release(keep=kept)
+        assert kept.count() == 11 and len(own.paths) == 1
+        own.release()
+    assert not own.paths and held.count() == 11
+
+
 def test_mix_of_repeated_rows(spark, sf_dir):
     """Rows of equal id and text: together they give all that the mix takes of them, no word less."""
     import corpus_pipeline as cp
