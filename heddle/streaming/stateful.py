@@ -59,7 +59,7 @@ def best(rows: Rows, n: int) -> tuple[Rows, Rows]:
 
 
 class EveryInterval:
-    """Shrinks to `target` each time `interval` rows have come."""
+    """Shrinks to `target` each time `interval` rows have come. What is held is a heap: a row is pushed once and popped once, however many are held."""
 
     def __init__(self, interval: int, target: int):
         self.interval, self.target = interval, target
@@ -68,14 +68,17 @@ class EveryInterval:
         return self.target
 
     def __call__(self, seen: int, held: Rows, new: Rows) -> tuple[Rows, Rows]:
-        held, gone, at = list(held), [], 0
+        heap, gone, at = [(score, -step) for step, score in held], [], 0  # the lowest score, and the latest step among equals, goes first
+        heapq.heapify(heap)
         while at < len(new):
             step = min(self.interval - seen % self.interval, len(new) - at)
-            held, seen, at = held + new[at : at + step], seen + step, at + step
-            if seen % self.interval == 0 and len(held) > self.size(seen):
-                held, lost = best(held, self.size(seen))
-                gone += lost
-        return held, gone
+            for s, score in new[at : at + step]:
+                heapq.heappush(heap, (score, -s))
+            seen, at = seen + step, at + step
+            if seen % self.interval == 0:
+                lost = [heapq.heappop(heap) for _ in range(len(heap) - self.size(seen))]
+                gone += sorted((-s, score) for score, s in lost)
+        return sorted((-s, score) for score, s in heap), gone
 
 
 class RatioOfSeen(EveryInterval):

@@ -1,11 +1,14 @@
 """Work that grows with the input: what used to pair, scan or sort again gives the same rows without it."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from heddle.operators import attention as att
 from heddle.plans import QUERIES
 from heddle.sources.tables import HEAD, KEYS, Tables
+from heddle.streaming import stateful as st
 
 
 @pytest.mark.parametrize("size", [1, 7, 1024])
@@ -22,3 +25,20 @@ def test_causal_totals_are_those_of_all_pairs(spark, sf_dir, size):
 def test_causal_theta_join_pairs_no_positions(spark, sf_dir):
     plan = QUERIES["causal_theta_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and "<=" in line for line in plan.split("\n"))
+
+
+def test_interval_policy_pushes_and_pops_each_row_once():
+    """A held set of thousands of rows is not sorted again each interval: 9 s before, 0.1 s as a heap."""
+    value = lambda k: float(k * 7919 % 10007 // 3)  # noqa: E731, with ties
+    policy, new = st.RatioOfSeen(64, 0.75), [(k, value(k)) for k in range(1, 37_500)]
+    began = time.process_time()
+    first, gone = policy(0, [], new[:20_000])
+    held, later = policy(20_000, first, new[20_000:])
+    assert time.process_time() - began < 3
+    want = []
+    for k in range(1, 1_601):
+        want.append((k, value(k)))
+        if k % 64 == 0 and len(want) > k // 4:
+            want = sorted(sorted(want, key=lambda r: (-r[1], r[0]))[: k // 4])
+    assert policy(0, [], new[:1_600])[0] == want
+    assert sorted(held + gone + later) == new
