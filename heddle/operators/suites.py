@@ -73,10 +73,6 @@ def rouge_l_recall(predicted: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([an.common_length(p, g) / len(g) if g else 0.0 for p, g in pairs], dtype="float64")
 
 
-def chars(s: Column) -> Column:
-    return F.array_remove(F.split(tx.normalize_zh(s), ""), "")
-
-
 def best(answers: Column, one) -> Column:
     """The best score of any answer, 0 without answers."""
     return F.coalesce(F.array_max(F.transform(answers, one)), F.lit(0.0))
@@ -91,12 +87,13 @@ def suite_scores(rows: DataFrame) -> DataFrame:
     task, answers = F.col("task"), F.col("answers")
     plain = F.regexp_replace(tx.filled(F.col("predicted")), r"(?U)^\s+", "")
     p = F.when(task.isin(*FIRST_LINE), F.get(F.split(plain, "\n"), F.lit(0))).otherwise(plain)
-    words = lambda s: tx.tokens(tx.normalize_answer(s))
     of = lambda metric: task.isin(*(k for k, v in TASK_METRICS.items() if v == metric))
     own = lambda metric, x: F.when(of(metric), x)
+    either = lambda words, chars: F.when(of("f1"), words).when(of("f1_zh"), chars)
+    f1 = an.best_f1(either(tx.normalize_answer(p), tx.normalize_zh(p)), either(F.transform(answers, tx.normalize_answer), F.transform(answers, tx.normalize_zh)), of("f1_zh"))
     scores = {
-        "f1": best(answers, lambda a: an.f1_of(words(p), words(a))),
-        "f1_zh": best(answers, lambda a: an.f1_of(chars(p), chars(a))),
+        "f1": f1,
+        "f1_zh": f1,
         "classes": best(answers, lambda a: an.classification(p, a, F.col("classes"))),
         "number": best(answers, lambda a: an.number_share(p, a)),
         **{m: best(answers, paragraph_share(p, x)) for m, x in PARAGRAPH.items()},
@@ -135,18 +132,21 @@ def any_named(predicted: Column, answers: Column) -> Column:
 
 
 def bleu(rows: DataFrame, key: str, predicted: str, truth: str, orders: tuple[int, ...] = (1, 4)) -> DataFrame:
-    """key and bleu<n> for each n: clipped precision of n-grams times the brevity penalty, 0 without a common word. key is unique.
-
-    N-grams are counted as rows, so a long text is no array against another and its counts may lie in many tasks."""
-    words = rows.select(key, tx.tokens(F.col(predicted)).alias("p"), tx.tokens(F.col(truth)).alias("g"))
+    """key and bleu<n> for each n: clipped precision of n-grams times the brevity penalty, 0 without a common word. N-grams are counted row by row, and never shuffled."""
     every = sorted({1, *orders})
-    tagged = lambda n, side: lambda x: F.struct(F.lit(n).alias("n"), x.alias("gram"), F.lit(side).alias("p"))
-    grams = [F.transform(an.ngrams(F.col(c), n), tagged(n, side)) for n in every for c, side in (("p", 1), ("g", 0))]
-    counts = words.select(key, F.explode(F.flatten(F.array(*grams))).alias("x")).groupBy(key, "x.n", "x.gram")
-    counts = counts.agg(F.sum("x.p").alias("in_p"), F.sum(1 - F.col("x.p")).alias("in_g"))
-    same = counts.groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.least("in_p", "in_g")).otherwise(0)).alias(f"same{n}") for n in every))
-    size, target = F.size("p"), F.size("g")
+
+    def counted(predicted: pd.Series, truth: pd.Series) -> pd.Series:
+        out = []
+        for p, g in zip(predicted, truth, strict=True):
+            p, g = (s.split(" ") if s else [] for s in (p, g))
+            grams = lambda words, n: zip(*(words[k:] for k in range(n)))
+            out.append([len(p), len(g), *(an.common_count(grams(p, n), grams(g, n)) for n in every)])
+        return pd.Series(out)
+
+    words = F.pandas_udf(counted, T.ArrayType(T.LongType()))(*(tx.squeeze(tx.filled(F.col(c))) for c in (predicted, truth)))
+    size, target = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    same = lambda n: F.get("c", F.lit(2 + every.index(n)))
     penalty = F.when(size > target, 1.0).otherwise(F.exp(1 - target / size))
-    precision = lambda n: F.col(f"same{n}") / F.greatest(F.lit(1), size - (n - 1))
-    value = lambda n: F.when((size == 0) | (F.coalesce("same1", F.lit(0)) == 0), 0.0).otherwise(penalty * precision(n))
-    return words.join(same, key, "left").select(key, *(value(n).alias(f"bleu{n}") for n in orders))
+    precision = lambda n: same(n) / F.greatest(F.lit(1), size - (n - 1))
+    value = lambda n: F.when((size == 0) | (same(1) == 0), 0.0).otherwise(penalty * precision(n))
+    return rows.select(key, words.alias("c")).select(key, *(value(n).alias(f"bleu{n}") for n in orders))

@@ -108,8 +108,7 @@ c AS (SELECT doc_id, sum(least(pc.n, gc.n)) AS c FROM pc JOIN gc USING (doc_id,
 SELECT k.doc_id, round(CASE WHEN c IS NULL THEN 0 ELSE 2 * (c / len(pt)) * (c / len(gt)) / (c / len(pt) + c / len(gt)) END, 6) AS score FROM k LEFT JOIN c ON k.doc_id = c.doc_id""",
 )(
     lambda t: predictions(t)
-    .select("doc_id", tx.tokens(tx.normalize_answer(F.col("predicted"))).alias("p"), tx.tokens(tx.normalize_answer(F.get("answers", F.lit(0)))).alias("g"))
-    .select("doc_id", F.round(an.f1_of(F.col("p"), F.col("g")), 6).alias("score"))
+    .select("doc_id", F.round(an.best_f1(tx.normalize_answer(F.col("predicted")), F.array(tx.normalize_answer(F.get("answers", F.lit(0)))), F.lit(False)), 6).alias("score"))
 )
 query(
     "zh_char_f1",
@@ -118,8 +117,7 @@ pc AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(p) AS w FROM
 c AS (SELECT doc_id, sum(least(pc.n, gc.n)) AS c FROM pc JOIN gc USING (doc_id, w) GROUP BY ALL)
 SELECT k.doc_id, round(CASE WHEN c IS NULL THEN 0 ELSE 2 * (c / len(p)) * (c / len(g)) / (c / len(p) + c / len(g)) END, 6) AS score FROM k LEFT JOIN c ON k.doc_id = c.doc_id""",
 )(
-    lambda t: t.documents.select("doc_id", F.split("text", "").alias("p"), F.split(F.expr("substr(text, 20)"), "").alias("g"))
-    .select("doc_id", F.round(an.f1_of(F.array_remove("p", ""), F.array_remove("g", "")), 6).alias("score"))
+    lambda t: t.documents.select("doc_id", F.round(an.best_f1(tx.filled(F.col("text")), F.array(F.expr("substr(text, 20)")), F.lit(True)), 6).alias("score"))
 )
 NUM = "'Paragraph ' || (doc_id % 7) || ' or ' || (doc_id % 3) || ', not ' || (doc_id % 5)"
 query(

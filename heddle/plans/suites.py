@@ -41,8 +41,10 @@ query("longdialogue_qa", "SELECT doc_id, (contains(upper(text), upper(substr(tex
 )
 query("longbook_qa")(
     lambda t: predictions(t)
-    .select("doc_id", F.when(F.col("lang") == "zh", suites.best(F.col("answers"), lambda a: an.f1_of(suites.chars(F.col("predicted")), suites.chars(a))))
-    .otherwise(suites.best(F.col("answers"), lambda a: an.f1_of(tx.tokens(tx.normalize_answer(F.col("predicted"))), tx.tokens(tx.normalize_answer(a))))).alias("score"))
+    .withColumn("zh", F.coalesce(F.col("lang") == "zh", F.lit(False)))
+    .select("doc_id", an.best_f1(
+        F.when(F.col("zh"), tx.normalize_zh(F.col("predicted"))).otherwise(tx.normalize_answer(F.col("predicted"))),
+        F.when(F.col("zh"), F.transform("answers", tx.normalize_zh)).otherwise(F.transform("answers", tx.normalize_answer)), F.col("zh")).alias("score"))
     .select("doc_id", F.round("score", 6).alias("score"))
 )
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
@@ -69,7 +71,7 @@ query(
     "loft_single_f1",
     """WITH k AS (SELECT doc_id, list_filter(string_split_regex(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')) AS p FROM documents)
 SELECT doc_id, round(CASE WHEN len(list_filter(p, lambda x: x = 'data')) = 0 THEN 0 ELSE 2.0::DOUBLE / (len(p) + 1) END, 6) AS score FROM k""",
-)(lambda t: t.documents.select("doc_id", F.round(an.f1_of(tx.tokens(tx.normalize_answer(F.col("text"))), F.array(F.lit("data"))), 6).alias("score")))
+)(lambda t: t.documents.select("doc_id", F.round(an.best_f1(tx.normalize_answer(F.col("text")), F.array(F.lit("data")), F.lit(False)), 6).alias("score")))
 query("casefold_text", "SELECT doc_id, replace(lower(text), 'ß', 'ss') AS out FROM documents")(lambda t: t.documents.select("doc_id", tx.casefold(F.col("text")).alias("out")))
 query("zero_scrolls_metrics", "SELECT source AS task, 'none' AS metric, 0.0::DOUBLE AS value, count(*) AS n FROM documents WHERE false GROUP BY source")(
     lambda t: t.spark.createDataFrame([], "task string, metric string, value double, n long")
