@@ -13,7 +13,7 @@ from heddle.plans.registry import query
 from heddle.sources import datasets
 from heddle.sources.tables import Tables
 
-#: Replies of the fixture transcripts by (conv_id + turn) % 7; {t}: the turn's own text, {f}: six characters of the conversation's first turn, {o}: of the turn before.
+#: Replies of the fixture transcripts by (conv_id * 3 + turn) % 7; {t}: the turn's own text, {f}: six characters of the conversation's first turn, {o}: of the turn before.
 REPLIES = {
     0: "{t}",
     1: "```python\nprint(context)\n```\n{t}",
@@ -26,11 +26,14 @@ REPLIES = {
 
 
 def recorded(t: Tables) -> DataFrame:
-    """Transcripts made from the conversations: the assistant's turns become replies with code and answers, all other turns stay."""
+    """Transcripts made from the conversations: the assistant's turns become replies with code and answers, all other turns stay. The shape's number is a
+    remainder of decimals, since three times an id need not fit a long."""
     within = Window.partitionBy("conv_id").orderBy("turn")
     rows = t.conversations.withColumns({"first": F.first("text").over(within), "before": F.lag("text").over(within)})
     fill = {"t": F.col("text"), "f": F.expr("translate(substr(first, 3, 6), '\"''()', '    ')"), "o": F.expr("translate(substr(coalesce(before, ''), 3, 6), '\"''()', '    ')")}
-    number, reply = (F.col("conv_id") * 3 + F.col("turn")) % 7, None
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    rows = rows.withColumn("number", ((wide("conv_id") * 3 + wide("turn")) % 7).cast("int"))
+    number, reply = F.col("number"), None
     for k, shape in REPLIES.items():
         text = F.lit(shape)
         for name, value in fill.items():

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from heddle.functions import text as tx
 from heddle.operators import retrieval, sampling, transcripts
 from heddle.operators.progress import Progress, StreamProgress, streamed
+from heddle.plans import QUERIES, agents
 from heddle.sources import datasets
+from heddle.sources.tables import Tables
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -95,6 +97,23 @@ def test_odd_transcripts(spark):
     assert transcripts.replay(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_ids_and_turns_of_any_size(spark, tmp_path):
+    ids, turns = [0, 5, -5, 2**62, 2**63 - 1, -(2**63), 3074457345618258603], [0, 3, -3, 2**63 - 1, -(2**63)]
+    rows = [(c, t, "assistant", "none") for c in ids for t in turns]
+    spark.createDataFrame(rows, TURNS).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in agents.recorded(Tables(spark, str(tmp_path))).collect()}
+    plain_shapes = {4: agents.REPLIES[4], 5: agents.REPLIES[5], 6: agents.REPLIES[6], 0: "none"}
+    for c, t in got:
+        exact = abs(c * 3 + t) % 7 * (-1 if c * 3 + t < 0 else 1)
+        if exact < 0:  # no shape, as in the SQL's remainder
+            assert got[c, t] is None
+        elif exact in plain_shapes:
+            assert got[c, t] == plain_shapes[exact]
+    assert len(got) == len(rows)
+    assert {r["conv_id"] for r in QUERIES["transcript_replay"](spark, str(tmp_path)).collect()} == set(ids)
+    assert sum(r["n"] for r in QUERIES["transcript_ends"](spark, str(tmp_path)).collect()) == len(ids)
+
+
 def test_samples_have_their_size_and_do_not_depend_on_partitions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
     sizes = {r["doc_id"]: r["n"] for r in docs.select("doc_id", F.size("tokens").alias("n")).collect()}
