@@ -22,16 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The code fence, the two calls and the names of the ends.
+#: The code fence, the two calls and the names of the ends. A literal is sought from the first opening alone: what closes a later one closes that
+#: one too, so no text is scanned once for each opening.
 CODE = r"(?s)```(?:python|repl|py)?[ \t]*\n?(.*?)```"
 QUOTE = "(?:\"\"\"|'''|\"|')"
-FINAL_LITERAL = rf"(?s)FINAL\(\s*{QUOTE}(.*?){QUOTE}\s*\)"
+FINAL_LITERAL = rf"(?s)\A(?>.*?FINAL\(\s*+(?=[\"'])){QUOTE}(.*?){QUOTE}\s*\)"
 FINAL_VARIABLE = r"FINAL_VAR\(\s*[\"'](\w+)[\"']\s*\)"
 FINAL_CALL = r"\bFINAL(?:_VAR)?\("
 
 
 def _trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def steps(turns: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

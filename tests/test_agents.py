@@ -3,6 +3,7 @@
 import ast
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,26 @@ def test_odd_transcripts(spark):
     assert transcripts.replay(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_long_replies_are_read_once(spark):
+    n = 400_000
+    texts = ['FINAL("' * (n // 7), "a" + " " * n + "b", "FINAL(" + " " * n + "'w' )", "FINAL(x) FINAL('''w'''" + " " * n + ")", "FINAL('" + "'" * n]
+    rows = [row for c, text in enumerate(texts) for row in ((c, 0, "user", "w"), (c, 1, "assistant", text))]
+    started = time.monotonic()
+    got = {r["conv_id"]: (r["end"], r["nudges"], r["answer"]) for r in transcripts.replay(spark.createDataFrame(rows, TURNS)).collect()}
+    assert time.monotonic() - started < 60
+    assert got == {c: ("final_in_prose", 0, "w") if c in (2, 3) else ("max_steps", 1, None) for c in range(len(texts))}
+
+
+def test_the_first_opening_stands_for_all(spark):
+    rng, bits = random.Random(5), ["FINAL(", "FINAL", "(", "'", '"', "'''", '"""', ")", " ", "\n", "w", "\\", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 16))) for _ in range(8000)]
+    literal = F.get(F.regexp_extract_all("t", F.lit(transcripts.FINAL_LITERAL), F.lit(1)), F.lit(0))
+    got = {r["k"]: r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", literal.alias("x")).collect()}
+    want = [re.search(r"FINAL\(\s*(?:\"\"\"|'''|\"|')(.*?)(?:\"\"\"|'''|\"|')\s*\)", t, re.S) for t in texts]
+    assert [got[k] for k in range(len(texts))] == [m and m[1] for m in want]
+    assert sum(m is not None for m in want) > 50
+
+
 def test_ids_and_turns_of_any_size(spark, tmp_path):
     ids, turns = [0, 5, -5, 2**62, 2**63 - 1, -(2**63), 3074457345618258603], [0, 3, -3, 2**63 - 1, -(2**63)]
     rows = [(c, t, "assistant", "none") for c in ids for t in turns]
