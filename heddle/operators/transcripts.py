@@ -62,9 +62,8 @@ def replay(turns: DataFrame, by: str = "conv_id", order: str = "turn", role: str
     literal = F.col("kind").isin("code_literal", "prose_literal")
     first = Window.partitionBy(by).orderBy("step")
     asked = replies.where(literal).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= nudges + 1).select(by, "step", "kind", "answer")
-    ran = replies.where(F.col("kind").startswith("code")).select(by, "step")
-    answers = rows.where(~F.col("reply")).select(by, F.col("step").alias("at"), "text")
-    seen = answers.where("at = 0").unionByName(answers.join(ran.withColumnRenamed("step", "at"), [by, "at"], "left_semi"))
+    ran = F.max(F.col("kind").startswith("code")).over(Window.partitionBy(by, "step"))  # no union of parts: where both lie by transcript, Spark 4.1 counts its partitions wrong
+    seen = rows.withColumn("ran", ran).where(~F.col("reply") & ((F.col("step") == 0) | F.col("ran"))).select(by, F.col("step").alias("at"), "text")
     within = (F.col("at") < F.col("step")) | ((F.col("at") == F.col("step")) & (F.col("kind") == "code_literal"))
     found = asked.join(seen, by).where(within & F.contains("text", "answer") & ((F.col("answer") != "") | (F.col("kind") == "code_literal"))).select(by, "step").distinct()
     marked = replies.join(found.withColumn("found", F.lit(True)), [by, "step"], "left").withColumn("found", F.coalesce("found", F.lit(False)) | ((F.col("kind") == "code_literal") & (F.col("answer") == "")))

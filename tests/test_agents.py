@@ -118,6 +118,23 @@ def test_the_first_opening_stands_for_all(spark):
     assert sum(m is not None for m in want) > 50
 
 
+@pytest.mark.parametrize("name", ["transcript_ends", "transcript_replay"])
+def test_any_broadcast_limit_gives_the_same_rows(spark, sf_dir, name):
+    settings = [{"spark.sql.autoBroadcastJoinThreshold": f"{2**k}k"} for k in range(1, 10)]
+    settings.append({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"})
+    got = []
+    for setting in settings:
+        before = {key: spark.conf.get(key) for key in setting}
+        try:
+            for key, value in setting.items():
+                spark.conf.set(key, value)
+            got.append(sorted(map(str, QUERIES[name](spark, sf_dir).collect())))
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+    assert got[0] and all(rows == got[0] for rows in got)
+
+
 def test_ids_and_turns_of_any_size(spark, tmp_path):
     ids, turns = [0, 5, -5, 2**62, 2**63 - 1, -(2**63), 3074457345618258603], [0, 3, -3, 2**63 - 1, -(2**63)]
     rows = [(c, t, "assistant", "none") for c in ids for t in turns]
